@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reportloom.llm.common import table
 from reportloom.llm.secrets import secrets_digest
+from reportloom.llm.simhash import near_duplicates
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_simhash": op2_simhash,
 }
 #: DuckDB SQL of those queries that SQL can express at a bearable cost.
 ORACLES: dict[str, str] = {}
