@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reportloom.llm.common import table
 from reportloom.llm.secrets import secrets_digest
+from reportloom.llm.sharding import shard_documents
 from reportloom.llm.simhash import near_duplicates
 
 
@@ -19,9 +20,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_simhash": op2_simhash,
+    "op5_sharding": op5_sharding,
 }
 #: DuckDB SQL of those queries that SQL can express at a bearable cost.
 ORACLES: dict[str, str] = {}
