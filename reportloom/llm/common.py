@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,3 +59,9 @@ def key_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 16) -
 def md5_bucket(column, digits: int):
     """An integer from the first hex digits of a column's MD5, the same in every engine."""
     return F.conv(F.substring(F.md5(column), 1, digits), 16, 10).cast("long")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reportloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportloom.llm.common import table
+from reportloom.llm.common import shared_folder, table
 from reportloom.llm.secrets import secrets_digest
 from reportloom.llm.sharding import shard_documents
 from reportloom.llm.simhash import near_duplicates
+from reportloom.llm.warc import archive_digest, write_warc
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return archive_digest(spark, path)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -27,7 +34,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_simhash": op2_simhash,
+    "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
 }
 #: DuckDB SQL of those queries that SQL can express at a bearable cost.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_id, count(*) AS n FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+               CASE WHEN f.n > 1 AND p.page_id <> f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.n > 1 AND p.page_id <> f.first_id THEN f.first_id END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
+}
