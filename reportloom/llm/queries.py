@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reportloom.llm.common import shared_folder, table
+from reportloom.llm.html_text import main_text
 from reportloom.llm.secrets import secrets_digest
 from reportloom.llm.sharding import shard_documents
 from reportloom.llm.simhash import near_duplicates
@@ -31,11 +32,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_simhash": op2_simhash,
     "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
+    "op6_html_extraction": op6_html_extraction,
 }
 #: DuckDB SQL of those queries that SQL can express at a bearable cost.
 ORACLES: dict[str, str] = {
