@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
                 model.learn(found[i], label, 1.0 if label else LOW_COST)
         return pd.DataFrame({"weights": [model.weights().astype(np.float32).tobytes()]})
 
-    got = sample.groupBy(F.lit(0)).applyInPandas(learn, "weights binary").collect()
+    got = sample.groupBy(F.lit("all")).applyInPandas(learn, "weights binary").collect()
     return np.frombuffer(got[0].weights, np.float32) if got else np.zeros(1 << bits, np.float32)
 
 
