@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reportloom.llm.common import shared_folder, table
 from reportloom.llm.html_text import main_text
+from reportloom.llm.packing import pack, word_vocabulary
 from reportloom.llm.quality import quality_scores
 from reportloom.llm.secrets import secrets_digest
 from reportloom.llm.sharding import shard_documents
@@ -41,6 +42,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_vocabulary)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_simhash": op2_simhash,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_packing": op9_packing,
 }
 #: DuckDB SQL of those queries that SQL can express at a bearable cost.
 ORACLES: dict[str, str] = {
