@@ -1,13 +1,65 @@
-"""The corpus pipeline: quality, near copies, benchmark leaks, secrets, packing."""
+"""The corpus pipeline: quality, near copies, benchmark leaks, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns the columns of ``documents``, the last
+one the packed pieces. Extra columns pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reportloom.llm.common import table
+from reportloom.llm.decontamination import without_leaks
+from reportloom.llm.packing import pack, word_vocabulary
+from reportloom.llm.quality import scored, train
+from reportloom.llm.secrets import redact
+from reportloom.llm.simhash import keep_one
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (a score of at least 0.5)."""
+    weights = train(docs, table(spark, sf_dir, "labels"))
+    return scored(docs, weights, "text", "__score").where("__score >= 0.5").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group that SimHash links."""
+    return keep_one(docs)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts and lengths brought up to date."""
+    clean = redact(docs, "text")
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, as op9 gives them."""
+    return pack(docs, word_vocabulary)
+
+
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("simhash_near_dedup", one_of_each),
+    ("benchmark_decontamination", no_benchmark),
+    ("secret_scans", no_secrets),
+    ("packing", packed),
+]
+#: SQL can express neither the classifier nor the retrieval nor the tokens.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -173,3 +173,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = checkpointed(rooted.join(heads, "root").select("fp", "component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return own.join(members, "fp").select("doc_id", digits, "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the smallest doc_id of their component, one row for each such id.
+
+    Rows with a null id cannot stand for a component or be named by one; they all stay.
+    """
+    heads = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    found = docs.join(checkpointed(heads), "doc_id")
+    repeated = found.where("__rows > 1").dropDuplicates(["doc_id"])
+    return found.where("__rows = 1").select(*docs.columns).union(repeated.select(*docs.columns)).union(docs.where("doc_id is null"))
