@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reportloom.llm.common import shared_folder, table
 from reportloom.llm.decontamination import find_leaks
+from reportloom.llm.embedding_dedup import near_vectors
 from reportloom.llm.html_text import main_text
 from reportloom.llm.packing import pack, word_vocabulary
 from reportloom.llm.quality import quality_scores
@@ -25,6 +26,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -54,6 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_simhash": op2_simhash,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
     "op6_html_extraction": op6_html_extraction,
