@@ -6,7 +6,7 @@ length. A score is the
 logistic of the sparse dot product with the weights. Labels only say what is learnt; no other column is an input.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows (a documented bound; those with the smallest MD5 of their id), never
-a row held out. Every text is scored whole. Null and empty texts have no feature but the bias. Rows of ``labels`` with a
+a row held out; of an id that several documents have, the first text counts. Every text is scored whole. Null and empty texts have no feature but the bias. Rows of ``labels`` with a
 null id or label are left out; a document with several labels counts with each. Without any training row all scores are
 0.5. Repeated rows, extra columns and empty tables need no rule: scoring handles every row alone.
 """
@@ -91,7 +91,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", "quality")
     order = [F.md5(F.col("doc_id").cast("string")), "doc_id", "quality"]
-    sample = docs.select("doc_id", "text").join(known, "doc_id").orderBy(*order, F.xxhash64("text")).limit(rows)
+    chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(*order).limit(rows)
+    # At most ``rows`` ids and labels: a size that is known, so it may be broadcast. A repeated id gives one text.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(h=[crc32(str(i).encode()) for i in pdf.doc_id]).sort_values(["h", "doc_id", "quality", "text"])
