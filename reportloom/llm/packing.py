@@ -1,7 +1,7 @@
 """Order-preserving packing by dynamic programming.
 
-The token stream of a partition, documents in their order, may be cut at document ends, at sentence ends and, where
-neither comes for long, between words. The cuts are chosen to minimise padding plus a penalty for every cut inside a
+The token stream of a partition, documents in their order, may be cut at document ends, at sentence ends and, at a
+higher price, between words. The cuts are chosen to minimise padding plus a penalty for every cut inside a
 document: with boundaries at p, f(j) = min over i with p[j] - p[i] <= size of f(i) + padding + penalty(j). The window's
 least f(i) + p[i] is kept in a monotone queue, so that a boundary costs constant time.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ SIZE = 2048
 END = 1
 #: Padding tokens that a cut at a sentence end, or between words, is worth avoiding.
 SENTENCE_COST, WORD_COST = 2, 8
-#: Tokens without a sentence end after which cuts between words are considered.
-GAP = 12
+#: Tokens between two word ends that are considered for a cut.
+GAP = 24
 STRETCH = 64
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
@@ -41,47 +42,77 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of other characters go to the tokenizer whole.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧]*")
-_STOP = regex.compile(r"[.!?][\"')\]]*")
+_CONTROL = regex.compile(r"[^\t\n\r\x20-\x7e]")
+_STOP = regex.compile(r"[.!?][\"')\]]*$")
+#: A comma or full stop that follows another mark belongs to it.
+_MARKS = regex.compile(r"[^\s0-9a-zß-öø-ɏ][,.]\s|(?<!\S)[,.]\s")
 
 
 class WordTokens:
-    """Token ids of whole texts and the offsets where sentences and words end, with ids of words remembered."""
+    """Token ids of whole texts and the places where sentences and words end.
+
+    White space separates tokens, so a text's ids are those of its stretches between white space, in order. Each worker
+    remembers the ids of the stretches that it has met, in one flat array.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, list[int]] = {}
-
-    def _remember(self, words: list[str]) -> None:
-        if len(self.ids) + len(words) > REMEMBERED:
-            self.ids.clear()
-        self.ids |= {w: e.ids for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
-
-    def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """ids, sentence ends, word ends (only some of them, ``GAP`` apart at least)."""
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return ids, [], list(range(GAP, len(ids), GAP))
-        words = _SPLIT.findall(text.lower())
-        known = self.ids
-        if missing := [w for w in dict.fromkeys(words) if w not in known]:
-            self._remember(missing)
-            if any(w not in known for w in words):
-                self._remember(list(dict.fromkeys(words)))
-        ids: list[int] = []
-        sentences: list[int] = []
-        ends: list[int] = []
-        last = 0
-        for w in words:
-            ids += known[w]
-            if w[0] in ".!?" and _STOP.fullmatch(w):
-                last = len(ids)
-                sentences.append(last)
-            elif len(ids) - last > GAP:
-                last = len(ids)
-                ends.append(last)
-        return ids, sentences, ends
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.size, self.stop = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.used = 0
+
+    def _learn(self, missing: list[str]) -> None:
+        """One call for all: the tokenizer tells of each id which split part it comes from."""
+        e = self.tokenizer.encode(" ".join(missing), add_special_tokens=False)
+        parts = np.array([1 if w.isalpha() else len(_SPLIT.findall(w)) for w in missing])
+        owner = np.repeat(np.arange(len(missing)), parts)[np.array(e.word_ids, np.int64)] if e.ids else np.zeros(0, np.int64)
+        size = np.bincount(owner, minlength=len(missing))
+        old, ids = len(self.known), np.array(e.ids, np.uint32)
+        self.known |= zip(missing, range(old, old + len(missing)), strict=True)
+        self.flat, self.start, self.size, self.stop = (_room(x, n) for x, n in ((self.flat, self.used + len(ids)), *((x, len(self.known)) for x in (self.start, self.size, self.stop))))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[old : len(self.known)] = self.used + np.cumsum(size) - size
+        self.size[old : len(self.known)] = size
+        self.stop[old : len(self.known)] = [not w.isalpha() and bool(_STOP.search(w)) for w in missing]
+        self.used += len(ids)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, sentence ends, word ends (only some of them, ``GAP`` apart or more)."""
+        if "<|" in text or not (text.isascii() and not _CONTROL.search(text) or _PLAIN.fullmatch(text)):
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            return ids, np.zeros(0, np.int64), np.arange(GAP, len(ids), GAP)
+        text = text.lower()
+        if not _MARKS.search(text):  # marks that stand alone may be taken off their words
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        words = text.split()
+        try:
+            at = [self.known[w] for w in words]
+        except KeyError:
+            if len(self.known) > REMEMBERED:
+                self._forget()
+            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
+            at = [self.known[w] for w in words]
+        at = np.array(at, np.int64)
+        size = self.size[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.arange(total) + np.repeat(self.start[at] - ends + size, size)]
+        some = ends[np.unique(np.searchsorted(ends, np.arange(GAP, total, GAP)))]
+        return ids, ends[self.stop[at]], some
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """The array itself, or one of twice the need with the same beginning."""
+    if n <= len(x):
+        return x
+    out = np.zeros(2 * n, x.dtype)
+    out[: len(x)] = x
+    return out
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -94,23 +125,30 @@ def word_tokens(path: str) -> WordTokens:
     return _TOKENS[path]
 
 
-def best_cuts(places: list[int], costs: list[float], size: int = SIZE) -> list[int]:
+def best_cuts(places: list[int], costs: list[float], size: int = SIZE, goes_on: bool = False) -> list[int]:
     """Indexes of the cuts after boundary 0, the last boundary included, with the least padding plus costs.
 
+    If the stream goes on, the last sequence is still open and its padding does not count.
+
     ``places`` ascend strictly; neighbours are at most ``size`` apart.
     """
-    best, back = [0.0], [0]
+    reach, back = [float(places[0])], [0]  # reach: least cost up to a boundary, plus its place
     queue: deque[int] = deque([0])
     for j in range(1, len(places)):
-        while places[j] - places[queue[0]] > size:
+        least = places[j] - size
+        while places[queue[0]] < least:
             queue.popleft()
         i = queue[0]
-        best.append(best[i] + size - (places[j] - places[i]) + costs[j])
+        value = reach[i] + size + costs[j]
+        reach.append(value)
         back.append(i)
-        while queue and best[queue[-1]] + places[queue[-1]] >= best[j] + places[j]:
+        while queue and reach[queue[-1]] >= value:
             queue.pop()
         queue.append(j)
     cuts, j = [], len(places) - 1
+    if goes_on and j > 1:
+        near = takewhile(lambda i: places[-1] - places[i] <= size, range(j - 1, -1, -1))
+        back[j] = min(near, key=lambda i: reach[i] - places[i])
     while j:
         cuts.append(j)
         j = back[j]
@@ -125,31 +163,29 @@ class Packer:
         self.docs: deque[tuple] = deque()  # (doc_id, ids as bytes, place of its first token, number of ids)
         self.places, self.costs, self.at = [0], [0.0], 0
 
-    def add(self, doc_id, ids: list[int], sentences: list[int], words: list[int]) -> Iterator[tuple]:
-        ids = [*ids, END]
-        marks = {p: WORD_COST for p in words} | {p: SENTENCE_COST for p in sentences if p < len(ids)} | {len(ids): 0}
+    def add(self, doc_id, ids: np.ndarray, sentences: np.ndarray, words: np.ndarray) -> Iterator[tuple]:
+        n = len(ids) + 1
+        cost = dict.fromkeys(words.tolist(), WORD_COST) | dict.fromkeys(sentences.tolist(), SENTENCE_COST) | {n: 0.0}
         before = 0
-        for p in sorted(marks):
+        for p in sorted(cost):
             while p - before > self.size:  # words too long for a sequence
                 before += self.size
-                self._mark(before, WORD_COST)
-            self._mark(p, marks[p])
+                self.places.append(self.at + before)
+                self.costs.append(WORD_COST)
             before = p
-        self.docs.append((doc_id, np.array(ids, np.uint32).astype("<u4").tobytes(), self.at, len(ids)))
-        self.at += len(ids)
+            self.places.append(self.at + p)
+            self.costs.append(cost[p])
+        self.docs.append((doc_id, np.append(ids, np.uint32(END)).astype("<u4").tobytes(), self.at, n))
+        self.at += n
         if self.at - self.places[0] >= STRETCH * self.size:
             yield from self._cut(keep=4)
 
-    def _mark(self, p: int, cost: float) -> None:
-        self.places.append(self.at + p)
-        self.costs.append(cost)
-
     def finish(self) -> Iterator[tuple]:
         if len(self.places) > 1:
             yield from self._cut(keep=0)
 
     def _cut(self, keep: int) -> Iterator[tuple]:
-        cuts = best_cuts(self.places, self.costs, self.size)
+        cuts = best_cuts(self.places, self.costs, self.size, goes_on=bool(keep))
         cuts = cuts[: max(1, len(cuts) - keep)] if keep else cuts
         lo = self.places[0]
         for c in cuts:
