@@ -15,6 +15,7 @@ from reportloom.llm.quality import quality_scores
 from reportloom.llm.secrets import secrets_digest
 from reportloom.llm.sharding import shard_documents
 from reportloom.llm.simhash import near_duplicates
+from reportloom.llm.substring_dedup import repeated_passages
 from reportloom.llm.warc import archive_digest, write_warc
 
 
@@ -48,6 +49,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_vocabulary)
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
