@@ -35,6 +35,8 @@ FIT_ROWS, FIT_TASKS = 2_000, 8
 ITEM_WEIGHT = 1_000
 COSINE, COVER, SURE = 0.4, 0.6, 0.8
 ANSWER, LEAST, BLOCK = 5, 6, 200
+#: Words of the shortest window; the others are two, four and more times as long.
+WINDOW = 8
 
 FOUND = "doc_id long, item_id long, cosine double, coverage double, first_word long, end_word long"
 _WORD = re.compile(r"\w+")
@@ -67,9 +69,9 @@ class Items:
         self.words = [[self.vocabulary[w] for w in ws] for _, ws in split]
         self.groups: dict[int, list[int]] = {}
         for k, ws in enumerate(self.words):
-            size = LEAST
-            while size * 1.5 < len(ws):
-                size = int(size * 1.5)
+            size = WINDOW
+            while size * 1.42 < len(ws):
+                size *= 2
             self.groups.setdefault(size, []).append(k)
 
     def numbers(self, text: str | None) -> np.ndarray:
@@ -113,8 +115,9 @@ def fit_index(docs: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
     rank = min(RANK + OVERSAMPLE, n)
     basis = np.random.default_rng(7).standard_normal((n, rank))
     size = max(items.groups)
-    sample = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(FIT_ROWS).select("text").repartition(FIT_TASKS)
-    sample = checkpointed(sample)  # read once, used in every round
+    hashed = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h"))
+    last = hashed.select("h").orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]  # hashes alone are compared
+    sample = checkpointed(hashed.where(F.col("h") <= F.lit(last)).limit(FIT_ROWS).select("text").repartition(FIT_TASKS))  # read once, used in every round
     own = [np.array(w, np.int32) for w in items.words]
 
     def gram(passages, q):
