@@ -1,6 +1,12 @@
-"""All registered queries and their SQL, gathered from the modality plans."""
+"""All registered queries and their SQL, gathered from the plans."""
 
 from __future__ import annotations
 
+from reportloom.plans import incidents
+
+_PLANS = [incidents]
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plan in _PLANS:
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
