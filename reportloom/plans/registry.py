@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reportloom.plans import incidents
+from reportloom.plans import incidents, media
 
-_PLANS = [incidents]
+_PLANS = [incidents, media]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _plan in _PLANS:
