@@ -153,4 +153,4 @@ def oracle(sql: str) -> str:
     with_ = [f"{n} AS ({text(n, 1)})" for n in uses(sql)]
     if not with_:
         return sql
-    return "WITH " + ", ".join(with_) + (", " + sql.strip()[4:] if sql.strip().lower().startswith("with") else " " + sql)
+    return "WITH RECURSIVE " + ", ".join(with_) + (", " + sql.strip()[4:] if sql.strip().lower().startswith("with") else " " + sql)

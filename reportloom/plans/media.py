@@ -125,6 +125,8 @@ SCENE_CONF = "round_even(CASE WHEN fire_ratio > 0.03 THEN least(0.5 + fire_ratio
 OBJECTS = "SELECT image_id, label, conf FROM image_detections WHERE conf >= 0.35 AND label IN (" + ", ".join(f"'{c}'" for c in IM.CLASSES) + ")"
 FIRES = "SELECT image_id, coalesce(cls, 'fire') AS cls, coalesce(conf, 0.0) AS conf FROM fire_detections WHERE coalesce(conf, 0.0) >= 0.3"
 SCENES = f"SELECT image_id, CASE WHEN top IS NOT NULL THEN 'Fire Scene' ELSE {SCENE} END AS Scene_Type, coalesce(top, {SCENE_CONF}) AS scene_conf FROM ({RATIOS}) r LEFT JOIN (SELECT image_id, max(conf) AS top FROM ({FIRES}) f GROUP BY 1) t USING (image_id)"
+_N = "CAST(round(m.mean * 1000000000) AS BIGINT)"  # half-even in decimals, as the other engine rounds
+HALF_EVEN = f"({_N} // 10000000 + CASE WHEN {_N} % 10000000 > 5000000 OR ({_N} % 10000000 = 5000000 AND {_N} // 10000000 % 2 = 1) THEN 1 ELSE 0 END) / 100.0"
 _TEXT_OUT = f"""SELECT 'TXT_' || lpad(CAST(row_number() OVER (ORDER BY p.doc_id) AS VARCHAR), CAST(greatest(3, length(CAST(count(*) OVER () AS VARCHAR))) AS INTEGER), '0') AS Text_ID,
     CASE WHEN p.screen_name = 'Unknown' THEN 'CrimeReport' ELSE '@' || p.screen_name END AS "Source", p.raw_text AS Raw_Text,
     CASE WHEN {CLEANED} = '' THEN 'Neutral' ELSE upper(substr(coalesce(s.label, 'neutral'), 1, 1)) || substr(coalesce(s.label, 'neutral'), 2) END AS Sentiment, {ENTITIES} AS Entities, coalesce(t.topic, 'Other') AS Topic
@@ -159,7 +161,7 @@ ORACLES = {
     "classify_scene": SCENES,
     "ocr_text_clean": "SELECT image_id, trim(regexp_replace(raw_text, '\\s+', ' ', 'g')) AS text FROM ocr_raw",
     "image_report": f"""SELECT 'IMG_' || CASE WHEN s.image_id < 1000 THEN lpad(CAST(s.image_id AS VARCHAR), 3, '0') ELSE CAST(s.image_id AS VARCHAR) END AS Image_ID, s.Scene_Type, coalesce(m.objects, 'none') AS Objects_Detected,
-        coalesce(trim(regexp_replace(o.raw_text, '\\s+', ' ', 'g')), '') AS Text_Extracted, round_even(round(m.mean, 9), 2) AS Confidence_Score FROM ({SCENES}) s
+        coalesce(trim(regexp_replace(o.raw_text, '\\s+', ' ', 'g')), '') AS Text_Extracted, {HALF_EVEN} AS Confidence_Score FROM ({SCENES}) s
         JOIN (SELECT image_id, string_agg(DISTINCT label, ', ' ORDER BY label) AS objects, avg(conf) AS mean FROM (SELECT image_id, label, conf FROM ({OBJECTS}) a UNION ALL SELECT image_id, NULL, conf FROM ({FIRES}) b UNION ALL SELECT image_id, NULL, scene_conf FROM ({SCENES}) c) u GROUP BY 1) m USING (image_id)
         LEFT JOIN ocr_raw o ON o.image_id = s.image_id""",
 }

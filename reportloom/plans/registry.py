@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reportloom.plans import incidents, media
+from reportloom.plans import documents, incidents, media
 
-_PLANS = [incidents, media]
+_PLANS = [incidents, media, documents]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _plan in _PLANS:
