@@ -8,7 +8,7 @@ from functools import cache
 #: Suffix and replacement of each step of the published algorithm.
 STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
 STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-STEP4 = "al ance ence er ic able ible ant ement ment ent sion tion ou ism ate iti ous ive ize"
+STEP4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize"
 
 
 def _form(stem: str) -> str:
@@ -67,8 +67,10 @@ def porter(word: str) -> str:
         word = word[:-1] + "i"
     word = _longest(word, _pairs(STEP2), 0)
     word = _longest(word, _pairs(STEP3), 0)
-    fourth = [(s, s[0] if s in ("sion", "tion") else "") for s in STEP4.split()]
-    word = _longest(word, fourth, 1)
+    if word.endswith(("sion", "tion")):
+        word = word[:-3] if _measure(word[:-3]) > 1 else word
+    else:
+        word = _longest(word, [(s, "") for s in STEP4.split()], 1)
     if word.endswith("e") and (_measure(word[:-1]) > 1 or _measure(word[:-1]) == 1 and not _cvc(word[:-1])):
         word = word[:-1]
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reportloom.functions.cells import assign_ids, strip
 from reportloom.functions.stem import porter
@@ -19,7 +20,7 @@ TOPIC_THRESHOLD = 0.25
 STOPWORDS = "a an and are as at be but by for from had has have he her his i if in is it its me my not of on or our she so that the their them then there they this to us was we were what when which who will with you your".split()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
