@@ -35,7 +35,7 @@ SENTENCE_COST, WORD_COST = 2, 8
 GAP = 24
 STRETCH = 64
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: How the tokenizer splits lower-cased text.
