@@ -18,8 +18,8 @@ are ignored. No items or no documents give no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,12 @@ ANSWER, LEAST, BLOCK = 5, 6, 200
 WINDOW = 8
 
 FOUND = "doc_id long, item_id long, cosine double, coverage double, first_word long, end_word long"
-_WORD = re.compile(r"\w+")
+#: Bytes that part words: all of ASCII but letters, digits and the underline. Other characters belong to words.
+_PARTS = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8").translate(_PARTS).split()
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -76,8 +77,7 @@ class Items:
 
     def numbers(self, text: str | None) -> np.ndarray:
         """The text's words as numbers, -1 for words of no item."""
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in words_of(text)], np.int32)
+        return np.array(list(map(self.vocabulary.get, words_of(text), repeat(-1))), np.int32)
 
 
 def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
@@ -155,12 +155,13 @@ class Search:
     def __init__(self, items: Items, idf: np.ndarray, rare: float, vectors: np.ndarray):
         self.items, self.rare = items, rare
         self.weight = np.append(idf, rare).astype(np.float32)  # the last is for words of no item
-        self.latent = np.vstack([vectors * idf[:, None], np.zeros((1, vectors.shape[1]))]).astype(np.float32)
+        latent = vectors * idf[:, None]
         self.queries = []
         for size, members in sorted(items.groups.items()):
-            q = np.array([self.latent[items.words[k]].sum(0) for k in members])
+            q = np.array([latent[items.words[k]].sum(0) for k in members])
             q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-            self.queries.append((size, np.array(members), q.T.astype(np.float32)))
+            # A window's products with the items are the sums of its words' products.
+            self.queries.append((size, np.array(members), (latent @ q.T).astype(np.float32)))
 
     def find(self, text: str | None) -> Iterator[tuple[int, float, float, int, int]]:
         """(item, cosine, coverage, first word, end word) of each confirmed item, at its best place."""
@@ -191,8 +192,7 @@ class Search:
                     continue
                 first = np.concatenate([[0], np.cumsum(hi - lo)])
                 held_words = numbers[where[np.arange(first[-1]) + np.repeat(lo - first[:-1], hi - lo)]]
-                p = np.add.reduceat(self.latent[held_words], first[:-1], axis=0)
-                cosines = (p @ q) / np.sqrt(np.maximum(length, 1e-9))[:, None]
+                cosines = np.add.reduceat(q[held_words], first[:-1], axis=0) / np.sqrt(np.maximum(length, 1e-9))[:, None]
                 for w, m in zip(*np.nonzero(cosines >= COSINE), strict=True):
                     k = int(members[m])
                     self._confirm(k, float(cosines[w, m]), numbers, int(s[w]), int(e[w]), best)
