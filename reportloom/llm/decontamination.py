@@ -1,11 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The benchmark is a stated query set; every document is searched, whole, for each of its items. Documents are read as
-passages (windows of about an item's length, at a quarter of that as stride). Passages are TF-IDF vectors over the
-words of the items, projected to the leading right singular vectors that a distributed randomised SVD finds; windows
-whose cosine with an item, against the passage's full length, reaches ``COSINE`` are candidates. A candidate is
-confirmed if a longest common subsequence of words covers ``COVER`` of the item within a stretch of 1.5 items, and the
-item's answer (its last words, ``ANSWER`` of them) is covered by half at least, or the whole by ``SURE``.
+passages: for each item, windows of blocks that hold every stretch of ``STRETCH`` items. Passages are TF-IDF vectors
+over the words of the items, projected to the leading right singular vectors that a distributed randomised SVD finds
+(and to the items' own directions that it lacks). A window whose product with an item reaches the least one that
+``COVER`` of the item's words can have, and that holds words of so many of its places, is a candidate. Both bounds follow
+from ``COVER`` alone: whatever the document frequencies, no stretch that the confirmation would take is left out. A
+candidate is confirmed if a longest common subsequence of words covers ``COVER`` of the item, and the item's answer (its
+last words, ``ANSWER`` of them) is covered by half at least, or the whole by ``SURE``. ``cosine`` is told of confirmed
+windows only and decides nothing; it takes words of no item of a block as never seen.
 
 Document frequencies count all documents. The SVD is the index; it is fitted on all items and a bounded sample of
 documents (``FIT_ROWS``) but used on every passage. Items go in blocks of ``BLOCK``, so that what a task holds is
@@ -18,7 +21,7 @@ are ignored. No items or no documents give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -33,10 +36,12 @@ RANK, OVERSAMPLE, ROUNDS = 256, 16, 2
 FIT_ROWS, FIT_TASKS = 2_000, 8
 #: An item counts as so many passages in the fit; the index is there to tell items apart.
 ITEM_WEIGHT = 1_000
-COSINE, COVER, SURE = 0.4, 0.6, 0.8
+COVER, SURE, STRETCH = 0.6, 0.8, 1.5
 ANSWER, LEAST, BLOCK = 5, 6, 200
-#: Words of the shortest window; the others are two, four and more times as long.
+#: Words of a block; windows are runs of blocks.
 WINDOW = 8
+#: Words searched together, and blocks whose sums are held at a time.
+WORDS, BLOCKS = 1 << 16, 512
 
 FOUND = "doc_id long, item_id long, cosine double, coverage double, first_word long, end_word long"
 #: Bytes that part words: all of ASCII but letters, digits and the underline. Other characters belong to words.
@@ -149,69 +154,144 @@ def fit_index(docs: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
     return u[:, : min(RANK, int((s > s[0] * 1e-9).sum()))]
 
 
+def least_product(words: list[int], idf: np.ndarray) -> float:
+    """The smallest TF-IDF product with an item of any passage that holds ``COVER`` of the item's words."""
+    values, counts = np.unique(words, return_counts=True)
+    each = np.sort(np.repeat(counts * idf[values] ** 2, counts))
+    return float(each[: -int(-COVER * len(words) // 1)].sum())
+
+
 class Search:
     """Finds the items of a block in whole texts."""
 
     def __init__(self, items: Items, idf: np.ndarray, rare: float, vectors: np.ndarray):
-        self.items, self.rare = items, rare
-        self.weight = np.append(idf, rare).astype(np.float32)  # the last is for words of no item
-        latent = vectors * idf[:, None]
-        self.queries = []
-        for size, members in sorted(items.groups.items()):
-            q = np.array([latent[items.words[k]].sum(0) for k in members])
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-            # A window's products with the items are the sums of its words' products.
-            self.queries.append((size, np.array(members), (latent @ q.T).astype(np.float32)))
-
-    def find(self, text: str | None) -> Iterator[tuple[int, float, float, int, int]]:
-        """(item, cosine, coverage, first word, end word) of each confirmed item, at its best place."""
-        numbers = self.items.numbers(text)
-        hits = numbers >= 0
-        if hits.sum() < LEAST * COVER:
-            return
-        norms = np.concatenate([[0.0], np.cumsum(np.square(self.weight[numbers], dtype=np.float64))])
-        where = np.nonzero(hits)[0]
-        best: dict[int, tuple[float, float, int, int]] = {}
-        sums = None
-        for size, members, q in self.queries:
-            stride = max(1, size // 4)
-            starts = np.arange(0, max(1, len(numbers) - size + stride), stride)
-            ends = np.minimum(starts + size, len(numbers))
-            full = norms[ends] - norms[starts]
-            # Only windows whose item words could reach the cosine are projected.
-            if sums is None:
-                held = np.where(hits, np.square(self.weight[numbers], dtype=np.float64), 0)
-                sums = np.concatenate([[0.0], np.cumsum(held)])
-            keep = (sums[ends] - sums[starts]) >= COSINE**2 * full
-            starts, ends, full = starts[keep], ends[keep], full[keep]
-            for at in range(0, len(starts), 512):
-                s, e = starts[at : at + 512], ends[at : at + 512]
-                lo, hi = np.searchsorted(where, s), np.searchsorted(where, e)
-                s, e, lo, hi, length = (x[hi > lo] for x in (s, e, lo, hi, full[at : at + 512]))
-                if not len(s):
-                    continue
-                first = np.concatenate([[0], np.cumsum(hi - lo)])
-                held_words = numbers[where[np.arange(first[-1]) + np.repeat(lo - first[:-1], hi - lo)]]
-                cosines = np.add.reduceat(q[held_words], first[:-1], axis=0) / np.sqrt(np.maximum(length, 1e-9))[:, None]
-                for w, m in zip(*np.nonzero(cosines >= COSINE), strict=True):
-                    k = int(members[m])
-                    self._confirm(k, float(cosines[w, m]), numbers, int(s[w]), int(e[w]), best)
-        for k, (cosine, cover, a, b) in sorted(best.items()):
-            yield k, cosine, cover, a, b
-
-    def _confirm(self, k: int, cosine: float, numbers: np.ndarray, start: int, end: int, best: dict) -> None:
+        self.items = items
+        self.weight = np.append(idf, rare)  # the last is for words of no item
+        own = np.zeros((len(items.ids), len(idf)))
+        for k, words in enumerate(items.words):
+            np.add.at(own[k], words, idf[words])
+        # Directions of items that the index lacks are added, so that no product is too small.
+        missing = own - (own @ vectors) @ vectors.T
+        missing = missing[np.linalg.norm(missing, axis=1) > 1e-9 * np.linalg.norm(own, axis=1)]
+        if len(missing):
+            u, s, _ = np.linalg.svd(missing.T, full_matrices=False)
+            vectors = np.linalg.qr(np.hstack([vectors, u[:, s > s[0] * 1e-9]]))[0]
+        self.norms = np.linalg.norm(own, axis=1)
+        # Blocks that surely hold any stretch of ``STRETCH`` items; items of equal widths side by side.
+        blocks = [-(-int(STRETCH * len(w) + 0.5) // WINDOW) + 1 for w in items.words]
+        self.order = sorted(range(len(blocks)), key=blocks.__getitem__)
+        width = np.array([blocks[k] for k in self.order])
+        self.widths = [(int(x), slice(*np.searchsorted(width, [x, x + 1]))) for x in np.unique(width)]
+        # A window's products with the items are the sums of its words' products.
+        products = ((vectors * idf[:, None]) @ (own @ vectors).T)[:, self.order]
+        # Nearly all are 0; what is left out is far below the margin of ``least``.
+        word, self.column = np.nonzero(np.abs(products) > 1e-9 * np.abs(products).max())
+        self.value, self.starts = products[word, self.column], np.searchsorted(word, np.arange(len(idf) + 1))
+        self.least = np.array([least_product(items.words[k], idf) for k in self.order]) * (1 - 1e-3)
+        self.distinct = [np.unique(items.words[k], return_counts=True) for k in self.order]
+
+    def find(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, float, float, int, int]]:
+        """(text's place, item, cosine, coverage, first word, end word) of each confirmed item, at its best place."""
+        held: list[tuple[int, np.ndarray]] = []
+        n = 0
+        for place, text in enumerate(texts):
+            numbers = self.items.numbers(text)
+            if (numbers >= 0).sum() < LEAST * COVER:
+                continue
+            held.append((place, numbers))
+            n += len(numbers)
+            if n >= WORDS:
+                yield from self._find(held)
+                held, n = [], 0
+        if held:
+            yield from self._find(held)
+
+    def _find(self, texts: list[tuple[int, np.ndarray]]) -> Iterator[tuple]:
+        """Texts one after another, each from a new block on."""
+        sizes = np.array([-(-len(x) // WINDOW) for _, x in texts])
+        firsts = np.concatenate([[0], np.cumsum(sizes)])
+        numbers = np.full(firsts[-1] * WINDOW, -1, np.int32)
+        for (_, x), f in zip(texts, firsts, strict=False):
+            numbers[f * WINDOW : f * WINDOW + len(x)] = x
+        of = np.repeat(np.arange(len(texts)), sizes)
+        where = np.nonzero(numbers >= 0)[0]
+        keys = np.sort(numbers[where].astype(np.int64) * len(numbers) + where)
+        best: dict[tuple[int, int], tuple[float, float, int, int]] = {}
+        for column, start, end in self._windows(numbers, firsts, of):
+            keep = self._holds(column, start * WINDOW, end * WINDOW, keys, len(numbers))
+            k = self.order[column]
+            start, end = start[keep], end[keep]
+            # Neighbouring windows of a text are first tried as one: it covers no less than any of them.
+            cuts = np.nonzero((start[1:] != start[:-1] + 1) | (of[start[1:]] != of[start[:-1]]))[0] + 1
+            for run in np.split(np.arange(len(start)), cuts):
+                if len(run):
+                    t = int(of[start[run[0]]])
+                    self._confirm(k, t, texts[t][1], (start[run] - firsts[t]) * WINDOW, (end[run] - firsts[t]) * WINDOW, best)
+        for (t, k), found in sorted(best.items()):
+            yield texts[t][0], k, *found
+
+    def _windows(self, numbers: np.ndarray, firsts: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(column, start, end) in blocks, of the windows whose product with an item could belong to ``COVER`` of it."""
+        found: dict[int, list] = {}
+        total, widest = len(of), self.widths[-1][0]
+        for lo in range(0, total, BLOCKS):
+            hi = min(total, lo + BLOCKS + widest)
+            words = numbers[lo * WINDOW : hi * WINDOW]
+            place = np.nonzero(words >= 0)[0]
+            first, count = self.starts[words[place]], np.diff(self.starts)[words[place]]
+            entry = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            cell = np.repeat((place // WINDOW + 1) * len(self.order), count) + self.column[entry]
+            sums = np.bincount(cell, self.value[entry], (hi - lo + 1) * len(self.order)).reshape(hi - lo + 1, -1)
+            np.cumsum(sums, axis=0, out=sums)
+            at = np.arange(lo, min(total, lo + BLOCKS))
+            text_first, text_end = firsts[of[at]], firsts[of[at] + 1]
+            for width, columns in self.widths:
+                # A window that its text's end cuts lies in the one before it, unless it is the text's first.
+                start = at[(at + width <= text_end) | (at == text_first)]
+                end = np.minimum(start + width, firsts[of[start] + 1])
+                near = sums[end - lo, columns] - sums[start - lo, columns] >= self.least[columns]
+                w, c = np.divmod(np.flatnonzero(near), near.shape[1])
+                order = np.argsort(c, kind="stable")
+                w, c = w[order], c[order] + columns.start
+                for part in np.split(np.arange(len(c)), np.nonzero(c[1:] != c[:-1])[0] + 1):
+                    if len(part):
+                        found.setdefault(int(c[part[0]]), []).append((start[w[part]], end[w[part]]))
+        for column, parts in found.items():
+            yield column, *(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _holds(self, column: int, start: np.ndarray, end: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+        """Whether windows hold words of ``COVER`` of the item's places. ``keys``: word * n + place of all words, sorted."""
+        values, counts = self.distinct[column]
+        low = values[None, :] * n + start[:, None]
+        at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+        inside = (keys[at] >= low) & (keys[at] < values[None, :] * n + end[:, None])
+        return inside @ counts >= COVER * counts.sum()
+
+    def _confirm(self, k: int, t: int, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, best: dict) -> None:
         item = self.items.words[k]
-        if k in best and (best[k][1] >= 1.0 or best[k][0] >= cosine):
-            return
-        slack = len(item) // 2 + (len(item) - (end - start)) // 2 + 1
-        a, b = max(0, start - slack), min(len(numbers), end + slack)
-        around = [int(x) for x in numbers[a:b]]
-        cover = common_subsequence(item, around) / len(item)
-        if cover < COVER:
+
+        def stretch(start: int, end: int) -> tuple[int, int, list[int], float]:
+            slack = max(0, 2 * len(item) - (end - start)) // 2 + 1
+            a, b = max(0, start - slack), min(len(numbers), end + slack)
+            around = numbers[a:b].tolist()
+            return a, b, around, common_subsequence(item, around) / len(item)
+
+        if len(starts) > 1 and stretch(int(starts[0]), int(ends[-1]))[3] < COVER:
             return
-        answer = common_subsequence(item[-ANSWER:], around) / len(item[-ANSWER:])
-        if (cover >= SURE or answer >= 0.5) and (k not in best or cover > best[k][1]):
-            best[k] = (cosine, cover, a, b)
+        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            if (t, k) in best and best[t, k][1] >= 1.0:
+                return
+            a, b, around, cover = stretch(start, end)
+            if cover < COVER or (t, k) in best and cover <= best[t, k][1]:
+                continue
+            answer = common_subsequence(item[-ANSWER:], around) / len(item[-ANSWER:])
+            if cover >= SURE or answer >= 0.5:
+                window = numbers[start:end]
+                own = np.zeros(len(self.weight) - 1)
+                np.add.at(own, item, self.weight[item])
+                product = float((own[window[window >= 0]] * self.weight[window[window >= 0]]).sum())
+                length = float(np.sqrt(np.square(self.weight[window]).sum()))
+                best[t, k] = (product / (length * self.norms[k]), cover, a, b)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
@@ -242,7 +322,8 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
         names = [f.split()[0] for f in FOUND.split(", ")]
         for b in batches:
             held = shared.value
-            rows = [(i, held.items.ids[k], *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, *r in held.find(t)]
+            ids = b.column(0).to_pylist()
+            rows = [(ids[place], held.items.ids[k], *r) for place, k, *r in held.find(b.column(1).to_pylist())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 

@@ -176,3 +176,20 @@ def test_leaks_against_all_pairs(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in truth} | {None, 500, 501} and kept.columns == df.columns
     assert decontamination.find_leaks(df.limit(0), bench).count() == 0 and decontamination.find_leaks(df, bench.limit(0)).count() == 0
     assert decontamination.common_subsequence([1, 2, 3, 4], [2, 9, 4]) == 2
+
+
+def test_paraphrases_are_found_whatever_the_corpus_size(spark):
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(60)]
+    items = [(k, [rng.choice(common) for _ in range(20)]) for k in range(20)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    leaks = []
+    for i, (_, w) in enumerate(items):
+        leak = list(w)
+        for p in rng.sample(range(15), i % 5 * 2):  # coverage 1 down to 0.6, the answer whole
+            leak[p] = f"new{i}x{p}"
+        leaks.append((i, " ".join([f"a{i}x{j}" for j in range(40)] + leak + [f"b{i}x{j}" for j in range(40)])))
+    for others in (30, 1500):
+        docs = leaks + [(100 + i, " ".join(rng.sample(common, 25) + [f"d{i}x{j}" for j in range(15)])) for i in range(others)]
+        got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).where("doc_id < 100").collect()}
+        assert {(i, i) for i in range(20)} <= got
