@@ -2,9 +2,10 @@
 
 Markup is stripped into lines (one per block element), with menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments taken out by element, role or class. Over the lines left, text lengths
-(links count little) are summed in a sliding window; text starts where the sum surges over ``SURGE`` and ends where it
-dives to ``DIVE``, and the stretch with most text is kept. A page that marks its text itself, by one ``article`` or
-``main`` element, has its surge and dive at that element's ends.
+(nothing for lines that are mostly links) are summed in a sliding window. Where the sums surge over
+``SURGE``, the text reaches from the last dive to ``DIVE`` to the next one; every such stretch is kept. A page that marks
+its text itself, by one ``article`` or ``main`` element, has its surge and dive at that element's ends. A page without a
+surge gives all of its lines.
 
 Null and empty pages, and pages without text, give an empty string; very long pages are handled whole. Every row is
 handled alone: repeated rows stay, extra columns are ignored, no rows give no rows.
@@ -112,36 +113,37 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def stretches(lines: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the runs of lines between two dives in which the window sums surge.
+
+    Windows are centred on their line and padded at the ends, so that a short first or last line counts as its neighbours do.
+    """
+    weights = [0 if w * 2 < len(text) else w for text, w, _ in lines]
+    half = WINDOW // 2
+    sums = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(len(weights))]
+    out, i = [], 0
+    while i < len(sums):
+        start = i
+        while i < len(sums) and sums[i] > DIVE:
+            i += 1
+        if i > start and max(sums[start:i]) > SURGE:
+            held = [k for k in range(start, i) if weights[k]]  # lines of links do not belong to the ends
+            out.append((held[0], held[-1] + 1))
+        i += i == start
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text: lines between surge and dive, joined by one space."""
     lines = lines_of(page or "")
-    if not lines:
-        return ""
     marked: dict[int, int] = {}
     for _, weight, main in lines:
         if main:
             marked[main] = marked.get(main, 0) + weight
     if len(marked) == 1:
         return " ".join(text for text, _, main in lines if main)
-    weights = [w for _, w, _ in lines]
-    sums, running = [], sum(weights[:WINDOW])
-    for i in range(len(weights)):
-        sums.append(running)
-        running += (weights[i + WINDOW] if i + WINDOW < len(weights) else 0) - weights[i]
-    best, best_sum, i = (0, 0), 0, 0
-    while i < len(sums):
-        if sums[i] <= SURGE:
-            i += 1
-            continue
-        start = i
-        while start < i + WINDOW - 1 and start + 1 < len(weights) and weights[start] * 2 < len(lines[start][0]):
-            start += 1  # lines of links do not belong to the surge
-        while i < len(sums) and sums[i] > max(DIVE, SURGE // 2):
-            i += 1
-        end = min(i, len(weights))
-        if (total := sum(weights[start:end])) > best_sum:
-            best, best_sum = (start, end), total
-    chosen = lines[slice(*best)] if best_sum else lines
+    found = stretches(lines)
+    chosen = [x for a, b in found for x in lines[a:b]] if found else lines
     return " ".join(text for text, _, _ in chosen)
 
 

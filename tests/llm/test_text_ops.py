@@ -193,3 +193,11 @@ def test_paraphrases_are_found_whatever_the_corpus_size(spark):
         docs = leaks + [(100 + i, " ".join(rng.sample(common, 25) + [f"d{i}x{j}" for j in range(15)])) for i in range(others)]
         got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).where("doc_id < 100").collect()}
         assert {(i, i) for i in range(20)} <= got
+
+
+def test_html_keeps_short_paragraphs():
+    words = "word " * 30
+    lines = ["Title", "By A", "In B", "On C", words, "Yes.", "No.", "Why?", "Go.", "Now.", "Well.", words, "End."]
+    menu = "".join(f"<li><a href=x>Some other page {i}</a></li>" for i in range(8))
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    assert html_text.extract(f"<ul>{menu}</ul><div>{body}</div><ul>{menu}</ul>") == " ".join(" ".join(lines).split())
