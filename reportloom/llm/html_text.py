@@ -2,10 +2,10 @@
 
 Markup is stripped into lines (one per block element), with menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments taken out by element, role or class. Over the lines left, text lengths
-(nothing for lines that are mostly links) are summed in a sliding window. Where the sums surge over
-``SURGE``, the text reaches from the last dive to ``DIVE`` to the next one; every such stretch is kept. A page that marks
-its text itself, by one ``article`` or ``main`` element, has its surge and dive at that element's ends. A page without a
-surge gives all of its lines.
+(nothing for lines that are mostly links) are summed in a sliding window on every page. Where the sums surge over
+``SURGE``, the text reaches from the last dive to ``DIVE`` to the next one; every such stretch is kept. ``article`` and
+``main`` elements bound the lines if they hold at least as much as the stretches outside them. A page without a surge
+gives all of its lines.
 
 Null and empty pages, and pages without text, give an empty string; very long pages are handled whole. Every row is
 handled alone: repeated rows stay, extra columns are ignored, no rows give no rows.
@@ -136,12 +136,12 @@ def stretches(lines: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
 def extract(page: str | None) -> str:
     """The main text: lines between surge and dive, joined by one space."""
     lines = lines_of(page or "")
-    marked: dict[int, int] = {}
-    for _, weight, main in lines:
-        if main:
-            marked[main] = marked.get(main, 0) + weight
-    if len(marked) == 1:
-        return " ".join(text for text, _, main in lines if main)
+    marked, rest = [x for x in lines if x[2]], [x for x in lines if not x[2]]
+    if marked and rest:
+        # Marked elements bound the text, unless what surges outside is more than they hold.
+        outside = sum(x[1] for a, b in stretches(rest) for x in rest[a:b])
+        if sum(x[1] for x in marked) >= outside:
+            lines = marked
     found = stretches(lines)
     chosen = [x for a, b in found for x in lines[a:b]] if found else lines
     return " ".join(text for text, _, _ in chosen)

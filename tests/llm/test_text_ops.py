@@ -201,3 +201,13 @@ def test_html_keeps_short_paragraphs():
     menu = "".join(f"<li><a href=x>Some other page {i}</a></li>" for i in range(8))
     body = "".join(f"<p>{x}</p>" for x in lines)
     assert html_text.extract(f"<ul>{menu}</ul><div>{body}</div><ul>{menu}</ul>") == " ".join(" ".join(lines).split())
+
+
+def test_html_sums_marked_pages_too():
+    words = "word " * 30
+    text = f"Title {words}Yes. No. {words}End."
+    body = f"<p>Title</p><p>{words}</p><p>Yes.</p><p>No.</p><p>{words}</p><p>End.</p>"
+    menu = "<ul>" + "".join(f"<li><a href=x>Some other page {i}</a></li>" for i in range(8)) + "</ul>"
+    assert html_text.extract(f"<p>Site</p><article>{body}</article><p>Mail us</p>") == text
+    assert html_text.extract(f"<article>{body}{menu}</article>") == text
+    assert html_text.extract(f"<article><p>{words}</p></article>{menu}<div>{body}</div>").endswith(text)
