@@ -11,6 +11,8 @@ import pickle
 import numpy as np
 
 M, M0, BUILD_BEAM, BATCH, EXPAND = 12, 24, 48, 256, 4
+#: Marks of rows seen (one for each query and row) that a search holds at a time.
+SEEN = 1 << 25
 
 
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
@@ -162,18 +164,25 @@ class Graph:
             best = _top(sims, min(rows.shape[1], 3 * width))
             near[t] = _diverse(v, np.take_along_axis(rows, best, 1), np.take_along_axis(sims, best, 1), width)
 
+    def dearest(self) -> int:
+        """The beam's width from which on it costs more than all rows."""
+        n, dim = self.vectors.shape
+        return min(n, int((n * dim / 16) ** 0.5) + 1)
+
     def near_rows(self, queries: np.ndarray, least: float, width: int):
         """(query, row) numbers of the rows found with a similarity of at least ``least``.
 
-        A beam that is filled with such rows is widened until it holds others too, or every row was a candidate.
+        A beam that is filled with such rows is widened until it holds others too. A beam costs its width squared; from
+        ``dearest`` on a query is compared with all rows, which is cheaper and misses none.
         """
-        n = len(self.vectors)
-        for lo in range(0, len(queries), BATCH):
-            todo = np.arange(lo, min(len(queries), lo + BATCH))
+        n, dearest = len(self.vectors), self.dearest()
+        step = max(16, min(BATCH, SEEN // n))
+        for lo in range(0, len(queries), step):
+            todo = np.arange(lo, min(len(queries), lo + step))
             beam_width = min(width, n)
             while len(todo):
                 q = queries[todo]
-                if beam_width >= n:
+                if beam_width >= dearest:
                     who, row = np.nonzero(q @ self.vectors.T >= least)
                     yield todo[who], row
                     break

@@ -107,6 +107,46 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def planted_vectors(n, dim, seed):
+    """Random vectors, a third of them in near copies: many small groups and one of a tenth."""
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((n, dim))
+    at = 0
+    for size in [n // 10, *rng.integers(2, 7, n // 15).tolist()]:
+        v[at : at + size] = v[at] + rng.uniform(0.02, 0.3) * rng.standard_normal((size, dim))
+        at += size
+    return rng.permutation(v / np.linalg.norm(v, axis=1, keepdims=True))
+
+
+def test_graph_search_at_size():
+    """A shard of 12,000 rows: beams stay far below its size and 0.99 of the links are found, all of crowded queries."""
+    v = planted_vectors(24_000, 48, 3)
+    nodes = np.arange(0, len(v), 2)
+    shard = embedding_dedup.Shard(nodes, np.ones(len(nodes), np.int64), v[nodes], embedding_dedup.Graph(v[nodes]), 0)
+    pairs, number = set(), {}
+    for lo in range(0, len(v), 4096):
+        own = np.arange(lo, min(len(v), lo + 4096))
+        for src, dst, _, kind, n in shard.search(own, own % 2, np.ones(len(own), np.int64), v[own]):
+            if kind == embedding_dedup.PAIR:
+                pairs |= set(zip(src.tolist(), dst.tolist(), strict=True))
+            elif kind == embedding_dedup.COUNT:
+                number |= dict(zip(src.tolist(), n.tolist(), strict=True))
+    true = v @ v[nodes].T >= 0.9
+    true[nodes, np.arange(len(nodes))] = False
+    degree = true.sum(1)
+    few = [(int(a), int(nodes[b])) for a, b in np.argwhere(true) if degree[a] <= embedding_dedup.FEW]
+    assert shard.width <= 64 and len(few) > 10_000 and np.mean([p in pairs for p in few]) >= 0.99
+    assert {a: int(degree[a]) for a in np.nonzero(degree > embedding_dedup.FEW)[0]} == number and len(number) > 2_000
+
+
+def test_audit_without_links_keeps_the_beam():
+    v = np.random.default_rng(9).standard_normal((2_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    shard = embedding_dedup.Shard(np.arange(1_000), np.ones(1_000, np.int64), v[:1_000], embedding_dedup.Graph(v[:1_000]), 0)
+    own = np.arange(2_000)
+    assert not list(shard.search(own, own // 1_000, np.ones(2_000, np.int64), v)) and shard.width == embedding_dedup.BEAM
+
+
 def test_compact_windows_cover_every_window_once():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 40, 120).astype(np.uint64)
