@@ -1,7 +1,7 @@
 """Order-preserving packing by dynamic programming.
 
-The token stream of a partition, documents in their order, may be cut at document ends, at sentence ends and, at a
-higher price, between words. The cuts are chosen to minimise padding plus a penalty for every cut inside a
+The token stream of a partition, documents in their order, may be cut at document ends, at sentence ends (of any script)
+and, only inside sentences of more than ``LONG`` tokens, between words at a higher price. The cuts are chosen to minimise padding plus a penalty for every cut inside a
 document: with boundaries at p, f(j) = min over i with p[j] - p[i] <= size of f(i) + padding + penalty(j). The window's
 least f(i) + p[i] is kept in a monotone queue, so that a boundary costs constant time.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
-from itertools import takewhile
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -29,81 +29,150 @@ from pyspark.sql import functions as F
 
 SIZE = 2048
 END = 1
-#: Padding tokens that a cut at a sentence end, or between words, is worth avoiding.
+#: Padding tokens that a cut at a sentence end, or between the words of a long sentence, is worth avoiding.
 SENTENCE_COST, WORD_COST = 2, 8
-#: Tokens between two word ends that are considered for a cut.
-GAP = 24
+#: Tokens of a sentence that may be cut inside, more than; and between two word ends that are considered there.
+LONG, GAP = 64, 24
+#: Tokens between two sentence ends that are considered for a cut.
+STEP = 12
 STRETCH = 64
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+#: Words whose ids a Python worker remembers, and code points of the texts whose words are looked up together.
+REMEMBERED, TOGETHER = 600_000, 1 << 22
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: How the tokenizer splits lower-cased text.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of other characters go to the tokenizer whole.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧]*")
-_CONTROL = regex.compile(r"[^\t\n\r\x20-\x7e]")
-_STOP = regex.compile(r"[.!?][\"')\]]*$")
-#: A comma or full stop that follows another mark belongs to it.
-_MARKS = regex.compile(r"[^\s0-9a-zß-öø-ɏ][,.]\s|(?<!\S)[,.]\s")
+_STOP = regex.compile(r"[.!?…][\"')\]”’»›]*$")
+#: Sentence ends of any script; some scripts put no space after them.
+_ENDS = regex.compile(r"[.!?…։؟۔।॥።။។][\"')\]”’»›]*(?=\s|$)|[。！？｡][\"')\]”’»›」』）]*")
+#: Words that end in a mark: a comma or full stop after them belongs to them.
+_MARK = regex.compile(r"[^0-9a-zß-öø-ɏ]$")
+#: Stand between texts, and after a comma or full stop that was taken off its word. No plain text holds them.
+_BREAK, _OFF = "\0", "\1"
+
+
+class _Numbers(dict):
+    """Numbers for words in the order in which they are first met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 class WordTokens:
     """Token ids of whole texts and the places where sentences and words end.
 
     White space separates tokens, so a text's ids are those of its stretches between white space, in order. Each worker
-    remembers the ids of the stretches that it has met, in one flat array.
+    remembers the ids of the stretches that it has met, in one flat array, and learns new ones by one call of the
+    tokenizer for many texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.size, self.stop = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        self.used = 0
-
-    def _learn(self, missing: list[str]) -> None:
-        """One call for all: the tokenizer tells of each id which split part it comes from."""
-        e = self.tokenizer.encode(" ".join(missing), add_special_tokens=False)
-        parts = np.array([1 if w.isalpha() else len(_SPLIT.findall(w)) for w in missing])
-        owner = np.repeat(np.arange(len(missing)), parts)[np.array(e.word_ids, np.int64)] if e.ids else np.zeros(0, np.int64)
-        size = np.bincount(owner, minlength=len(missing))
-        old, ids = len(self.known), np.array(e.ids, np.uint32)
-        self.known |= zip(missing, range(old, old + len(missing)), strict=True)
-        self.flat, self.start, self.size, self.stop = (_room(x, n) for x, n in ((self.flat, self.used + len(ids)), *((x, len(self.known)) for x in (self.start, self.size, self.stop))))
+        self.known, self.learnt, self.used = _Numbers({_BREAK: 0}), 1, 0
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.stop, self.mark, self.off = (np.zeros(1, bool) for _ in range(3))
+        self._learn([",", "."], off=True)
+
+    def _learn(self, words: list[str] | None = None, off: bool = False) -> None:
+        """One call for all new words. ``off``: they are marks that were taken off their words."""
+        old = self.learnt
+        if words is None:
+            words = list(islice(self.known, old, None))
+        else:
+            self.known |= {w + _OFF: old + k for k, w in enumerate(words)}
+        n = old + len(words)
+        odd = [k for k, w in enumerate(words) if not w.isalpha()]  # the others are one split part each
+        parts = np.ones(len(words), np.int64)
+        parts[odd] = [len(_SPLIT.findall(words[k])) for k in odd]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = self.closes[ids]  # the last id of a split part tells so
+        if int(ends.sum()) != int(parts.sum()):
+            raise ValueError("the tokenizer splits texts by another rule than word_tokens does")
+        size = np.diff(np.concatenate([[-1], np.nonzero(ends)[0]])[np.concatenate([[0], np.cumsum(parts)])])
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.start, self.size, self.stop, self.mark, self.off = (_room(x, n) for x in (self.start, self.size, self.stop, self.mark, self.off))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[old : len(self.known)] = self.used + np.cumsum(size) - size
-        self.size[old : len(self.known)] = size
-        self.stop[old : len(self.known)] = [not w.isalpha() and bool(_STOP.search(w)) for w in missing]
-        self.used += len(ids)
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids, sentence ends, word ends (only some of them, ``GAP`` apart or more)."""
-        if "<|" in text or not (text.isascii() and not _CONTROL.search(text) or _PLAIN.fullmatch(text)):
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            return ids, np.zeros(0, np.int64), np.arange(GAP, len(ids), GAP)
-        text = text.lower()
-        if not _MARKS.search(text):  # marks that stand alone may be taken off their words
-            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        self.start[old:n], self.size[old:n] = self.used + np.cumsum(size) - size, size
+        self.stop[old:n], self.mark[old:n], self.off[old:n] = False, False, off
+        at = np.array(odd, np.int64) + old
+        self.stop[at] = [bool(_STOP.search(words[k])) for k in odd]
+        self.mark[at] = [bool(_MARK.search(words[k])) for k in odd]
+        self.used, self.learnt = self.used + len(ids), n
+
+    def _words(self, text: str) -> np.ndarray:
+        """The numbers of the text's words, the text already in lower case."""
         words = text.split()
-        try:
-            at = [self.known[w] for w in words]
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self._forget()
-            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-            at = [self.known[w] for w in words]
-        at = np.array(at, np.int64)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if len(self.known) > self.learnt:
+            self._learn()
+        return at
+
+    def _tokens(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of numbered words, and where each word ends in them."""
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.start[at] - ends + size, size)]
-        some = ends[np.unique(np.searchsorted(ends, np.arange(GAP, total, GAP)))]
-        return ids, ends[self.stop[at]], some
+        return self.flat[np.arange(total) + np.repeat(self.start[at] - ends + size, size)], ends
+
+    def _plain(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        lower = f" {_BREAK} ".join(texts).lower()
+        at = self._words(lower.replace(", ", f" ,{_OFF} ").replace(". ", f" .{_OFF} ").replace(".\n", f" .{_OFF}\n"))
+        cuts = np.nonzero(at == self.known[_BREAK])[0] if len(texts) > 1 else np.zeros(0, np.int64)
+        ids, ends = self._tokens(at)
+        stop = self.stop[at]
+        before = np.concatenate([[0], ends])
+        # A mark that was taken off another mark belongs to it: such texts are split anew as they stand.
+        joined = np.nonzero(self.off[at[1:]] & self.mark[at[:-1]])[0]
+        anew = set(np.searchsorted(cuts, joined).tolist())
+        out = []
+        for k, (a, b) in enumerate(zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(at)], strict=True)):
+            if k in anew:
+                own = self._words(texts[k].lower())
+                own_ids, own_ends = self._tokens(own)
+                out.append((own_ids, own_ends[self.stop[own]], own_ends))
+            else:
+                first, e = before[a], ends[a:b] - before[a]
+                out.append((ids[first : before[b]], e[stop[a:b]], e))
+        return out
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        last = np.array([b for _, b in e.offsets], np.int64)
+        stops = np.searchsorted(last, [m.end() for m in _ENDS.finditer(text)], side="right")
+        word = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
+        return np.array(e.ids, np.uint32), np.unique(stops[stops > 0]), np.nonzero(word[1:] != word[:-1])[0] + 1
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """ids, sentence ends and word ends of each text, in order."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if "<|" not in text and _PLAIN.fullmatch(text):
+                held.append(text)
+                size += len(text)
+                if size < TOGETHER:
+                    continue
+                text = None
+            if held:
+                yield from self._plain(held)
+                held, size = [], 0
+            if text is not None:
+                yield self._whole(text)
+        if held:
+            yield from self._plain(held)
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -165,16 +234,26 @@ class Packer:
 
     def add(self, doc_id, ids: np.ndarray, sentences: np.ndarray, words: np.ndarray) -> Iterator[tuple]:
         n = len(ids) + 1
-        cost = dict.fromkeys(words.tolist(), WORD_COST) | dict.fromkeys(sentences.tolist(), SENTENCE_COST) | {n: 0.0}
-        before = 0
-        for p in sorted(cost):
-            while p - before > self.size:  # words too long for a sequence
-                before += self.size
-                self.places.append(self.at + before)
-                self.costs.append(WORD_COST)
-            before = p
-            self.places.append(self.at + p)
-            self.costs.append(cost[p])
+        ends = sentences[: np.searchsorted(sentences, n - 1)]
+        if len(ends):
+            ends = ends[np.unique(np.searchsorted(ends, np.arange(STEP, int(ends[-1]) + 1, STEP)))]
+        ends = np.append(ends, n)
+        gaps = np.diff(ends, prepend=0)
+        costs = np.full(len(ends), float(SENTENCE_COST))
+        if n > LONG and gaps.max() > LONG:
+            inside = words[np.searchsorted(words, np.arange(GAP, int(words[-1]) + 1, GAP))]
+            gap = np.searchsorted(ends, inside)
+            inside = np.unique(inside[(gaps[gap] > LONG) & (ends[gap] != inside)])
+            order = np.argsort(np.concatenate([ends, inside]), kind="stable")
+            ends = np.concatenate([ends, inside])[order]
+            costs = np.concatenate([costs, np.full(len(inside), float(WORD_COST))])[order]
+        costs[-1] = 0.0
+        if n > self.size and (gaps := np.diff(ends, prepend=0)).max() > self.size:  # words too long for a sequence
+            more = np.concatenate([np.arange(e - g + self.size, e, self.size) for e, g in zip(ends, gaps, strict=True) if g > self.size])
+            at = np.searchsorted(ends, more)
+            ends, costs = np.insert(ends, at, more), np.insert(costs, at, float(WORD_COST))
+        self.places += (ends + self.at).tolist()
+        self.costs += costs.tolist()
         self.docs.append((doc_id, np.append(ids, np.uint32(END)).astype("<u4").tobytes(), self.at, n))
         self.at += n
         if self.at - self.places[0] >= STRETCH * self.size:
@@ -219,7 +298,8 @@ def pack(df: DataFrame, tokenizer: str | Callable[[], str], id_col: str = "doc_i
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for b in batches:
-            rows = [p for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p in packer.add(i, *encode(t or ""))]
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            rows = [p for i, found in zip(b.column(0).to_pylist(), encode(texts), strict=True) for p in packer.add(i, *found)]
             if rows:
                 yield batch(rows)
         if rows := list(packer.finish()):
