@@ -183,3 +183,53 @@ def test_passages_against_brute_force(spark):
         if r.similarity == 1:
             assert words[r.doc_id][r.start : r.end] == words[r.other_id][r.other_start : r.other_end] and r.end - r.start >= 50
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
+    equal = substring_dedup.repeated_passages(spark.createDataFrame([(5, " a" * 60), (4, " a" * 60), (4, " a" * 60), (3, "b"), (2, "b")], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in equal] == [(5, 4, 0, 60, 0, 60, 1.0)]
+
+
+def best_similarity(a, b, length=46):
+    """Of all pairs of windows."""
+    wa, wb = ([frozenset(h[i : i + length].tolist()) for i in range(len(h) - length + 1)] for h in (a, b))
+    return max((len(x & y) / len(x | y) for x in wa for y in wb if len(x & y) > 36), default=0.0)
+
+
+@pytest.mark.parametrize("words,changed,inserted,removed", [(50, 1, 0, 0), (60, 2, 0, 0), (60, 0, 1, 0), (80, 0, 2, 0), (60, 0, 0, 1), (120, 4, 0, 0)])
+def test_near_passages_are_found(spark, words, changed, inserted, removed):
+    """At least 0.9 of the planted near copies that have a window of 50 words at a similarity of 0.8."""
+    rng = random.Random(words * 100 + changed * 10 + inserted)
+    word = lambda: f"w{rng.randint(0, 50_000)}"
+    some = lambda n: [word() for _ in range(n)]
+    docs, qualify = [], []
+    for k in range(60):
+        passage = some(words)
+        near = list(passage)
+        for _ in range(changed):
+            near[rng.randrange(len(near))] = word()
+        for _ in range(inserted):
+            near.insert(rng.randrange(1, len(near)), word())
+        for _ in range(removed):
+            del near[rng.randrange(len(near))]
+        pair = [" ".join(some(rng.randint(0, 90)) + x + some(rng.randint(0, 90))) for x in (passage, near)]
+        docs += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+        if best_similarity(*(substring_dedup.shingle_hashes(substring_dedup.word_hashes(t)) for t in pair)) >= 0.8:
+            qualify.append(k)
+    found = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(qualify) > 20 and sum((2 * k + 1, 2 * k) in found for k in qualify) >= 0.9 * len(qualify)
+    assert all(a == b + 1 and b % 2 == 0 for a, b in found)
+
+
+def test_rare_pairs_around_a_common_line(spark, monkeypatch):
+    """Each pair shares 52 words around a line that hundreds of documents have."""
+    rng = random.Random(12)
+    some = lambda n: [f"w{rng.randint(0, 50_000)}" for _ in range(n)]
+    line, docs = some(40), []
+    for k in range(300):
+        docs.append((k, " ".join(some(60) + line + some(60))))
+    for k in range(40):
+        passage = (lambda a: some(0) + a[0] + line + a[1])((some(6), some(6)))
+        docs += [(1000 + 2 * k + i, " ".join(some(40) + passage + some(40))) for i in (0, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for held in (1 << 20, 500):
+        monkeypatch.setattr(substring_dedup, "HELD", held)
+        found = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(df).collect()}
+        assert found == {(1001 + 2 * k, 1000 + 2 * k) for k in range(40)}
