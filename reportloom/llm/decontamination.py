@@ -11,10 +11,11 @@ last words, ``ANSWER`` of them) is covered by half at least, or the whole by ``S
 windows only and decides nothing; it takes words of no item of a block as never seen.
 
 Document frequencies count all documents. The SVD is the index; it is fitted on all items and a bounded sample of
-documents (``FIT_ROWS``) but used on every passage. Items go in blocks of ``BLOCK``, so that what a task holds is
-bounded for any benchmark.
+documents (``FIT_ROWS``) but used on every passage. Items go in blocks of ``BLOCK`` with an index each, and ``TOGETHER`` of
+them are searched in one pass over the documents, so that what a task holds is bounded for any benchmark.
 
-Null and empty texts (of either table) contain and match nothing, as do items of under ``LEAST`` words. Repeated rows
+Null and empty texts (of either table) contain and match nothing. An item of under ``LEAST`` words is found where it stands
+as it is, word by word (cosine and coverage 1, its first place). Repeated rows
 and ids stay repeated; an item id that occurs twice is two items. Rows with null ids are searched too. Extra columns
 are ignored. No items or no documents give no rows.
 """
@@ -22,7 +23,7 @@ are ignored. No items or no documents give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ FIT_ROWS, FIT_TASKS = 2_000, 8
 ITEM_WEIGHT = 1_000
 COVER, SURE, STRETCH = 0.6, 0.8, 1.5
 ANSWER, LEAST, BLOCK = 5, 6, 200
+#: Items searched in one pass over the documents: what a task holds of the benchmark.
+TOGETHER = 10_000
 #: Words of a block; windows are runs of blocks.
 WINDOW = 8
 #: Words searched together, and blocks whose sums are held at a time.
@@ -68,11 +71,10 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 class Items:
     """A block of benchmark items: their words as numbers, and length groups for windows."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]]):
-        split = [(i, w) for i, t in rows if len(w := words_of(t)) >= LEAST]
-        self.ids = [i for i, _ in split]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in split for w in ws}))}
-        self.words = [[self.vocabulary[w] for w in ws] for _, ws in split]
+    def __init__(self, rows: list[tuple[int | None, list[bytes]]]):
+        self.ids = [i for i, _ in rows]
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in rows for w in ws}))}
+        self.words = [[self.vocabulary[w] for w in ws] for _, ws in rows]
         self.groups: dict[int, list[int]] = {}
         for k, ws in enumerate(self.words):
             size = WINDOW
@@ -80,14 +82,39 @@ class Items:
                 size *= 2
             self.groups.setdefault(size, []).append(k)
 
+
+class Query:
+    """The items of one pass over the documents: blocks of long ones, and short ones that are searched as runs of words."""
+
+    def __init__(self, rows: list[tuple[int | None, str | None]]):
+        split = [(i, w) for i, t in rows if (w := words_of(t))]
+        long = [x for x in split if len(x[1]) >= LEAST]
+        self.blocks = [Items(long[at : at + BLOCK]) for at in range(0, len(long), BLOCK)]
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in split for w in ws}))}
+        #: For each block, its number of each word of all items; the last is for other words.
+        self.maps = [np.array([*(b.vocabulary.get(w, -1) for w in self.vocabulary), -1], np.int32) for b in self.blocks]
+        self.short: dict[int, dict[tuple, list]] = {}
+        for i, ws in split:
+            if len(ws) < LEAST:
+                self.short.setdefault(len(ws), {}).setdefault(tuple(self.vocabulary[w] for w in ws), []).append(i)
+
     def numbers(self, text: str | None) -> np.ndarray:
         """The text's words as numbers, -1 for words of no item."""
         return np.array(list(map(self.vocabulary.get, words_of(text), repeat(-1))), np.int32)
 
+    def runs(self, numbers: np.ndarray) -> Iterator[tuple]:
+        """(item id, first word) of each short item that the text holds as it stands."""
+        for n, items in self.short.items():
+            first = np.isin(numbers[: len(numbers) - n + 1], [ws[0] for ws in items])
+            found: dict[tuple, int] = {}
+            for at in np.nonzero(first)[0].tolist():
+                found.setdefault(tuple(numbers[at : at + n].tolist()), at)
+            yield from ((i, n, at) for ws, at in found.items() for i in items.get(ws, ()))
 
-def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+
+def document_frequencies(docs: DataFrame, query: Query) -> tuple[np.ndarray, int]:
     """Documents that hold each word of the items, and the number of documents. Counted over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(query)
 
     def count(batches):
         held, rows = np.zeros(len(shared.value.vocabulary) + 1, np.int64), 0
@@ -100,7 +127,7 @@ def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int
         at = np.nonzero(held)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["word", "n"])
 
-    out = np.zeros(len(items.vocabulary) + 1, np.int64)
+    out = np.zeros(len(query.vocabulary) + 1, np.int64)
     # As many rows as the items have words: bounded by the query set.
     for r in docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.word] = r.n
@@ -111,18 +138,22 @@ def _passages(numbers: np.ndarray, size: int) -> list[np.ndarray]:
     return [w[w >= 0] for s in range(0, max(1, len(numbers) - size // 2), size) if len(w := numbers[s : s + size])]
 
 
-def fit_index(docs: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
+def fit_sample(docs: DataFrame) -> DataFrame:
+    """Texts of at most ``FIT_ROWS`` documents, those of the smallest hashes, read once and used in every round."""
+    hashed = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h"))
+    last = hashed.select("h").orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]  # hashes alone are compared
+    return checkpointed(hashed.where(F.col("h") <= F.lit(last)).limit(FIT_ROWS).select("text").repartition(FIT_TASKS))
+
+
+def fit_index(sample: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
     """(words, rank): leading right singular vectors of the passages' TF-IDF matrix A, by randomised subspace iteration.
 
     Each round multiplies by A'A, summed over tasks; only matrices of the fixed size words x rank travel.
     """
-    spark, n = docs.sparkSession, len(idf)
+    spark, n = sample.sparkSession, len(idf)
     rank = min(RANK + OVERSAMPLE, n)
     basis = np.random.default_rng(7).standard_normal((n, rank))
     size = max(items.groups)
-    hashed = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h"))
-    last = hashed.select("h").orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]  # hashes alone are compared
-    sample = checkpointed(hashed.where(F.col("h") <= F.lit(last)).limit(FIT_ROWS).select("text").repartition(FIT_TASKS))  # read once, used in every round
     own = [np.array(w, np.int32) for w in items.words]
 
     def gram(passages, q):
@@ -141,9 +172,10 @@ def fit_index(docs: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
         def part(batches):
             held, q = shared.value  # noqa: B023
             out = np.zeros_like(q)
+            numbers = lambda text: np.array(list(map(held.vocabulary.get, words_of(text), repeat(-1))), np.int32)
             for b in batches:
                 for text in b.column(0).to_pylist():
-                    out += gram(_passages(held.numbers(text), size), q)
+                    out += gram(_passages(numbers(text), size), q)
             yield pa.RecordBatch.from_pydict({"sum": [out.astype(np.float64).tobytes()]})
 
         q = shared.value[1]
@@ -190,12 +222,14 @@ class Search:
         self.least = np.array([least_product(items.words[k], idf) for k in self.order]) * (1 - 1e-3)
         self.distinct = [np.unique(items.words[k], return_counts=True) for k in self.order]
 
-    def find(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, float, float, int, int]]:
-        """(text's place, item, cosine, coverage, first word, end word) of each confirmed item, at its best place."""
+    def find(self, texts: Iterable[np.ndarray]) -> Iterator[tuple[int, int, float, float, int, int]]:
+        """(text's place, item, cosine, coverage, first word, end word) of each confirmed item, at its best place.
+
+        ``texts`` are the texts' words as the block's numbers.
+        """
         held: list[tuple[int, np.ndarray]] = []
         n = 0
-        for place, text in enumerate(texts):
-            numbers = self.items.numbers(text)
+        for place, numbers in enumerate(texts):
             if (numbers >= 0).sum() < LEAST * COVER:
                 continue
             held.append((place, numbers))
@@ -294,36 +328,42 @@ class Search:
                 best[t, k] = (product / (length * self.norms[k]), cover, a, b)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """One row (columns of ``FOUND``) for each document row and benchmark item that it contains."""
-    spark = docs.sparkSession
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", together: int = TOGETHER) -> DataFrame:
+    """One row (columns of ``FOUND``) for each document row and benchmark item that it contains.
+
+    The benchmark is read ``together`` items at a time; each such part of it is one pass over the documents.
+    """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = spark.createDataFrame([], FOUND)
-    block: list[tuple] = []
     rows = benchmark.select(F.col(item_col).cast("long"), F.col("text").cast("string")).toLocalIterator()
-    for row in [*rows, None]:
-        if row is not None:
-            block.append(tuple(row))
-        if block and (row is None or len(block) == BLOCK):
-            items, block = Items(block), []
-            if items.ids:
-                out = out.union(_search(slim, items))
-    return out
-
-
-def _search(docs: DataFrame, items: Items) -> DataFrame:
-    counts, n = document_frequencies(docs, items)
-    idf = np.log((1 + n) / (1 + counts)) + 0.1
-    search = Search(items, idf, float(np.log(1 + n) + 0.1), fit_index(docs, items, idf))
-    shared = docs.sparkSession.sparkContext.broadcast(search)
+    out, sample = None, None
+    while part := [tuple(r) for r in islice(rows, together)]:
+        query = Query(part)
+        if query.vocabulary:
+            sample = fit_sample(slim) if sample is None else sample
+            found = _search(slim, sample, query)
+            out = found if out is None else out.union(found)
+    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
+
+
+def _search(docs: DataFrame, sample: DataFrame, query: Query) -> DataFrame:
+    counts, n = document_frequencies(docs, query)
+    weight = np.log((1 + n) / (1 + counts)) + 0.1
+    searches = []
+    for items in query.blocks:
+        idf = weight[[query.vocabulary[w] for w in items.vocabulary]]
+        searches.append(Search(items, idf, float(np.log(1 + n) + 0.1), fit_index(sample, items, idf)))
+    shared = docs.sparkSession.sparkContext.broadcast((query, searches))
 
     def of(batches):
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
         names = [f.split()[0] for f in FOUND.split(", ")]
+        query, searches = shared.value
         for b in batches:
-            held = shared.value
             ids = b.column(0).to_pylist()
-            rows = [(ids[place], held.items.ids[k], *r) for place, k, *r in held.find(b.column(1).to_pylist())]
+            texts = [query.numbers(t) for t in b.column(1).to_pylist()]
+            rows = [(ids[place], i, 1.0, 1.0, at, at + n) for place, x in enumerate(texts) for i, n, at in query.runs(x)]
+            for block, search in zip(query.maps, searches, strict=True):
+                rows += [(ids[place], search.items.ids[k], *r) for place, k, *r in search.find(block[x] for x in texts)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 

@@ -178,6 +178,21 @@ def test_leaks_against_all_pairs(spark):
     assert decontamination.common_subsequence([1, 2, 3, 4], [2, 9, 4]) == 2
 
 
+def test_blocks_and_short_items(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [(k, " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 90)}" for _ in range(12))) for k in range(20)] + [(50, "Two words"), (51, "two"), (51, "two"), (52, "never here"), (None, "one two three four five"), (53, None), (54, " .")]
+    docs = [(i, f"x{i} " + items[i % 20][1].upper() + " y") for i in range(40)] + [(100, "say TWO  words, two words"), (101, "words two one"), (102, "one two three four five"), (103, None), (None, "two")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, i % 20) for i in range(40)} | {(100, 50), (100, 51), (101, 51), (102, None), (102, 51), (None, 51)}
+    once = decontamination.find_leaks(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in once} == want and sum((r.doc_id, r.item_id) == (101, 51) for r in once) == 2
+    assert [(r.first_word, r.end_word, r.coverage) for r in once if (r.doc_id, r.item_id) == (100, 50)] == [(1, 3, 1.0)]
+    monkeypatch.setattr(decontamination, "BLOCK", 3)
+    parts = decontamination.find_leaks(df, bench, together=7).collect()
+    assert sorted(map(str, ((r.doc_id, r.item_id) for r in parts))) == sorted(map(str, ((r.doc_id, r.item_id) for r in once)))
+
+
 def test_paraphrases_are_found_whatever_the_corpus_size(spark):
     rng = random.Random(12)
     common = [f"c{i}" for i in range(60)]
