@@ -1,9 +1,10 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by follow-the-regularised-leader (FTRL-proximal).
 
-Features of a text are its distinct words (n = 1) and pairs of neighbouring word shapes (n = 2; a shape folds letters to
-classes, so that never-seen words count by their form), each hashed to one of ``BITS`` bits, with values scaled to unit
-length. A score is the
-logistic of the sparse dot product with the weights. Labels only say what is learnt; no other column is an input.
+Features of a text are its distinct words (n = 1) and pairs of neighbouring words (n = 2), each hashed to one of ``BITS``
+bits. Two additions that are no word n-grams go with them: pairs of neighbouring word shapes (a shape folds letters to
+classes, so that never-seen words count by their form), and how often a word is said twice running. Values are scaled to
+unit length. A score is the logistic of the sparse dot product with the weights. Labels only say what is learnt; no other
+column is an input.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows (a documented bound; those with the smallest MD5 of their id), never
 a row held out; of an id that several documents have, the first text counts. Every text is scored whole. Null and empty texts have no feature but the bias. Rows of ``labels`` with a
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 18
+BITS = 20
 TRAIN_ROWS = 6_000
 EPOCHS = 6
 #: A mistake on a document of low quality costs this much; they are the rarer class.
@@ -48,7 +49,9 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
         shape[t] = _shape(t)
     forms = [shape[t] for t in tokens]
     grams = {f"s {a} {b}" for a, b in set(zip(forms, forms[1:]))}
-    words = {t.lower() for t in shape}
+    low = [t.lower() for t in tokens]
+    words = set(low)
+    grams |= {f"{a} {b}" for a, b in set(zip(low, low[1:]))}
     again = sum(a == b for a, b in zip(tokens, tokens[1:]))
     if again:  # words said twice, in eighths of the text
         grams |= {f"r {k}" for k in range(1 + 8 * again // len(tokens))}

@@ -92,6 +92,13 @@ def test_quality_held_out(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_quality_features_hold_words_and_pairs():
+    one = set(quality.features("red apple, green"))
+    assert set(quality.features("red apple, blue")) != one and len(one & set(quality.features("red apple"))) >= 4
+    # the same words in another order have other pairs
+    assert set(quality.features("apple red")) != set(quality.features("red apple")) and quality.features(None).tolist() == [0]
+
+
 def test_best_cuts_against_all_ways():
     for seed in range(300):
         rng = random.Random(seed)
