@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportloom.functions.shared import checkpointed, fresh
+
 NA = "N/A"
 #: Cells that count as missing, lower case.
 MISSING = ["", "nan", "none", "unknown", "unknown location"]
@@ -63,34 +63,39 @@ def level_rank(c: Column) -> Column:
     return F.when(c == "Low", 1).when(c == "Medium", 2).when(c == "High", 3)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reportloom-"))
-    return df.checkpoint(eager=True)
-
-
 def dense_index(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """``df`` with ``out``, 1 to n in the order of the columns ``order``, without sorting in one task.
 
-    Rows are range-partitioned and sorted; a row's number is its place in its partition plus the sizes of the
-    partitions before, of which there are few enough to broadcast. Rows equal in ``order`` are numbered in any order.
+    Runs jobs. Rows of ``order`` alone are range-partitioned, sorted and numbered: a row's number is its place in its
+    partition plus the sizes of the partitions before, of which there are few enough to broadcast. The numbers are joined
+    back by ``order``; rows equal in it are numbered in any order.
     """
-    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
-    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    sizes = [(r[0], r[1]) for r in ranged.groupBy(part.alias("p")).count().orderBy("p").collect()]  # a row for each partition
+    return _numbered(df, order, out)[0]
+
+
+def _numbered(df: DataFrame, order: list[str], out: str) -> tuple[DataFrame, int]:
+    keys = [fresh(df, f"key{i}_") for i in range(len(order))]
+    slim = df.select(*[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)])
+    ranged = checkpointed(slim.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     before, offsets = 0, []
-    for p, n in sizes:
+    for p, n in sorted((r[0], r[1]) for r in ranged.groupBy(part).count().collect()):  # a row for each partition
         offsets.append((p, before))
         before += n
-    offsets = df.sparkSession.createDataFrame(offsets, "__p long, __before long")
-    numbered = ranged.withColumn("__p", part).join(F.broadcast(offsets), "__p")
-    return numbered.withColumn(out, F.col("__before") + place + 1).drop("__p", "__before", "__at")
+    offsets = df.sparkSession.createDataFrame(offsets, "part long, before long")
+    placed = ranged.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("number", F.col("before") + place + 1)
+    # Equal keys are told apart by their place among themselves.
+    again = lambda c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(1)))
+    number, twin = fresh(df, "number_"), fresh(df, "twin_")
+    numbers = placed.select(*keys, F.col("number").alias(number)).withColumn(twin, again(keys))
+    own = df.withColumn(twin, again([F.col(c) for c in order]))
+    same = [own[c].eqNullSafe(numbers[k]) for c, k in zip(order, keys, strict=True)]
+    joined = own.join(numbers.withColumnRenamed(twin, twin + "_"), [*same, F.col(twin) == F.col(twin + "_")]).drop(*keys, twin, twin + "_")
+    return joined.withColumnRenamed(number, out), before
 
 
 def assign_ids(df: DataFrame, prefix: str, order: list[str], out: str = "Incident_ID", sep: str = "-", least: int = 3) -> DataFrame:
-    """``PREFIX-001`` and so on; the width is that of the number of rows, ``least`` digits at least."""
-    width = max(least, len(str(df.count())))
-    numbered = dense_index(df, order, "__n")
-    return numbered.withColumn(out, F.format_string(f"{prefix}{sep}%0{width}d", F.col("__n"))).drop("__n")
+    """``PREFIX-001`` and so on; the width is that of the number of rows, ``least`` digits at least. Runs jobs."""
+    name = fresh(df, "n_")
+    numbered, rows = _numbered(df, order, name)
+    return numbered.withColumn(out, F.format_string(f"{prefix}{sep}%0{max(least, len(str(rows)))}d", F.col(name))).drop(name)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from reportloom.functions.fuzzy import partial_ratios
+from reportloom.functions.shared import shared_folder
 from reportloom.operators import fields as X
 from reportloom.operators import pages as P
 from reportloom.operators import segments as S
@@ -15,11 +13,6 @@ from reportloom.plans.fixtures import fixture, oracle
 from reportloom.sources import io
 
 
-def _shared(spark, name):
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reportloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _pages(s, d):
     return fixture(s, d, "bundle_pages").withColumn("non_text", P.non_text_flag(F.col("method"), F.col("conf"), F.col("text")))
 
@@ -58,14 +51,14 @@ def _page_text(s, d):
 
 def _csv(s, d):
     """Reports written as CSV and read again."""
-    path = _shared(s, "text-report")
+    path = shared_folder(s, "text-report")
     rows = fixture(s, d, "text_reports").select(*io.REPORT_COLUMNS["Text"])
     io.write_csv(rows, path, io.REPORT_COLUMNS["Text"])
     return io.read_report(s, path, "Text")
 
 
 def _filtered(s, d):
-    path = _shared(s, "filtered")
+    path = shared_folder(s, "filtered")
     io.write_filtered(fixture(s, d, "incidents").where("Severity_Level = 'High'"), path)
     return s.read.csv(path, header=True, multiLine=True, quote='"', escape='"').select("Incident_ID", "Source", "Severity_Level", F.col("Severity_Score").cast("double").alias("Severity_Score"))
 
@@ -78,7 +71,7 @@ def _jsonl(s, d):
 
 
 def _cache(s, d):
-    path = _shared(s, "cache")
+    path = shared_folder(s, "cache")
     rows = _pages(s, d).select("page", "method", "conf", F.lit(0).alias("rotation"), "non_text", "text", "bundle_id")
     rows.groupBy("bundle_id").agg(F.lit(2).alias("version"), F.collect_list(F.struct("page", "method", "conf", "rotation", "non_text", "text")).alias("pages")).drop("bundle_id").write.json(path)
     return s.read.schema("version int, pages array<struct<page:int,method:string,conf:double,rotation:int,non_text:boolean,text:string>>").json(path).where("version = 2").select(F.explode("pages").alias("__row")).select("__row.page", "__row.method", "__row.conf", "__row.non_text")
@@ -94,7 +87,7 @@ def _master(s, d):
 
 
 def _segments_json(s, d):
-    path = _shared(s, "segments")
+    path = shared_folder(s, "segments")
     io.write_segments(_segments(s, d), path)
     return s.read.json(path).select("bundle_id", "doc_type", F.col("seg").cast("int").alias("seg"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"))
 
