@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import table
+from reportloom.llm.common import fresh, own_columns, table
 from reportloom.llm.decontamination import without_leaks
 from reportloom.llm.packing import pack, word_vocabulary
 from reportloom.llm.quality import scored, train
@@ -18,31 +18,50 @@ from reportloom.llm.simhash import keep_one
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (a score of at least 0.5)."""
+    """Documents that the quality classifier accepts (a score of at least 0.5).
+
+    Null and empty texts are scored like others (their one feature is the bias). Repeated rows and rows with a null id are
+    scored each and never learnt from twice; rows of equal scores share their fate. No rows give no rows.
+    """
+    score = fresh(docs, "score_")
     weights = train(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, weights, "text", "__score").where("__score >= 0.5").select(*docs.columns)
+    return scored(docs, weights, "text", score).where(F.col(score) >= 0.5).select(*own_columns(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that SimHash links."""
+    """One document, that of the smallest id, of each group that SimHash links.
+
+    Null and empty texts have fingerprint zero and form a group with what is near it. Of rows that repeat an id one stays;
+    rows with a null id all stay. No rows give no rows.
+    """
     return keep_one(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts hold none and stay. Rows of an id go together; rows with a null id stay. No rows give no rows.
+    """
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their texts and lengths brought up to date."""
+    """All documents, with secrets masked in their texts and lengths brought up to date.
+
+    Null and empty texts stay as they are, and a null text keeps its length. Every row is handled alone.
+    """
     clean = redact(docs, "text")
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+        clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return clean
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, as op9 gives them."""
+    """Pieces of token sequences, as op9 gives them.
+
+    Null and empty texts are one piece, the end token. Repeated rows and rows with a null id are packed each. No rows give
+    no pieces.
+    """
     return pack(docs, word_vocabulary)
 
 

@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportloom.functions.shared import checkpointed, fresh, own_columns, shared_folder  # noqa: F401  the operators take them from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read through Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    Only where the setting is absent (local tests) a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reportloom-"))
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,9 +48,3 @@ def key_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 16) -
 def md5_bucket(column, digits: int):
     """An integer from the first hex digits of a column's MD5, the same in every engine."""
     return F.conv(F.substring(F.md5(column), 1, digits), 16, 10).cast("long")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reportloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

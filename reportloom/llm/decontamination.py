@@ -372,5 +372,5 @@ def _search(docs: DataFrame, sample: DataFrame, query: Query) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that contain an item; rows of an id go together. Rows with a null id stay."""
-    bad = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_")).distinct()
+    return docs.join(bad, docs["doc_id"] == bad["leaked_"], "left_anti")

@@ -20,44 +20,54 @@ from reportloom.llm.warc import archive_digest, write_warc
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; a row without a text has none."""
     return secrets_digest(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words have fingerprint zero."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; vectors that can link with nothing stand alone."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives, written and read again, hold of every page; null html is an empty payload."""
     path = shared_folder(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     return archive_digest(spark, path)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law of equal rows; repeated rows get slots of their own."""
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, empty where there is none."""
     return main_text(table(spark, sf_dir, "pages"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; one without a text has the score of the bias."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between documents that share a passage; documents without one have no row."""
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document; one without a text is one piece, its end token."""
     return pack(table(spark, sf_dir, "documents"), word_vocabulary)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document holds; documents without one have no row."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

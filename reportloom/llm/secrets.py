@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reportloom.llm.common import fresh
+
 #: Kinds in their order, pattern, and the fewest characters (of group 2 for ``assign``).
 BASE = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
@@ -30,7 +32,8 @@ CLASSES = [
     ("entropy_base64", r"^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8),
 ]
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-#: A candidate must mix digits with letters; running words and rulers do not.
+#: A candidate must mix digits with letters: long words, joined words and rulers do not. So random strings of letters
+#: alone are not scored; one in 170 of 24 random base64 characters has no digit.
 MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"
 #: Values known to be harmless: repeated characters, counting sequences, UUIDs, documentation placeholders.
 ALLOWED = [
@@ -82,7 +85,7 @@ def max_window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Co
             term(F.element_at(acc["n"], new) + 1) - term(F.element_at(acc["n"], new))
             + F.when(old > 0, term(F.element_at(acc["n"], F.greatest(old, F.lit(1))) - 1) - term(F.element_at(acc["n"], F.greatest(old, F.lit(1))))).otherwise(F.lit(0.0))
         )
-        counts = F.transform(acc["n"], lambda c, k: c + (k + 1 == new).cast("int") - (k + 1 == old).cast("int"))
+        counts = F.transform(acc["n"], lambda c, k: c + (k + 1 == new).cast("int") - (k + 1 == old).cast("int"))  # built-in functions change no cell in place
         s = acc["s"] + grown
         bits = F.when(i >= window, F.lit(float(window)).cast("double")).otherwise(F.lit(None).cast("double"))
         entropy = F.log2(bits) - s / bits
@@ -123,14 +126,15 @@ def find_secrets(df: DataFrame, text_col: str = "text", out: str = "secret_spans
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(F.concat(*[_base(text, k) for k in BASE]))
-    df = df.withColumn("__base", base)
-    return df.withColumn(out, F.array_sort(F.concat(F.col("__base"), _entropy(text, F.col("__base"))))).drop("__base")
+    name = fresh(df, "base_")
+    df = df.withColumn(name, base)
+    return df.withColumn(out, F.array_sort(F.concat(F.col(name), _entropy(text, F.col(name))))).drop(name)
 
 
 def secrets_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, counts of the base kinds, SHA-256 of the base findings, all findings as one string."""
-    spans = F.col("__spans")
-    found = find_secrets(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "__spans")
+    spans = F.col("spans_")
+    found = find_secrets(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "spans_")
     base = F.filter(spans, lambda x: x["rank"] < len(BASE))
     count = lambda k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
@@ -151,6 +155,7 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> Dat
             F.concat(acc["out"], F.when(x["start"] >= acc["at"], gap).otherwise(F.lit(""))).alias("out"),
         )
 
-    rebuilt = F.aggregate(F.col("__spans"), zero, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    found = find_secrets(df, text_col, "__spans")
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, rebuilt).otherwise(whole)).drop("__spans")
+    name = fresh(df, "spans_")
+    rebuilt = F.aggregate(F.col(name), zero, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+    found = find_secrets(df, text_col, name)
+    return found.withColumn(text_col, F.when(F.size(name) > 0, rebuilt).otherwise(whole)).drop(name)

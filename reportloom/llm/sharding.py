@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import checkpointed
+from reportloom.llm.common import checkpointed, shuffle_partitions
 
-#: Rows that a bucket of the order holds on average, at most.
-BUCKET_ROWS = 10_000
+#: Rows that a bucket of the order holds on average, at most; and buckets for each shuffle partition, at least.
+BUCKET_ROWS, BUCKETS = 10_000, 8
 
 
 def _places(df: DataFrame, strata: list[Column], bucket: Column, order: list[Column], out: str) -> DataFrame:
@@ -42,13 +42,16 @@ def _places(df: DataFrame, strata: list[Column], bucket: Column, order: list[Col
 def interleave(df: DataFrame, source: str, id_col: str, ties: list[str], shards: int = 24, seed: int = 42) -> DataFrame:
     """Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in its shard) to the rows of ``df``.
 
-    ``ties`` are the columns that order rows of the same id; rows equal in them too are interchangeable.
+    ``ties`` are the columns that order rows of the same id; rows equal in them too are interchangeable. ``df`` has no
+    column whose name begins with two underlines.
     """
     stratum = F.concat(F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce(F.col(source).cast("string"), F.lit("")))
     totals = [tuple(r) for r in df.groupBy(stratum.alias("s")).count().select(F.max("count"), F.sum("count")).collect()][0]
     most, rows = totals[0] or 1, totals[1] or 1
-    parts = lambda n: max(1, -(-n // BUCKET_ROWS))
-    shuffled = df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))).withColumn("__stratum", stratum)
+    parts = lambda n: max(1, -(-n // BUCKET_ROWS), min(n, BUCKETS * shuffle_partitions(df.sparkSession)))
+    # Rows without an id are told apart by their ties, so that they are no hot bucket.
+    unnamed = F.concat_ws(":", F.lit("null"), *[F.col(c).cast("string") for c in ties])
+    shuffled = df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), unnamed)))).withColumn("__stratum", stratum)
     head = F.conv(F.substring("__h", 1, 8), 16, 10).cast("long")
     placed = _places(shuffled, [F.col("__stratum")], F.floor(head * F.lit(parts(most)) / F.lit(1 << 32)).cast("long"), [F.col(c) for c in ("__h", id_col, *ties)], "__place")
     sizes = df.groupBy(stratum.alias("__stratum")).agg(F.count("*").alias("__of"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import checkpointed, key_runs, shuffle_partitions
+from reportloom.llm.common import checkpointed, fresh, key_runs, own_columns, shuffle_partitions
 from reportloom.llm.components import connected_components
 
 SEED, WIDTH, RADIUS = 42, 3, 3
@@ -180,7 +180,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with a null id cannot stand for a component or be named by one; they all stay.
     """
-    heads = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    found = docs.join(checkpointed(heads), "doc_id")
-    repeated = found.where("__rows > 1").dropDuplicates(["doc_id"])
-    return found.where("__rows = 1").select(*docs.columns).union(repeated.select(*docs.columns)).union(docs.where("doc_id is null"))
+    rows, head = fresh(docs, "rows_"), fresh(docs, "head_")
+    heads = near_duplicates(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias(head)).agg(F.count("*").alias(rows))
+    found = docs.join(checkpointed(heads), docs["doc_id"] == F.col(head))
+    repeated = found.where(F.col(rows) > 1).dropDuplicates(["doc_id"])
+    own = own_columns(docs)
+    return found.where(F.col(rows) == 1).select(*own).union(repeated.select(*own)).union(docs.where("doc_id is null").select(*own))

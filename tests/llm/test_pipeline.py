@@ -46,3 +46,29 @@ def test_stages(spark, tmp_path):
         ids = [*tokenizer.encode(texts[r.doc_id].text or "", add_special_tokens=False).ids, 1]
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == packed
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Extra columns with any names pass through all stages but the last."""
+    pytest.importorskip("public_tokenizers")
+    names = ["__base", "__spans", "__rows", "__score", "base_", "SPANS_", "rows_", "score_", "head_", "leaked_", "component_id", "fp", "node", "a.b", "quality", "weights", "item_id"]
+    rng = random.Random(13)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijk") for _ in range(5)) for _ in range(40))
+    rows = [(i, text() + (" password=hunter2secret" if i == 3 else ""), 7, *[f"{n}{i}" for n in names]) for i in range(20)] + [(None, "", None, *[None] * len(names))] + [(5, None, 0, *names)] * 2
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    d = str(tmp_path)
+    spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "never in any of the texts here")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    current = spark.read.parquet(f"{d}/documents.parquet")
+    columns = current.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, current, d)
+        assert name == "packing" or out.columns == columns
+        out.write.parquet(f"{d}/{name}")
+        current = spark.read.parquet(f"{d}/{name}")
+    last = {r.doc_id: r for r in spark.read.parquet(f"{d}/secret_scans").collect()}
+    assert all(last[i][n] == f"{n}{i}" for i in (3, 8) for n in names) and "[SECRET]" in last[3].text and current.where("doc_id = 3").count() == 1
+    empty = spark.read.parquet(f"{d}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, d).count() == 0

@@ -26,9 +26,9 @@ def test_sharding(spark, monkeypatch):
     mixed = collections.Counter((r.shard, r.source) for r in one)
     assert all(abs(mixed[s, src] - n / 6) < 2.5 for src, n in total.items() for s in sizes)
     # the same places by plain Python
-    by = collections.defaultdict(list)
+    by, size = collections.defaultdict(list), lambda t: len((t or "").encode()) + 8
     for k, (i, t, src) in enumerate(rows):
-        by["s" + src if src else "n"].append((hashlib.md5(f"42:{'null' if i is None else i}".encode()).hexdigest(), i or -1, len((t or "").encode()), k))
+        by["s" + src if src else "n"].append((hashlib.md5(f"42:{f'null:{size(t)}:{zlib.crc32((t or chr(0)[:0]).encode())}' if i is None else i}".encode()).hexdigest(), i or -1, len((t or "").encode()), k))
     ranked = sorted(((n + 0.5) / len(v), src, n, x[3]) for src, v in by.items() for n, x in enumerate(sorted(v)))
     place = collections.Counter((rows[k][0], p * 6 // len(rows)) for p, (_, _, _, k) in enumerate(ranked))
     assert place == collections.Counter((r.doc_id, r.shard) for r in one)
