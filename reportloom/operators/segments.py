@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.functions.cells import strip
-from reportloom.functions.fuzzy import partial_ratios
+from reportloom.functions.fuzzy import zone_ratios
 
 #: Document type to (pattern, weight, kind).
 SIGNATURES = [
@@ -28,7 +31,7 @@ PHOTO, NONE, SAME_INSTANCE = "Photo/Non-text", "Unclassified", "Aircraft Request
 HEAD, TAIL, OPENER, BOTTOM, FUZZY, STRICT = 900, 400, 3, 5, 85, 88
 ADDRESSEES = ["1033 program", "law enforcement support office", "arkansas leso", "program manager"]
 DATE = r"(?i)(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+\d{4}|\d{1,2}/\d{1,2}/\d{2,4}"
-_TYPED = "array<struct<score:int,back:int,type:string>>"
+_FOLDED = ["bundle_id", "page", "best_type", "best_score", "bottom_type", "bottom_score", "non_text"]
 
 
 def _phrases(signatures) -> list[str]:
@@ -71,41 +74,51 @@ def page_scores(pages: DataFrame, signatures=SIGNATURES) -> DataFrame:
     """``pages`` with best_type, best_score (head of the page) and bottom_type, bottom_score (its last characters)."""
     phrases, types, text = _phrases(signatures), [t for t, _ in signatures], F.coalesce("text", F.lit(""))
     head, tail = F.substring(text, 1, HEAD), F.when(F.length(text) > TAIL, F.expr(f"right(text, {TAIL})")).otherwise(text)
-    rated = pages.withColumns({
-        "__head": partial_ratios(head, phrases), "__tail": partial_ratios(tail, phrases), "__cover": partial_ratios(F.substring(text, 1, 500), ["to whom it may concern"]),
-        "__to": F.array_max(partial_ratios(F.substring(text, 1, 250), ADDRESSEES)), "__joint": partial_ratios(F.substring(text, 1, 150), ["joint program office"]), "__done": partial_ratios(F.substring(text, 1, 300), ["successful completion"]),
-    })
-    certificate = F.when((F.get("__joint", F.lit(0)) >= STRICT) & (F.get("__done", F.lit(0)) >= STRICT), 6).otherwise(0)
-    scores = [*signature_scores(head, F.col("__head"), signatures), cover_letter_score(text, F.get("__cover", F.lit(0)), F.col("__to")), certificate]
-    rated = rated.withColumns({"__best": _best(scores, [*types, "Cover Letter", "Training Certificate"]), "__low": _best(signature_scores(tail, F.col("__tail"), signatures), types)})
+    zones = [(head, phrases), (tail, phrases), (F.substring(text, 1, 500), ["to whom it may concern"]), (F.substring(text, 1, 250), ADDRESSEES), (F.substring(text, 1, 150), ["joint program office"]), (F.substring(text, 1, 300), ["successful completion"])]
+    rated = pages.withColumn("__r", zone_ratios(zones))  # one call of the helper for a page
+    of = lambda k: F.get("__r", F.lit(k))
+    certificate = F.when((F.get(of(4), F.lit(0)) >= STRICT) & (F.get(of(5), F.lit(0)) >= STRICT), 6).otherwise(0)
+    scores = [*signature_scores(head, of(0), signatures), cover_letter_score(text, F.get(of(2), F.lit(0)), F.array_max(of(3))), certificate]
+    rated = rated.withColumns({"__best": _best(scores, [*types, "Cover Letter", "Training Certificate"]), "__low": _best(signature_scores(tail, of(1), signatures), types)})
     return rated.select(*pages.columns, F.col("__best.type").alias("best_type"), F.coalesce("__best.score", F.lit(0)).alias("best_score"), F.col("__low.type").alias("bottom_type"), F.coalesce("__low.score", F.lit(0)).alias("bottom_score"))
 
 
+def _folded(opener: int, bottom: int):
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by bundle and page; the state goes from row to row and batch to batch."""
+        bundle = kind = pending = None
+        seg = score = 0
+        for pdf in batches:
+            out = []
+            for b, page, best, points, low, low_points, blank in zip(*(pdf[c] for c in _FOLDED), strict=True):
+                if b != bundle:
+                    bundle, kind, pending, seg, score = b, None, None, 0, 0
+                opens = not blank and points >= opener and not (best == kind and best == SAME_INSTANCE)
+                footed = not blank and pending is not None and kind is not None
+                if blank and kind != PHOTO:
+                    seg, kind, score = seg + 1, PHOTO, 0
+                elif opens:
+                    seg, kind, score = seg + 1, best, points
+                elif footed:
+                    seg, kind, score = seg + 1, pending, bottom
+                elif kind is None:
+                    seg, kind, score = seg + 1, NONE, 0
+                pending = low if not blank and low_points >= bottom and low is not None and low != kind else None
+                out.append((b, page, seg, kind, score))
+            yield pd.DataFrame(out, columns=["bundle_id", "page", "seg", "doc_type", "score"])
+
+    return fold
+
+
 def segment_pages(scored: DataFrame, opener: int = OPENER, bottom: int = BOTTOM) -> DataFrame:
     """bundle_id, page, seg, doc_type, score: the pages of each bundle folded in order into segments.
 
-    Only page numbers, types and scores are gathered for a bundle; the fold is one ``aggregate`` over them. State:
-    current type, type pending from the last page's foot, segment number and its score, and the pages done.
+    Only page numbers, types and scores travel. A bundle is worked through in one task, page by page (current type, type
+    pending from the last page's foot, segment number and its score are the state); a task holds a batch.
     """
-    slim = F.struct("page", "best_type", "best_score", "bottom_type", "bottom_score", "non_text")
-    bundles = scored.groupBy("bundle_id").agg(F.array_sort(F.collect_list(slim)).alias("pages"))
-    none, done = F.lit(None).cast("string"), "array<struct<page:int,seg:int,doc_type:string,score:int>>"
-    start = F.struct(none.alias("cur"), none.alias("pend"), F.lit(0).alias("seg"), F.lit(0).alias("score"), F.array().cast(done).alias("out"))
-
-    def step(s, p):
-        opens = (p["best_score"] >= opener) & ~(s["cur"].isNotNull() & p["best_type"].eqNullSafe(s["cur"]) & (p["best_type"] == SAME_INSTANCE))
-        photo_new = s["cur"].isNull() | (s["cur"] != PHOTO)
-        footed = s["pend"].isNotNull() & s["cur"].isNotNull()
-        starts = F.when(p["non_text"], photo_new).otherwise(opens | footed | s["cur"].isNull())
-        kind = F.when(p["non_text"], PHOTO).when(opens, p["best_type"]).when(footed, s["pend"]).when(s["cur"].isNull(), NONE).otherwise(s["cur"])
-        value = F.when(~starts, s["score"]).when(p["non_text"], 0).when(opens, p["best_score"]).when(footed, bottom).otherwise(0)
-        pend = F.when(~p["non_text"] & (p["bottom_score"] >= bottom) & (p["bottom_type"] != kind), p["bottom_type"])
-        seg = s["seg"] + starts.cast("int")
-        row = F.struct(p["page"].cast("int").alias("page"), seg.alias("seg"), kind.alias("doc_type"), value.cast("int").alias("score"))
-        return F.struct(kind.alias("cur"), pend.alias("pend"), seg.alias("seg"), value.cast("int").alias("score"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    folded = F.aggregate("pages", start, step, lambda s: s["out"])
-    return bundles.select("bundle_id", F.explode(folded).alias("__row")).select("bundle_id", "__row.*")
+    slim = scored.select("bundle_id", F.col("page").cast("int").alias("page"), "best_type", "best_score", "bottom_type", "bottom_score", F.coalesce("non_text", F.lit(False)).alias("non_text"))
+    dealt = slim.repartition("bundle_id").sortWithinPartitions("bundle_id", "page")
+    return dealt.mapInPandas(_folded(opener, bottom), "bundle_id string, page int, seg int, doc_type string, score int")
 
 
 def segments(pages: DataFrame, placed: DataFrame) -> DataFrame:

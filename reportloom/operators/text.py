@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,8 @@ def _unescape(texts: pd.Series) -> pd.Series:
 
 
 def html_unescape(c: Column) -> Column:
-    """Character references decoded. Only texts with an ampersand go through the helper when the caller splits on it."""
-    return _unescape(c)
+    """Character references decoded. The helper gets the texts with an ampersand only, nulls for all others."""
+    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
 def clean_text(c: Column, unescape: bool = True) -> Column:
@@ -46,21 +47,20 @@ def tokenize(c: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
 
 
-def stem_vocabulary(df: DataFrame, tokens: str) -> DataFrame:
-    """token, stem: each distinct token of the array column is stemmed once."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stems(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda ts: [_stem(t) for t in ts], na_action="ignore")
 
-    def stems(pdfs):
-        for pdf in pdfs:
-            yield pdf.assign(stem=[porter(t) for t in pdf.token])
 
-    return df.select(F.explode(tokens).alias("token")).distinct().mapInPandas(stems, "token string, stem string")
+@lru_cache(1 << 18)
+def _stem(token: str) -> str:
+    """One word's stem; a worker remembers the words that it met last."""
+    return porter(token)
 
 
-def stem_tokens(df: DataFrame, key: str, tokens: str, out: str = "stems") -> DataFrame:
-    """``df`` with the stems of an array column, in order, joined back from the distinct vocabulary."""
-    placed = df.select(key, F.posexplode(tokens).alias("at", "token")).join(stem_vocabulary(df, tokens), "token")
-    stems = placed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stem"))), lambda x: x["stem"]).alias(out))
-    return df.join(stems, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+def stem_tokens(df: DataFrame, tokens: str, out: str = "stems") -> DataFrame:
+    """``df`` with the stems of an array column, in order, null for null. Words are stemmed where they lie, without a shuffle."""
+    return df.withColumn(out, _stems(F.col(tokens)))
 
 
 def format_entities(text: Column, entities: Column, label_map: dict[str, str] = LABEL_MAP) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reportloom.functions.fuzzy import partial_ratios
+from reportloom.functions.fuzzy import zone_ratios
 from reportloom.functions.shared import shared_folder
 from reportloom.operators import fields as X
 from reportloom.operators import pages as P
@@ -63,18 +63,30 @@ def _filtered(s, d):
     return s.read.csv(path, header=True, multiLine=True, quote='"', escape='"').select("Incident_ID", "Source", "Severity_Level", F.col("Severity_Score").cast("double").alias("Severity_Score"))
 
 
-def _jsonl(s, d):
-    lines = fixture(s, d, "posts").withColumn("value", F.when(F.col("doc_id") % 13 == 0, F.lit("{broken")).when(F.col("doc_id") % 17 == 0, F.lit("  ")).otherwise(
+def _post_lines(s, d):
+    return fixture(s, d, "posts").withColumn("value", F.when(F.col("doc_id") % 13 == 0, F.lit("{broken")).when(F.col("doc_id") % 17 == 0, F.lit("  ")).otherwise(
         F.to_json(F.struct(F.when(F.col("doc_id") % 5 > 0, F.col("tweet_id")).alias("id"), F.col("raw_text").alias("text"), F.struct(F.when(F.col("doc_id") % 3 > 0, F.col("screen_name")).alias("screen_name")).alias("user")))))
-    posts, _ = io.parse_posts(lines.select("value", F.col("doc_id").alias("line")))
+
+
+def _jsonl(s, d):
+    posts, _ = io.parse_posts(_post_lines(s, d).select("value", F.col("doc_id").alias("line")))
     return posts
 
 
+def _post_counts(s, d):
+    """Post lines written to files and read again: good and malformed lines."""
+    path = shared_folder(s, "posts")
+    _post_lines(s, d).select("value").write.text(path)
+    return io.read_posts(s, path)[1]
+
+
 def _cache(s, d):
+    """One cache file for each bundle, every third of an old version, read by version."""
     path = shared_folder(s, "cache")
     rows = _pages(s, d).select("page", "method", "conf", F.lit(0).alias("rotation"), "non_text", "text", "bundle_id")
-    rows.groupBy("bundle_id").agg(F.lit(2).alias("version"), F.collect_list(F.struct("page", "method", "conf", "rotation", "non_text", "text")).alias("pages")).drop("bundle_id").write.json(path)
-    return s.read.schema("version int, pages array<struct<page:int,method:string,conf:double,rotation:int,non_text:boolean,text:string>>").json(path).where("version = 2").select(F.explode("pages").alias("__row")).select("__row.page", "__row.method", "__row.conf", "__row.non_text")
+    caches = rows.groupBy("bundle_id").agg(F.when(F.length("bundle_id") % 3 == 0, 1).otherwise(2).alias("version"), F.collect_list(F.struct("page", "method", "conf", "rotation", "non_text", "text")).alias("pages"))
+    caches.withColumnRenamed("bundle_id", "part").repartition("part").write.partitionBy("part").json(path)
+    return io.read_page_cache(s, path, 2).select("page", "method", "conf", "non_text")
 
 
 def _listing(s, d):
@@ -82,8 +94,19 @@ def _listing(s, d):
 
 
 def _master(s, d):
+    """The unified table written as CSV and read for analytics."""
+    path = shared_folder(s, "master")
     rows = fixture(s, d, "incidents").select("Incident_ID", "Event", F.when(F.col("ordinal") % 7 == 0, "bad").otherwise(F.col("Severity_Score").cast("string")).alias("Severity_Score"), F.when(F.col("ordinal") % 5 == 0, "Severe").otherwise(F.col("Severity_Level")).alias("Severity_Level"))
-    return io.coerce_master(rows)
+    io.write_csv(rows, path, rows.columns)
+    return io.read_master(s, path)
+
+
+def _report(s, d):
+    """Pages to report rows: segments, numbers, fields with the spelling pass, inherited locations, review."""
+    none = F.array().cast("array<string>")
+    numbered = S.report_ids(_segments(s, d)).withColumns({"persons": none, "orgs": none, "places": none})
+    words = fixture(s, d, "bundle_pages").select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).where("length(word) >= 4")
+    return X.report_rows(numbered, words.groupBy("word").agg(F.count("*").alias("freq")).where("freq >= 12"))
 
 
 def _segments_json(s, d):
@@ -102,16 +125,16 @@ def _dictionary(s, d):
 
 
 QUERIES = {
-    "src_csv_modality": _csv, "src_jsonl_posts": _jsonl, "src_page_cache": _cache, "src_binary_listing": _listing, "src_master_csv": _master,
+    "src_csv_modality": _csv, "src_jsonl_posts": _jsonl, "src_jsonl_counts": _post_counts, "pdf_report": _report, "src_page_cache": _cache, "src_binary_listing": _listing, "src_master_csv": _master,
     "sink_csv": _csv, "sink_filtered_csv": _filtered, "sink_segments_json": _segments_json,
     "ocr_lines": lambda s, d: P.ocr_lines(fixture(s, d, "ocr_words")),
     "ocr_mean_conf": lambda s, d: P.ocr_mean_conf(fixture(s, d, "ocr_words")).withColumn("conf", F.round("conf", 9)),
     "ocr_best_variant": lambda s, d: P.ocr_best_variant(fixture(s, d, "ocr_words")).withColumn("conf", F.round("conf", 9)),
     "clean_ocr_lines": lambda s, d: fixture(s, d, "letters").select("doc_id", P.clean_ocr(F.concat(F.col("text"), F.lit("\n=~ |_ # 1\n\n\n\nend of page"))).alias("text")),
-    "table_text": lambda s, d: fixture(s, d, "letters").select("doc_id", P.table_text(F.array(F.array(F.array(F.lit(" x "), F.lit(""), F.col("bundle_id")), F.array(F.lit(" "))))).alias("text")),
+    "table_text": lambda s, d: fixture(s, d, "letters").select("doc_id", P.table_text(F.array(F.array(F.array(F.lit(" x "), F.lit(""), F.regexp_replace("text", r"\s+", " ")), F.array(F.lit(" "))))).alias("text")),
     "page_text": _page_text,
     "non_text_flag": lambda s, d: _pages(s, d).select("bundle_id", "page", "non_text"),
-    "fuzzy_partial_ratio": lambda s, d: fixture(s, d, "bundle_pages").select("bundle_id", "page", (F.get(partial_ratios(F.substring("text", 1, 400), ["aircraft request"]), F.lit(0)) >= 85).alias("found")),
+    "fuzzy_partial_ratio": lambda s, d: fixture(s, d, "bundle_pages").select("bundle_id", "page", (F.get(F.get(zone_ratios([(F.col("text"), ["aircraft request"])]), F.lit(0)), F.lit(0)) >= 85).alias("found")),
     "signature_scores": lambda s, d: _scored(s, d).select("bundle_id", "page", "best_score"),
     "cover_letter_score": lambda s, d: _letters(s, d).select("doc_id", S.cover_letter_score(F.col("text"), F.lit(0.0), F.lit(0.0)).alias("score")),
     "certificate_score": lambda s, d: S.page_scores(_letters(s, d).select(F.col("doc_id").alias("page"), F.concat(F.when(F.col("doc_id") % 2 == 0, "Joint Program Office for successful completion ").otherwise(""), F.col("text")).alias("text"))).select("page", F.col("best_type").eqNullSafe(F.lit("Training Certificate")).alias("certificate")),
@@ -122,20 +145,21 @@ QUERIES = {
     "segment_confidence": lambda s, d: _segments(s, d).select("bundle_id", "seg", F.round("conf", 9).alias("conf")),
     "report_ids": lambda s, d: S.report_ids(_segments(s, d)).select("bundle_id", "seg", "report_id"),
     "doc_type_inventory": lambda s, d: S.doc_type_inventory(_placed(s, d)),
-    "iso_date": lambda s, d: fixture(s, d, "letters").select("doc_id", X.iso_date(F.when(F.col("doc_id") % 3 == 0, "July 4, 2014").when(F.col("doc_id") % 3 == 1, "July 2014").otherwise(F.concat(F.lit("2 March "), (1985 + F.col("doc_id") % 50).cast("string")))).alias("date")),
-    "extract_date": _field("date", lambda: X.extract_date(F.substring("text", 1, 60))),
+    # A date that the text states, or one made of its length.
+    "iso_date": _field("date", lambda: X.iso_date(F.coalesce(F.nullif(F.regexp_extract("text", r"(?:Date|Effective): ([^\n]+)", 1), F.lit("")), F.concat(1 + F.length("text") % 31, F.lit(" March "), 1985 + F.length("text") % 50)))),
+    "extract_date": _field("date", lambda: X.extract_date(F.col("text"))),
     "plausible_name": lambda s, d: fixture(s, d, "posts").select("doc_id", X.plausible_name(F.concat_ws(" ", F.slice(F.split("raw_text", " "), 4, 2))).alias("plausible")),
-    "clean_name": _field("name", lambda: X.clean_name(F.when(F.col("doc_id") % 2 == 0, "Sheriff Mark J Kizer Department").otherwise(F.concat(F.lit("Cpl. Anna Bel"), F.col("doc_id").cast("string"), F.lit("mont"))))),
+    "clean_name": _field("name", lambda: X.clean_name(F.concat(F.when(F.col("doc_id") % 2 == 0, "Sheriff Mark J Kizer Department ").otherwise("Cpl. Anna Bel9mont "), F.col("text")))),
     "extract_officer": lambda s, d: _fields(s, d).select("doc_id", "Officer"),
-    "recipients": _field("names", lambda: F.array_join(X.recipients(F.concat(F.when(F.col("doc_id") % 2 == 0, "Dear Mr. Tom Harris\n").otherwise(""), F.lit("x"))), ",")),
+    "recipients": _field("names", lambda: F.array_join(X.recipients(F.concat(F.when(F.col("doc_id") % 2 == 0, "Dear Mr. Tom Harris\n").otherwise(""), F.col("text"))), ",")),
     "extract_location": lambda s, d: _fields(s, d).select("doc_id", "Location"),
-    "normalize_location": _field("location", lambda: X.normalize_location(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("the  FORT smith Police Department "), F.col("bundle_id"))).otherwise("County of AR. "))),
-    "normalize_name": _field("name", lambda: X.normalize_name(F.when(F.col("doc_id") % 2 == 0, "O'BRIEN MARK").otherwise("Ann lee"))),
+    "normalize_location": _field("location", lambda: X.normalize_location(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("the  FORT smith Police Department "), F.col("text"))).otherwise(F.concat(F.lit(" ... "), F.regexp_replace("text", "[^a-z]+", " "), F.lit(" AR. "))))),
+    "normalize_name": _field("name", lambda: X.normalize_name(F.when(F.col("doc_id") % 2 == 0, F.upper(F.regexp_replace("text", "[^A-Za-z]+", " "))).otherwise(F.col("text")))),
     "extract_summary": lambda s, d: _fields(s, d).select("doc_id", "Summary"),
-    "finalize_summary": _field("summary", lambda: X.finalize_summary(F.concat(F.lit("Dear Sir, frorn the office =~ ofthe "), F.substring("bundle_id", 1, 20), F.lit(" unit 1.")))),
+    "finalize_summary": _field("summary", lambda: X.finalize_summary(F.concat(F.lit("Dear Sir, frorn the office =~ ofthe "), F.regexp_replace("text", "[^a-z]+", " "), F.lit(" unit 1.")))),
     "extract_suspect": _field("suspect", lambda: X.extract_suspect(F.col("text"))),
     "extract_outcome": _field("outcome", lambda: X.extract_outcome(F.col("text"))),
-    "ocr_fix_map": _field("text", lambda: X.ocr_fix(F.concat(F.lit("Frorn ofthe | bovd 1s "), F.col("bundle_id")))),
+    "ocr_fix_map": _field("text", lambda: X.ocr_fix(F.concat(F.lit("Frorn ofthe | bovd 1s "), F.col("text")))),
     "spell_correct": lambda s, d: X.spell_correct(_tokens(s, d), _dictionary(s, d)),
     "needs_review": lambda s, d: _fields(s, d).select("doc_id", "Needs_Review"),
     "inherit_locations": lambda s, d: X.inherit_locations(_fields(s, d)),
@@ -198,38 +222,42 @@ ORACLES = {k: oracle(v) for k, v in {
     "sink_filtered_csv": "SELECT Incident_ID, \"Source\", Severity_Level, Severity_Score FROM incidents WHERE Severity_Level = 'High'",
     "src_jsonl_posts": """SELECT CASE WHEN doc_id % 5 > 0 THEN tweet_id ELSE 'line_' || CAST(doc_id AS VARCHAR) END AS tweet_id, CASE WHEN doc_id % 3 > 0 THEN screen_name ELSE 'Unknown' END AS screen_name,
         CASE WHEN doc_id % 3 > 0 THEN screen_name ELSE 'Unknown' END AS display_name, raw_text, '' AS created_at FROM posts WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0""",
-    "src_page_cache": f"SELECT page, method, conf, {NON_TEXT} AS non_text FROM bundle_pages",
+    "src_jsonl_counts": "SELECT count(*) FILTER (WHERE doc_id % 13 <> 0) AS read, count(*) FILTER (WHERE doc_id % 13 = 0) AS malformed FROM posts WHERE doc_id % 13 = 0 OR doc_id % 17 <> 0",
+    "src_page_cache": f"SELECT page, method, conf, {NON_TEXT} AS non_text FROM bundle_pages WHERE length(bundle_id) % 3 <> 0",
     "src_master_csv": "SELECT Incident_ID, CASE WHEN Event <> 'N/A' THEN Event END AS Event, CASE WHEN ordinal % 7 = 0 THEN 0.0 ELSE Severity_Score END AS Severity_Score, CASE WHEN ordinal % 5 = 0 THEN NULL ELSE Severity_Level END AS Severity_Level FROM incidents",
     "ocr_lines": """SELECT bundle_id, page, rotation, psm, string_agg(line, chr(10) ORDER BY block_num, par_num, line_num) AS text FROM
         (SELECT bundle_id, page, rotation, psm, block_num, par_num, line_num, string_agg(text, ' ' ORDER BY word_num) AS line FROM ocr_words WHERE conf >= 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY 1, 2, 3, 4, 5, 6, 7) q GROUP BY 1, 2, 3, 4""",
     "ocr_mean_conf": f"SELECT bundle_id, page, rotation, psm, round(conf, 9) AS conf FROM ({VARIANTS}) v",
     "ocr_best_variant": f"""SELECT bundle_id, page, rotation, psm, round(conf, 9) AS conf FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id, page ORDER BY conf DESC, CASE rotation WHEN 0 THEN 0 WHEN 180 THEN 1 WHEN 90 THEN 2 ELSE 3 END, psm) AS n
         FROM (SELECT *, max(conf) FILTER (WHERE rotation = 0) OVER (PARTITION BY bundle_id, page) AS up FROM ({VARIANTS}) v) w WHERE rotation = 0 OR up < 60) q WHERE n = 1""",
-    "table_text": "SELECT doc_id, 'x | ' || bundle_id AS text FROM letters",
+    "table_text": "SELECT doc_id, 'x | ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM letters",
     "page_text": """SELECT n.bundle_id, n.page, CASE WHEN own THEN 'text' ELSE 'ocr' END AS method, CASE WHEN own THEN 100.0 ELSE coalesce(o.conf, 0.0) END AS conf,
         CASE WHEN own THEN n.text || CASE WHEN n.page % 3 = 0 THEN chr(10) || '[TABLE]' || chr(10) || 'a' || chr(10) || 'b | ' || n.method ELSE '' END ELSE coalesce(o.text, '') END AS text
         FROM (SELECT bundle_id, page, method, t AS text, length(trim(t, ' ' || chr(10) || chr(13) || chr(9))) >= 50 AS own FROM (SELECT *, CASE WHEN page % 2 = 0 THEN text ELSE substr(text, 1, 20) END AS t FROM bundle_pages) z) n
         LEFT JOIN (SELECT * FROM bundle_pages WHERE page % 5 <> 0) o ON n.bundle_id = o.bundle_id AND n.page = o.page""",
     "non_text_flag": f"SELECT bundle_id, page, {NON_TEXT} AS non_text FROM bundle_pages",
-    "fuzzy_partial_ratio": "SELECT bundle_id, page, contains(lower(substr(text, 1, 400)), 'aircraft request') AS found FROM bundle_pages",
+    "fuzzy_partial_ratio": "SELECT bundle_id, page, contains(lower(text), 'aircraft request') AS found FROM bundle_pages",
     "signature_scores": f"SELECT bundle_id, page, bs AS best_score FROM ({PAGES}) p",
     "page_doc_type": f"SELECT bundle_id, page, bt AS best_type, bs AS best_score FROM ({PAGES}) p",
     "bottom_opener": f"SELECT bundle_id, page, lt AS bottom_type, ls AS bottom_score FROM ({PAGES}) p",
     "cover_letter_score": """SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 1 OR doc_id % 4 = 0 OR doc_id % 5 = 0 THEN CASE WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 THEN 2 ELSE 0 END
         + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS score FROM letters""",
     "certificate_score": "SELECT doc_id AS page, doc_id % 2 = 0 AS certificate FROM letters",
-    "iso_date": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '2014-07-04' WHEN doc_id % 3 = 2 AND 1985 + doc_id % 50 BETWEEN 1990 AND 2026 THEN CAST(1985 + doc_id % 50 AS VARCHAR) || '-03-02' END AS date FROM letters",
+    "iso_date": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '2014-07-04' WHEN doc_id % 3 = 1 THEN '2011-03-12' WHEN 1985 + length(text) % 50 BETWEEN 1990 AND 2026
+        THEN (1985 + length(text) % 50) || '-03-' || lpad(CAST(1 + length(text) % 31 AS VARCHAR), 2, '0') END AS date FROM letters""",
     "extract_date": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2014-07-04' WHEN 1 THEN '2011-03-12' ELSE 'N/A' END AS date FROM letters",
-    "clean_name": "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'Mark Kizer' ELSE 'Anna Belmont' END AS name FROM letters",
+    "clean_name": f"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(^|[^\\pL\\pM\\pN_])(ave|avenue|st|street|ln|lane|rd|road|blvd|dr|drive|hwy|highway|box|markham|huntwick|dixieland|woodrow|roya)($|[^\\pL\\pM\\pN_])') THEN ''
+        WHEN doc_id % 2 = 0 THEN 'Mark Kizer' ELSE 'Anna Belmont' END AS name FROM letters""",
     "extract_officer": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Mark Kizer' WHEN 1 THEN 'Anna Belmont' ELSE 'N/A' END AS Officer FROM letters",
     "recipients": "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'james ray,tom harris' ELSE 'james ray' END AS names FROM letters",
     "extract_location": f"SELECT doc_id, {LOCATION} AS Location FROM letters",
-    "normalize_location": "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'Fort smith Police Department' ELSE 'County of AR' END AS location FROM letters",
-    "normalize_name": "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'O''Brien Mark' ELSE 'Ann lee' END AS name FROM letters",
-    "finalize_summary": "SELECT doc_id, 'From the office of the ' || substr(bundle_id, 1, 20) || ' unit.' AS summary FROM letters",
+    "normalize_location": "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'Fort smith Police Department' ELSE trim(regexp_replace(text, '[^a-z]+', ' ', 'g')) || ' AR' END AS location FROM letters",
+    "normalize_name": """SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN array_to_string(list_transform(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE text END AS name FROM letters""",
+    "finalize_summary": f"""SELECT doc_id, CASE WHEN length(x) > 297 THEN regexp_replace(substr(x, 1, 297), ' [^ ]*$', '') ELSE x END || '.' AS summary
+        FROM (SELECT doc_id, trim(regexp_replace('From the office of the ' || regexp_replace(text, '[^a-z]+', ' ', 'g') || ' unit', '\\s+', ' ', 'g')) AS x FROM letters) q""",
     "extract_suspect": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'a tall person in a long grey coat' ELSE 'N/A' END AS suspect FROM letters",
     "extract_outcome": "SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'the matter was closed in May' ELSE 'N/A' END AS outcome FROM letters",
-    "ocr_fix_map": "SELECT doc_id, 'from of the I Boyd is ' || bundle_id AS text FROM letters",
+    "ocr_fix_map": "SELECT doc_id, regexp_replace('from of the I Boyd is ' || text, '\\s\\|\\s', ' I ', 'g') AS text FROM letters",
 }.items()}
 ORACLES |= {k: _folded(v) for k, v in {
     "segment_pages": "SELECT bundle_id, page, seg, doc_type, score FROM placed",

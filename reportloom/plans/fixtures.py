@@ -16,7 +16,7 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
     "posts": """
         select doc_id, cast(doc_id as string) as tweet_id, case when doc_id % 9 = 0 then 'Unknown' else source end as screen_name,
                concat(case when doc_id % 4 = 0 then 'RT ' else '' end, '@u', cast(doc_id % 7 as string), ' #', lang, ' ',
-                      substr(text, 1, 140 + doc_id % 80), ' &amp; http://t.example/', cast(doc_id as string)) as raw_text
+                      text, ' &amp; http://t.example/', cast(doc_id as string)) as raw_text
         from documents""",
     "sentiments": """
         select cast(doc_id as string) as tweet_id, case when toxic = 1 then 'negative' when doc_id % 5 = 0 then 'positive' else 'neutral' end as label
@@ -44,11 +44,11 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
         select conv_id, concat('C', cast(conv_id as string)) as Call_ID, text as Transcript, case conv_id % 3 when 0 then 'Crime/Assault' else 'Emergency Report' end as Extracted_Event,
                case conv_id % 4 when 0 then 'Unknown Location' else concat('Hall ', cast(conv_id % 9 as string)) end as Location,
                case conv_id % 3 when 0 then 'Distressed' else 'Calm' end as Sentiment, case conv_id % 3 when 0 then 0.85 else 0.4 end as Urgency_Score
-        from conversations where turn = 0""",
+        from (select conv_id * 1000 + turn as conv_id, text from conversations) c""",
     "pdf_reports": """
         select page_id, concat('RPT_', cast(page_id as string)) as Report_ID, case page_id % 4 when 0 then 'Letter' when 1 then ' MEMORANDUM' when 2 then 'Cover Letter' else null end as Incident_Type,
-               case page_id % 3 when 0 then '2014-07-04' else 'N/A' end as Date, substr(url, 1, 40) as Location, case page_id % 2 when 0 then 'Ann Lee' else '' end as Officer,
-               substr(html, 1, 100 + page_id % 120) as Summary
+               case page_id % 3 when 0 then '2014-07-04' else 'N/A' end as Date, url as Location, case page_id % 2 when 0 then 'Ann Lee' else '' end as Officer,
+               html as Summary
         from pages""",
     "image_reports": """
         select o_orderkey, concat('IMG_', cast(o_orderkey as string)) as Image_ID, case o_orderkey % 3 when 0 then 'Fire Scene' when 1 then 'Smoke Scene' else 'Unknown' end as Scene_Type,
@@ -64,11 +64,11 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
                      'N/A' as Time, cast((event_id * 37 + user_id) % 101 as double) / 10 as Severity_Score,
                      concat('Objects: ', event_type, ' ', cast(event_id % 100 as string)) as Details from events) q""",
     "calls": """
-        select conv_id, case conv_id % 8 when 0 then '' when 1 then 'ok' when 2 then concat(substr(text, 1, 200), ' there is smoke') when 3 then concat(substr(text, 1, 90), ' he has a gun')
-                        when 4 then concat(substr(text, 1, 50), ' a car crash on the highway') when 5 then text when 6 then concat('the blocopia bank was robbed ', text)
-                        else 'fire at the Nelson Building' end as transcript,
+        select conv_id, case conv_id % 8 when 0 then '' when 1 then 'ok' when 2 then concat(text, ' there is smoke') when 3 then concat(text, ' he has a gun')
+                        when 4 then concat(text, ' a car crash on the highway') when 5 then text when 6 then concat('the blocopia bank was robbed ', text)
+                        else concat('fire at the Nelson Building ', text) end as transcript,
                case conv_id % 5 when 0 then 'PERSON' when 1 then 'GPE' when 2 then 'ORG' else null end as label, case conv_id % 2 when 0 then 'sheriff''s o-brien hall' else 'FORT smith' end as place
-        from conversations where turn = 0""",
+        from (select conv_id * 1000 + turn as conv_id, text from conversations) c""",
     "frames": """
         select concat(case user_id % 6 when 0 then 'Fight_' when 1 then 'Walk_' when 2 then 'Fall_' when 3 then 'Rest_' when 4 then 'Meet_' else 'Browse_' end, cast(user_id as string)) as clip,
                cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as frame_idx,
@@ -87,13 +87,13 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
                cast(o_custkey % 100 as double) / 100 as conf from orders""",
     "fire_detections": """
         select o_orderkey % 500 as image_id, case when o_orderkey % 2 = 0 then null else 'fire' end as cls, case when o_orderkey % 7 = 0 then null else cast(o_custkey % 64 as double) / 100 end as conf
-        from orders where o_orderkey % 5 = 0""",
-    "ocr_raw": "select image_id, concat('  no ', chr(10), chr(9), 'entry ', cast(image_id as string), '  ') as raw_text from (select distinct l_orderkey % 500 as image_id from lineitem) q where image_id % 2 = 0",
+        from orders""",
+    "ocr_raw": "select image_id, concat('  no ', chr(10), chr(9), 'entry ', cast(image_id as string), '  ') as raw_text from (select distinct l_orderkey % 500 as image_id from lineitem) q",
     "bundle_pages": """
         select bundle_id, page, method, conf,
                concat(replace(case page % 13 when 1 then 'MEMORANDUM~TO: Unit~FROM: Desk~' when 2 then 'Dear Sir,~' when 4 then 'Invoice # 77~' when 6 then 'AIRCRAFT REQUEST~'
                                              when 7 then 'AIRCRAFT REQUEST~' when 9 then 'COURSE OUTLINE~' else '' end, '~', chr(10)),
-                      substr(text, 1, case when page % 12 in (5, 6) then 40 else 1500 end),
+                      text,
                       replace(case when page % 13 = 10 then '~Lesson plan~Lesson title: x' else '' end, '~', chr(10))) as text
         from (select source as bundle_id, cast(row_number() over (partition by source order by doc_id) as int) as page, text, doc_id from documents) p
         cross join lateral (select case when doc_id % 5 = 0 then 'text' else 'ocr' end as method, case when doc_id % 5 = 0 then cast(100 as double) else cast((doc_id * 37) % 1000 as double) / 10 end as conf) m""",
@@ -115,7 +115,7 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
                               case doc_id % 3 when 0 then 'Date: July 4, 2014~' when 1 then 'Effective: 12 March 2011~' else '' end,
                               case doc_id % 5 when 0 then 'Sheriff Mark Kizer~' when 1 then 'Prepared by: Anna Belmont~' else '' end,
                               case doc_id % 7 when 0 then 'Suspect: a tall person in a long grey coat~' when 1 then 'Outcome: the matter was closed in May~' else '' end,
-                              substr(text, 1, 600)), '~', chr(10)) as text
+                              text), '~', chr(10)) as text
         from documents""",
 }
 _NAMES = re.compile(r"\b(?:from|join)\s+(\w+)", re.I)

@@ -58,7 +58,7 @@ QUERIES = {
     "html_unescape": lambda s, d: fixture(s, d, "posts").select("doc_id", TX.html_unescape(F.col("raw_text")).alias("text")),
     "clean_text": lambda s, d: fixture(s, d, "posts").select("doc_id", TX.clean_text(F.col("raw_text")).alias("cleaned_text")),
     "tokenize": lambda s, d: _tokens(s, d).select("doc_id", F.array_join("tokens", " ").alias("tokens")),
-    "stem_tokens": lambda s, d: TX.stem_tokens(_tokens(s, d).select("doc_id", "tokens"), "doc_id", "tokens").select("doc_id", F.array_join("stems", " ").alias("stems")),
+    "stem_tokens": lambda s, d: TX.stem_tokens(_tokens(s, d).select("doc_id", "tokens"), "tokens").select("doc_id", F.array_join("stems", " ").alias("stems")),
     "format_entities": lambda s, d: _posts(s, d).select("doc_id", "entities"),
     "sentiment_label": lambda s, d: fixture(s, d, "posts").join(fixture(s, d, "sentiments"), "tweet_id").select("doc_id", TX.sentiment_label(F.col("raw_text"), F.col("label")).alias("sentiment")),
     "topic_argmax": lambda s, d: TX.topic_argmax(fixture(s, d, "topic_scores")),

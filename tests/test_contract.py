@@ -8,7 +8,6 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"extract_summary", "needs_review", "review_report", "inherit_locations"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +27,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql())))
 def test_against_sql(spark, db, name):
     if not os.path.isdir(DIR):
         pytest.skip("no test data")

@@ -116,3 +116,32 @@ def test_search_and_pivot(spark):
     assert [tuple(r) for r in A.severity_pivot(df).collect()] == [("A", 0, 0, 2)]
     assert A.kpi_totals(df.limit(0)).first().mean_score is None
     assert {r.bin for r in A.score_histogram(incidents(spark, [("A", "e", "l", "d", 10.0, "High")])).collect()} == {9.5}
+
+
+def test_pages_to_report_rows(spark):
+    from reportloom.operators import segments as S
+
+    memo = "Fort Smith Police Department\nMEMORANDUM\nTO: Unit\nFROM: Desk\nDate: July 4, 2014\nthe purpose of this memo is to list the equpment that the swat unit and Officer Xyqz had held in may.\n"
+    plan = "Lesson plan\nLesson title: driving\nthis lesson is designed to teach drivers how to turn a vehicle on wet roads without loss of speed.\n"
+    pages = [("b", 1, memo), ("b", 2, "more of the memo, in lower case words only, so that nothing opens here"), ("b", 3, plan), ("c", 1, plan)]
+    df = spark.createDataFrame([(b, p, t, 100.0, False) for b, p, t in pages], "bundle_id string, page int, text string, conf double, non_text boolean")
+    placed = S.segment_pages(S.page_scores(df))
+    assert sorted((r.bundle_id, r.page, r.seg, r.doc_type) for r in placed.collect()) == [("b", 1, 1, "Memorandum"), ("b", 2, 1, "Memorandum"), ("b", 3, 2, "Training Lesson Plan"), ("c", 1, 1, "Training Lesson Plan")]
+    none = F.array().cast("array<string>")
+    segs = S.report_ids(S.segments(df, placed)).withColumns({"persons": none, "orgs": none, "places": none})
+    words = spark.createDataFrame([(w, 9) for w in "equipment purpose list unit held this memo lesson designed teach drivers turn vehicle roads without loss speed that more swam".split()], "word string, freq int")
+    rows = {(r.bundle_id, r.seg): r for r in fields.report_rows(segs, words).collect()}
+    assert {k: r.Report_ID for k, r in rows.items()} == {("b", 1): "RPT_001", ("b", 2): "RPT_002", ("c", 1): "RPT_001"}
+    assert rows["b", 1].Date == "2014-07-04" and "equipment that the swat unit and Officer Xyqz" in rows["b", 1].Summary
+    assert [rows[k].Location for k in (("b", 1), ("b", 2), ("c", 1))] == ["Fort Smith Police Department"] * 2 + ["N/A"]
+    assert "no_location" not in rows["b", 2].Needs_Review and "no_location" in rows["c", 1].Needs_Review
+
+
+def test_stems_and_dates(spark):
+    from reportloom.functions.stem import porter
+
+    df = spark.createDataFrame([(1, ["running", "flies", "running"]), (2, []), (3, None)], "doc_id long, tokens array<string>")
+    assert {r.doc_id: r.stems for r in text.stem_tokens(df, "tokens").collect()} == {1: [porter("running"), porter("flies"), porter("running")], 2: [], 3: None}
+    told = {"4th of July, 2014": "2014-07-04", "Sept. 3 2001": "2001-09-03", "12/31/99": "1999-12-31", "31/12/2003": "2003-12-31", "2005-2-9": "2005-02-09", "Feb 30, 2010": None, "13/13/2010": None, "March 2010": None, "May 5, 2031": None, "": None}
+    got = {r.t: r.d for r in spark.createDataFrame([(t,) for t in told], "t string").select("t", fields.iso_date(F.col("t")).alias("d")).collect()}
+    assert got == told
