@@ -14,7 +14,8 @@ from reportloom.sources import io
 
 
 def _pages(s, d):
-    return fixture(s, d, "bundle_pages").withColumn("non_text", P.non_text_flag(F.col("method"), F.col("conf"), F.col("text")))
+    # Pages are scored one by one: they are dealt out anew, as the numbering leaves a whole source in one task.
+    return fixture(s, d, "bundle_pages").repartition("bundle_id", "page").withColumn("non_text", P.non_text_flag(F.col("method"), F.col("conf"), F.col("text")))
 
 
 def _scored(s, d):
@@ -154,7 +155,7 @@ QUERIES = {
     "recipients": _field("names", lambda: F.array_join(X.recipients(F.concat(F.when(F.col("doc_id") % 2 == 0, "Dear Mr. Tom Harris\n").otherwise(""), F.col("text"))), ",")),
     "extract_location": lambda s, d: _fields(s, d).select("doc_id", "Location"),
     "normalize_location": _field("location", lambda: X.normalize_location(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("the  FORT smith Police Department "), F.col("text"))).otherwise(F.concat(F.lit(" ... "), F.regexp_replace("text", "[^a-z]+", " "), F.lit(" AR. "))))),
-    "normalize_name": _field("name", lambda: X.normalize_name(F.when(F.col("doc_id") % 2 == 0, F.upper(F.regexp_replace("text", "[^A-Za-z]+", " "))).otherwise(F.col("text")))),
+    "normalize_name": _field("name", lambda: X.normalize_name(F.when(F.col("doc_id") % 2 == 0, F.upper(F.regexp_replace("text", "[^A-Za-z]+", " "))).otherwise(F.concat(F.lit("a "), F.col("text"))))),
     "extract_summary": lambda s, d: _fields(s, d).select("doc_id", "Summary"),
     "finalize_summary": _field("summary", lambda: X.finalize_summary(F.concat(F.lit("Dear Sir, frorn the office =~ ofthe "), F.regexp_replace("text", "[^a-z]+", " "), F.lit(" unit 1.")))),
     "extract_suspect": _field("suspect", lambda: X.extract_suspect(F.col("text"))),
@@ -251,8 +252,8 @@ ORACLES = {k: oracle(v) for k, v in {
     "extract_officer": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Mark Kizer' WHEN 1 THEN 'Anna Belmont' ELSE 'N/A' END AS Officer FROM letters",
     "recipients": "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'james ray,tom harris' ELSE 'james ray' END AS names FROM letters",
     "extract_location": f"SELECT doc_id, {LOCATION} AS Location FROM letters",
-    "normalize_location": "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'Fort smith Police Department' ELSE trim(regexp_replace(text, '[^a-z]+', ' ', 'g')) || ' AR' END AS location FROM letters",
-    "normalize_name": """SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN array_to_string(list_transform(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE text END AS name FROM letters""",
+    "normalize_location": "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'Fort smith Police Department' ELSE trim(trim(regexp_replace(text, '[^a-z]+', ' ', 'g')) || ' AR') END AS location FROM letters",
+    "normalize_name": """SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN array_to_string(list_transform(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE 'a ' || text END AS name FROM letters""",
     "finalize_summary": f"""SELECT doc_id, CASE WHEN length(x) > 297 THEN regexp_replace(substr(x, 1, 297), ' [^ ]*$', '') ELSE x END || '.' AS summary
         FROM (SELECT doc_id, trim(regexp_replace('From the office of the ' || regexp_replace(text, '[^a-z]+', ' ', 'g') || ' unit', '\\s+', ' ', 'g')) AS x FROM letters) q""",
     "extract_suspect": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'a tall person in a long grey coat' ELSE 'N/A' END AS suspect FROM letters",
