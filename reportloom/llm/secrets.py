@@ -2,7 +2,7 @@
 
 Three base kinds are found by pattern. The method adds candidate strings (maximal runs of token characters that no
 base finding overlaps) in which some window of ``WINDOW`` characters has a Shannon entropy at or above its class's
-bound. The entropy is kept by incremental counts: each step adds the entering character, takes off the leaving
+bound. The entropy is kept by incremental counts: each step takes off the leaving character, adds the entering
 one, and updates the sum of c * log2(c) from the two counts that changed.
 
 Nulls and empty texts have no findings. Every row is handled alone, so repeated rows, ties, extra columns and
@@ -11,6 +11,8 @@ empty tables need no rule.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +27,18 @@ BASE = {
 #: What must be in a text for the kind's pattern to give a finding; scanned first as it is cheap.
 NEEDS = {"assign": BASE["assign"][0], "access": r"AKIA[A-Z0-9]{16}", "hex": r"(?<![0-9a-f])[0-9a-f]{24}"}
 WINDOW = 20
-#: Character classes of candidate strings in order: kind, pattern of the whole string, alphabet, bits a character.
+#: Characters by which the blocks of a candidate go on.
+BLOCK = 256
+#: Character classes of candidate strings in order: kind, pattern of the whole string, bits a character.
 CLASSES = [
-    ("entropy_hex", r"^[0-9a-f]+$", "0123456789abcdef", 3.0),
-    ("entropy_upper", r"^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.6),
-    ("entropy_base64", r"^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8),
+    ("entropy_hex", r"^[0-9a-f]+$", 3.0),
+    ("entropy_upper", r"^[A-Z0-9]+$", 3.6),
+    ("entropy_base64", r"^[A-Za-z0-9+/_=-]+$", 3.8),
 ]
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: A candidate must mix digits with letters: long words, joined words and rulers do not. So random strings of letters
 #: alone are not scored; one in 170 of 24 random base64 characters has no digit.
-MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"
+MIXED = [r"[0-9]", r"[A-Za-z]"]
 #: Values known to be harmless: repeated characters, counting sequences, UUIDs, documentation placeholders.
 ALLOWED = [
     r"^(.)\1+$",
@@ -73,25 +77,31 @@ def _base(text: Column, kind: str) -> Column:
     return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
 
 
-def max_window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The largest entropy in bits of any window; characters outside the alphabet must not occur."""
-    at = lambda i: F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1)))
-    term = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+def max_window_entropy(value: Column, window: int = WINDOW) -> Column:
+    """The largest entropy in bits of any window; null for values shorter than one.
 
-    def step(acc, i):
-        new, old = at(i), F.when(i > window, at(i - window)).otherwise(F.lit(0))
-        grown = F.when(new == old, F.lit(0.0)).otherwise(
-            term(F.element_at(acc["n"], new) + 1) - term(F.element_at(acc["n"], new))
-            + F.when(old > 0, term(F.element_at(acc["n"], F.greatest(old, F.lit(1))) - 1) - term(F.element_at(acc["n"], F.greatest(old, F.lit(1))))).otherwise(F.lit(0.0))
-        )
-        counts = F.transform(acc["n"], lambda c, k: c + (k + 1 == new).cast("int") - (k + 1 == old).cast("int"))  # built-in functions change no cell in place
-        s = acc["s"] + grown
-        bits = F.when(i >= window, F.lit(float(window)).cast("double")).otherwise(F.lit(None).cast("double"))
-        entropy = F.log2(bits) - s / bits
-        return F.struct(counts.alias("n"), s.alias("s"), F.greatest(acc["best"], entropy).alias("best"))
+    The value is worked through in overlapping blocks, so that the time is linear in its length (a character's place is
+    found by counting from the beginning of its string). A step takes the entering and the leaving character's counts from the window's own characters and changes the sum by
+    those two alone, so that it costs the window's length, whatever the alphabet.
+    """
+    term = lambda c: c * math.log2(c) if c else 0.0
+    gains = F.array(*[F.lit(term(c + 1) - term(c)) for c in range(window)])  # of the sum, when a count of c grows by one
+    bits = lambda s: F.lit(math.log2(window)) - s / window
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("best"))
+
+    def most(block):
+        def step(acc, i):
+            size = F.least(i - 1, F.lit(window - 1))  # of what lies in the window before and after the step
+            stay = F.substring(block, i - size, size)
+            gain = lambda at: F.get(gains, size - F.length(F.replace(stay, F.substring(block, at, F.lit(1)), F.lit(""))))
+            s = acc["s"] + gain(i) - F.when(i > window, gain(i - window)).otherwise(F.lit(0.0))
+            return F.struct(s.alias("s"), F.when(i > window, F.greatest(acc["best"], bits(acc["s"]))).alias("best"))
+
+        last = lambda acc: F.when(F.length(block) >= window, F.greatest(acc["best"], bits(acc["s"])))
+        return F.aggregate(F.sequence(F.lit(1), F.length(block)), zero, step, last)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda acc: acc["best"])
+    blocks = F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{1,{BLOCK + window - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    return F.array_max(F.transform(blocks, most))
 
 
 def _entropy(text: Column, base: Column) -> Column:
@@ -101,15 +111,15 @@ def _entropy(text: Column, base: Column) -> Column:
     def classed(x):
         kind = F.lit(None).cast("string")
         rank = F.lit(None).cast("int")
-        for k, (name, pattern, alphabet, bound) in reversed(list(enumerate(CLASSES))):
+        for k, (name, pattern, bound) in reversed(list(enumerate(CLASSES))):
             within = x["value"].rlike(pattern)
-            over = within & (max_window_entropy(x["value"], alphabet) >= bound)
+            over = within & (max_window_entropy(x["value"]) >= bound)
             kind = F.when(within, F.when(over, F.lit(name))).otherwise(kind)
             rank = F.when(within, F.lit(len(BASE) + k)).otherwise(rank)
         return F.struct(x["start"].alias("start"), rank.alias("rank"), x["end"].alias("end"), kind.alias("kind"))
 
     free = F.filter(
-        _located(text, CANDIDATE, lambda v: v.rlike(MIXED) & ~allowed(v)),
+        _located(text, CANDIDATE, lambda v: v.rlike(MIXED[0]) & v.rlike(MIXED[1]) & ~allowed(v)),
         lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
     )
     return F.when(text.rlike(CANDIDATE), F.filter(F.transform(free, classed), lambda x: x["kind"].isNotNull())).otherwise(empty)

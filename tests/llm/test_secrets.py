@@ -1,4 +1,7 @@
+import collections
 import hashlib
+import math
+import random
 import re
 
 from reportloom.llm.secrets import redact, secrets_digest
@@ -32,3 +35,37 @@ def test_against_python(spark):
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a token=abcdef12345 b", 5), (2, None, 6), (3, "clean", 7)], "doc_id long, text string, spans int")
     assert [tuple(r) for r in redact(df).orderBy("doc_id").collect()] == [(1, "a [SECRET] b", 5), (2, None, 6), (3, "clean", 7)]
+
+
+def entropy_spans(t):
+    """Every candidate, every window, counts from scratch."""
+    taken = [(m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    taken += [(m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    taken += [(m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+        v = m[0]
+        if any(a < m.end() and m.start() < b for a, b in taken) or not (re.search("[0-9]", v) and re.search("[A-Za-z]", v)):
+            continue
+        if len(set(v)) == 1 or re.search("(?i)0123456789|abcdefghij|example|sample|placeholder|changeme|xxxxxx", v) or re.fullmatch("(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", v):
+            continue
+        kind, bound = next((k, b) for k, p, b in [("hex", "[0-9a-f]+", 3.0), ("upper", "[A-Z0-9]+", 3.6), ("base64", ".+", 3.8)] if re.fullmatch(p, v))
+        windows = [collections.Counter(v[i : i + 20]).values() for i in range(len(v) - 19)]
+        if max(-sum(c / 20 * math.log2(c / 20) for c in w) for w in windows) >= bound:
+            out.append(f"entropy_{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_entropy_against_all_windows(spark):
+    rng = random.Random(5)
+    kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "ab1", "aB3dEf7", "Qw3rTy9ZuI0p"]
+    word = lambda: "".join(rng.choice(rng.choice(kinds[:3]) if mixed else alphabet) for _ in range(rng.choice([18, 19, 20, 21, 23, 40, 90])))
+    texts = ["x" * 500 + " 550e8400-e29b-41d4-a716-446655440000 a1" + "b2" * 20 + " AKIA" + "Z9" * 9, "example-4f9a8b7c6d5e-qwrtz"]
+    for _ in range(300):
+        mixed, alphabet = rng.random() < 0.2, rng.choice(kinds)
+        texts.append("é😀 ".join(word() for _ in range(rng.randint(1, 4))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: ",".join(p for p in r.spans.split(",") if p.startswith("entropy")) for r in secrets_digest(df).collect()}
+    want = {i: entropy_spans(t) for i, t in enumerate(texts)}
+    assert found == want
+    assert {k for w in want.values() for k in re.findall("entropy_[a-z0-9]+", w)} == {"entropy_hex", "entropy_upper", "entropy_base64"}
