@@ -48,3 +48,22 @@ def key_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 16) -
 def md5_bucket(column, digits: int):
     """An integer from the first hex digits of a column's MD5, the same in every engine."""
     return F.conv(F.substring(F.md5(column), 1, digits), 16, 10).cast("long")
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, parts: int) -> DataFrame:
+    """Inner join in which no key's rows meet in one task; nulls equal nulls. Runs a job that counts.
+
+    ``right`` has one row for each key and says in ``count`` how many rows of ``left`` have it. Keys with more than a
+    ``parts``-th of all rows are at most ``parts`` in number, so they are broadcast; all others are shuffled. ``right``
+    is used twice; ``count`` is left out of the result.
+    """
+    names = [fresh(right, f"{k}_") for k in keys]
+    own = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c for c in right.columns if c not in keys])
+    total = right.agg(F.sum(count)).first()[0] or 0
+    many = F.col(count) * parts > F.lit(total)
+    same = lambda r: [left[k].eqNullSafe(r[n]) for k, n in zip(keys, names, strict=True)]
+    hot, rest = F.broadcast(own.where(many)), own.where(~many)
+    dropped = [*names, count]
+    first = left.join(hot, same(hot)).drop(*dropped)
+    second = left.join(F.broadcast(hot.select(*names)), same(hot), "left_anti").join(rest, same(rest)).drop(*dropped)
+    return first.union(second)

@@ -16,6 +16,7 @@ from reportloom.llm.secrets import secrets_digest
 from reportloom.llm.sharding import shard_documents
 from reportloom.llm.simhash import near_duplicates
 from reportloom.llm.substring_dedup import repeated_passages
+from reportloom.llm.vector_codes import compress_vectors
 from reportloom.llm.warc import archive_digest, write_warc
 
 
@@ -71,6 +72,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every vector that holds finite numbers alone; no others have a row."""
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_simhash": op2_simhash,
@@ -82,7 +88,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op12_vector_codes": op12_vector_codes,
 }
+
+
+def _lloyd_sql(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """The same codebooks and codes by comparing every part with every entry."""
+    far = "list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    tables = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, x) AS r, * FROM (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = {parts * width} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0) q)""",
+        f"v AS MATERIALIZED (SELECT r, p, x[p * {width} + 1 : p * {width} + {width}] AS v FROM k CROSS JOIN (SELECT unnest(range({parts})) AS p) q)",
+        f"b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v AS w FROM v WHERE r <= {entries})",
+    ]
+    for n in range(rounds + 1):
+        tables.append(f"a{n} AS MATERIALIZED (SELECT r, p, any_value(v) AS v, min({far} * {entries} + e) AS m FROM v JOIN b{n} USING (p) GROUP BY r, p)")
+        if n < rounds:
+            tables.append(f"""b{n + 1} AS MATERIALIZED (SELECT o.p, o.e, coalesce(m.w, o.w) AS w FROM b{n} o LEFT JOIN (SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS w
+                FROM (SELECT p, m % {entries} AS e, i, CAST(sum(v[i]) AS DOUBLE) AS s, count(*) AS n FROM a{n} CROSS JOIN (SELECT unnest(range(1, {width + 1})) AS i) q GROUP BY 1, 2, 3) t GROUP BY 1, 2) m ON m.p = o.p AND m.e = o.e)""")
+    tables.append(f"c AS (SELECT r, string_agg(lower(printf('%02x', m % {entries})), '' ORDER BY p) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY r)")
+    tables.append(f"h AS (SELECT sha256(string_agg(x, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(w, ',') AS x FROM b{rounds}) q)")
+    return f"WITH {', '.join(tables)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (r) CROSS JOIN h"
+
+
 #: DuckDB SQL of those queries that SQL can express at a bearable cost.
 ORACLES: dict[str, str] = {
     "op4_warc": """
@@ -93,4 +121,5 @@ ORACLES: dict[str, str] = {
                CASE WHEN f.n > 1 AND p.page_id <> f.first_id THEN f.first_id END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "op12_vector_codes": _lloyd_sql(),
 }
