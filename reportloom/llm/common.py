@@ -20,6 +20,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written in the shared folder and read again: worked out once, its lineage cut; runs a job."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def key_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 16) -> Iterator[pa.Table]:
     """Regroup sorted batches so that no table boundary falls inside a run of equal ``key`` values.
 

@@ -11,6 +11,7 @@ from reportloom.llm.decontamination import find_leaks
 from reportloom.llm.embedding_dedup import near_vectors
 from reportloom.llm.html_text import main_text
 from reportloom.llm.packing import pack, word_vocabulary
+from reportloom.llm.prefix_trie import prefix_trie
 from reportloom.llm.quality import quality_scores
 from reportloom.llm.secrets import secrets_digest
 from reportloom.llm.sharding import shard_documents
@@ -77,6 +78,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations; rows without a conversation have no part in it."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_simhash": op2_simhash,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
     "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 
@@ -122,4 +129,19 @@ ORACLES: dict[str, str] = {
         FROM p LEFT JOIN f USING (payload_digest)
     """,
     "op12_vector_codes": _lloyd_sql(),
+    "op13_prefix_trie": """
+        WITH t AS (SELECT conv_id AS c, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, strlen(coalesce(text, '')) AS b, turn FROM conversations WHERE conv_id IS NOT NULL),
+        l AS (SELECT c, list(struct_pack(k, b) ORDER BY turn NULLS FIRST, k) AS ts FROM t GROUP BY c),
+        -- CRC-32 of the decimal id, bit by bit
+        h AS (SELECT *, CASE WHEN c % 5 = 0 THEN 0 ELSE xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) % 9 END AS h FROM l),
+        r AS (SELECT a.c, list_concat(coalesce(d.ts[1:a.h], []), a.ts[a.h + 1:]) AS ts FROM h a LEFT JOIN l d ON d.c = a.c - a.c % 5 AND a.h > 0),
+        p AS MATERIALIZED (SELECT c, d, len(ts) AS n, ts[d].b AS b, sha256(d || array_to_string(list_transform(ts[1:d], lambda x: x.k), '')) AS node,
+                CASE WHEN d > 0 THEN sha256(d - 1 || array_to_string(list_transform(ts[1:d - 1], lambda x: x.k), '')) END AS up FROM (SELECT *, unnest(range(len(ts) + 1)) AS d FROM r) q),
+        n AS MATERIALIZED (SELECT node, any_value(up) AS up, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(b), 0) AS b, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends FROM p GROUP BY node),
+        k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+        s AS (SELECT a.node, sum((x.n_convs - 1) * x.b) AS saved, count(*) FILTER (WHERE k.node IS NULL) AS leaves FROM n x JOIN p a ON a.c = x.conv_id AND a.d <= x.depth LEFT JOIN k ON k.node = x.node GROUP BY 1)
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM n JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN n u ON u.node = n.up
+    """,
 }
