@@ -10,6 +10,7 @@ from reportloom.llm.common import shared_folder, table
 from reportloom.llm.decontamination import find_leaks
 from reportloom.llm.embedding_dedup import near_vectors
 from reportloom.llm.html_text import main_text
+from reportloom.llm.language_model import language_model_scores
 from reportloom.llm.packing import pack, word_vocabulary
 from reportloom.llm.prefix_trie import prefix_trie
 from reportloom.llm.quality import quality_scores
@@ -73,6 +74,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; one without a text is its end token."""
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes and errors of every vector that holds finite numbers alone; no others have a row."""
     return compress_vectors(table(spark, sf_dir, "embeddings"))
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_vector_codes": op12_vector_codes,
     "op13_prefix_trie": op13_prefix_trie,
 }
