@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.functions.cells import strip
+from reportloom.functions.folds import BLOCK, SIZE, Fold, chunked_fold
 from reportloom.functions.fuzzy import zone_ratios
 
 #: Document type to (pattern, weight, kind).
@@ -31,7 +29,6 @@ PHOTO, NONE, SAME_INSTANCE = "Photo/Non-text", "Unclassified", "Aircraft Request
 HEAD, TAIL, OPENER, BOTTOM, FUZZY, STRICT = 900, 400, 3, 5, 85, 88
 ADDRESSEES = ["1033 program", "law enforcement support office", "arkansas leso", "program manager"]
 DATE = r"(?i)(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+\d{4}|\d{1,2}/\d{1,2}/\d{2,4}"
-_FOLDED = ["bundle_id", "page", "best_type", "best_score", "bottom_type", "bottom_score", "non_text"]
 
 
 def _phrases(signatures) -> list[str]:
@@ -83,42 +80,85 @@ def page_scores(pages: DataFrame, signatures=SIGNATURES) -> DataFrame:
     return rated.select(*pages.columns, F.col("__best.type").alias("best_type"), F.coalesce("__best.score", F.lit(0)).alias("best_score"), F.col("__low.type").alias("bottom_type"), F.coalesce("__low.score", F.lit(0)).alias("bottom_score"))
 
 
-def _folded(opener: int, bottom: int):
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by bundle and page; the state goes from row to row and batch to batch."""
-        bundle = kind = pending = None
-        seg = score = 0
-        for pdf in batches:
-            out = []
-            for b, page, best, points, low, low_points, blank in zip(*(pdf[c] for c in _FOLDED), strict=True):
-                if b != bundle:
-                    bundle, kind, pending, seg, score = b, None, None, 0, 0
-                opens = not blank and points >= opener and not (best == kind and best == SAME_INSTANCE)
-                footed = not blank and pending is not None and kind is not None
-                if blank and kind != PHOTO:
-                    seg, kind, score = seg + 1, PHOTO, 0
-                elif opens:
-                    seg, kind, score = seg + 1, best, points
-                elif footed:
-                    seg, kind, score = seg + 1, pending, bottom
-                elif kind is None:
-                    seg, kind, score = seg + 1, NONE, 0
-                pending = low if not blank and low_points >= bottom and low is not None and low != kind else None
-                out.append((b, page, seg, kind, score))
-            yield pd.DataFrame(out, columns=["bundle_id", "page", "seg", "doc_type", "score"])
-
-    return fold
-
-
-def segment_pages(scored: DataFrame, opener: int = OPENER, bottom: int = BOTTOM) -> DataFrame:
+#: Stand for any document type that no rule of a chunk names.
+ANY_KIND, ANY_PENDING = "\x00kind", "\x00pending"
+
+
+def _turn(kind, pending, row, opener: int, bottom: int) -> tuple:
+    """(kind, pending, score) after a page; the score is null where the page goes on with its segment."""
+    best, points, low, low_points, blank = row
+    score = None
+    if blank:
+        if kind != PHOTO:
+            score = 0
+        return PHOTO, None, score
+    if points >= opener and not best == kind == SAME_INSTANCE:
+        kind, score = best, points
+    elif kind is None:
+        kind, score = NONE, 0
+    elif pending is not None:
+        kind, score = pending, bottom
+    return kind, low if low_points >= bottom and low != kind else None, score
+
+
+def _page_fold(opener: int, bottom: int) -> Fold:
+    """The fold of pages. Its state is [kind, pending, segment number, score].
+
+    A page asks of the state only whether it is one of few types, so a chunk's transition is a table of those (and of one
+    that stands for all others): [kind, pending, kind after, pending after, segments begun, score of the last or null].
+    """
+
+    def cells(kinds, pendings):
+        return [(k, p) for k in [*kinds, ANY_KIND] for p in [*pendings, ANY_PENDING] if k != p or k is None]
+
+    def summary(rows):
+        rows = list(rows)
+        named = sorted({r[2] for r in rows if r[2] is not None} | {SAME_INSTANCE, PHOTO})
+        ways = {(k, p, None): [((k, p), 0)] for k, p in cells([None, *named], [None, *named])}  # state -> the cells that lead there
+        begun = dict.fromkeys(ways, 0)
+        for row in rows:
+            on: dict = {}
+            for (kind, pending, score), own in ways.items():
+                k, p, s = _turn(kind, pending, row, opener, bottom)
+                n = begun[kind, pending, score] + (s is not None)
+                at = (k, p, score if s is None else s)
+                if at not in on:
+                    on[at] = (own, n)
+                else:  # two ways meet: the cells of one keep what they have begun more
+                    held, m = on[at]
+                    on[at] = (held + [(c, x + n - m) for c, x in own], m)
+            ways, begun = {at: own for at, (own, _) in on.items()}, {at: n for at, (_, n) in on.items()}
+        return {"kinds": [None, *named], "pendings": [None, *named], "table": [[*c, at[0], at[1], begun[at] + x, at[2]] for at, own in ways.items() for c, x in own]}
+
+    def apply(t, state):
+        kind, pending, seg, score = state
+        k, p = kind if kind in t["kinds"] else ANY_KIND, pending if pending in t["pendings"] else ANY_PENDING
+        _, _, k2, p2, n, s = next(r for r in t["table"] if r[0] == k and r[1] == p)
+        known = {ANY_KIND: kind, ANY_PENDING: pending}
+        return [known.get(k2, k2), known.get(p2, p2), seg + n, score if s is None else s]
+
+    def compose(one, two):
+        kinds = one["kinds"] + [k for k in two["kinds"] if k not in one["kinds"]]
+        pendings = one["pendings"] + [p for p in two["pendings"] if p not in one["pendings"]]
+        return {"kinds": kinds, "pendings": pendings, "table": [[*c, *apply(two, apply(one, [*c, 0, None]))] for c in cells(kinds, pendings)]}
+
+    def step(state, row):
+        kind, pending, seg, score = state
+        kind, pending, s = _turn(kind, pending, row, opener, bottom)
+        seg, score = seg + (s is not None), score if s is None else s
+        return [kind, pending, seg, score], (seg, kind, score)
+
+    return Fold([None, None, 0, 0], summary, compose, apply, step)
+
+
+def segment_pages(scored: DataFrame, opener: int = OPENER, bottom: int = BOTTOM, size: int = SIZE, block: int = BLOCK) -> DataFrame:
     """bundle_id, page, seg, doc_type, score: the pages of each bundle folded in order into segments.
 
-    Only page numbers, types and scores travel. A bundle is worked through in one task, page by page (current type, type
-    pending from the last page's foot, segment number and its score are the state); a task holds a batch.
+    Only page numbers, types and scores travel. A bundle is cut into chunks of ``size`` pages that are worked through at once
+    (``chunked_fold``); the state is the current type, the type pending from the last page's foot, the segment and its score.
     """
-    slim = scored.select("bundle_id", F.col("page").cast("int").alias("page"), "best_type", "best_score", "bottom_type", "bottom_score", F.coalesce("non_text", F.lit(False)).alias("non_text"))
-    dealt = slim.repartition("bundle_id").sortWithinPartitions("bundle_id", "page")
-    return dealt.mapInPandas(_folded(opener, bottom), "bundle_id string, page int, seg int, doc_type string, score int")
+    slim = scored.select("bundle_id", F.col("page").cast("int").alias("page"), "best_type", F.coalesce("best_score", F.lit(0)).alias("best_score"), "bottom_type", F.when(F.col("bottom_type").isNotNull(), F.col("bottom_score")).otherwise(0).alias("bottom_score"), F.coalesce("non_text", F.lit(False)).alias("non_text"))
+    return chunked_fold(slim, "bundle_id", "page", _page_fold(opener, bottom), "seg int, doc_type string, score int", size, block)
 
 
 def segments(pages: DataFrame, placed: DataFrame) -> DataFrame:
