@@ -29,13 +29,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_intdigest
+from xxhash import xxh3_128_digest
 
 from reportloom.llm.common import shuffle_partitions, written
 from reportloom.llm.elias_fano import Trie, narrow, pack, unpack, values
 
 #: Tokens of a piece (below 2 ** 21), windows of a shard, and weights of the shorter contexts.
-PIECE, SHARD, A2, A3 = 2_000_000, 4_000_000, 200.0, 10.0
+PIECE, SHARD, A2, A3 = 1_000_000, 2_000_000, 200.0, 10.0
+#: Bytes of text that are split into words together.
+SLICE = 6_000_000
 HEAVY = 8
 #: Fixed numbers of marks: nothing follows, start and end of a text. Words have the others.
 NONE, START, END = 0, 1, 2
@@ -72,6 +74,16 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.bincount(owner.filter(full).to_numpy(), minlength=len(texts)), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
+    """(ids, texts) of rows whose texts have about ``SLICE`` bytes together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy())
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, side="right")))
+        yield b.column(0).slice(at, end - at).to_pylist(), b.column(1).slice(at, end - at)
+        at = end
+
+
 def _stream(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(tokens with the marks of every text, place of each text's start)."""
     starts = np.concatenate([[0], np.cumsum(counts + 2)])[:-1]
@@ -87,11 +99,10 @@ def _encoded(size: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (doc_id, text) as pieces: tokens by their numbers in the piece, digests of its words, and its texts."""
         task, piece, row = TaskContext.get().partitionId(), 0, 0
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            counts, words, distinct = _words(b.column(1))
+        for ids, texts in (part for b in batches for part in _slices(b)):
+            counts, words, distinct = _words(texts)
             tokens, starts = _stream(counts, words)
-            digests = np.array([(x >> 64, x & (1 << 64) - 1) for x in (xxh3_128_intdigest(w.encode()) for w in distinct.to_pylist())], np.uint64).reshape(-1, 2)
+            digests = np.frombuffer(b"".join(xxh3_128_digest(w.as_py()) for w in distinct), ">u8").astype(np.uint64).reshape(-1, 2)
             held = np.array([held_out(i) for i in ids], bool)
             for lo in range(0, len(tokens), size):
                 hi = min(lo + size, len(tokens))
