@@ -46,7 +46,6 @@ ROWS = "batch long, kind int, shard long, data binary"
 SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 #: Kinds of rows: a piece, answers to its words and to its n-grams, a shard's summary.
 TEXT, WORDS, GRAMS, SUMMARY = 0, 1, 2, 3
-_SPACE = r"[ \t-\r]+"
 _BITS = np.uint64(21)
 _LOW = np.uint64((1 << 21) - 1)
 
@@ -65,13 +64,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["batch", "kind", "shard", "data"])
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(number of words of each text, word numbers in order, distinct words)."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), _SPACE)
-    owner, flat = pc.list_parent_indices(lists), lists.flatten()
-    full = pc.not_equal(flat, "")
-    coded = flat.filter(full).dictionary_encode()
-    return np.bincount(owner.filter(full).to_numpy(), minlength=len(texts)), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(number of words of each text, word numbers in order, distinct words). As bytes: A-Z and ASCII white space alone count."""
+    lists = [(t or b"").lower().split() for t in texts.cast(pa.large_binary()).to_pylist()]
+    coded = pa.array([w for ws in lists for w in ws], pa.large_binary()).dictionary_encode()
+    return np.array([len(ws) for ws in lists], np.int64), coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
 def _slices(b: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
@@ -102,7 +99,7 @@ def _encoded(size: int):
         for ids, texts in (part for b in batches for part in _slices(b)):
             counts, words, distinct = _words(texts)
             tokens, starts = _stream(counts, words)
-            digests = np.frombuffer(b"".join(xxh3_128_digest(w.as_py()) for w in distinct), ">u8").astype(np.uint64).reshape(-1, 2)
+            digests = np.frombuffer(b"".join(xxh3_128_digest(w) for w in distinct), ">u8").astype(np.uint64).reshape(-1, 2)
             held = np.array([held_out(i) for i in ids], bool)
             for lo in range(0, len(tokens), size):
                 hi = min(lo + size, len(tokens))
