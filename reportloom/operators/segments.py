@@ -170,6 +170,36 @@ def segments(pages: DataFrame, placed: DataFrame) -> DataFrame:
         strip(F.array_join(texts, "\n\n")).alias("text"), F.avg(F.coalesce("conf", F.lit(100.0))).alias("conf"))
 
 
+def segment_pieces(pages: DataFrame, placed: DataFrame) -> DataFrame:
+    """bundle_id, seg, page, text: a segment's text as one piece a page; joined in order they are the text of ``segments``.
+
+    No cell grows with a segment. Blank lines between pages go with the page after them; pages before the first and after the
+    last that has text have no piece, as the text is stripped.
+    """
+    joined = placed.select("bundle_id", "seg", "page").join(pages.select("bundle_id", "page", F.coalesce("text", F.lit("")).alias("text")), ["bundle_id", "page"])
+    own = joined.where(strip(F.col("text")) != "").groupBy("bundle_id", "seg").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    text = F.when(F.col("page") > F.col("first"), F.concat(F.lit("\n\n"), F.col("text"))).otherwise(F.regexp_replace("text", r"(?U)^\s+", ""))
+    text = F.when(F.col("page") < F.col("last"), text).otherwise(F.regexp_replace(text, r"(?U)\s+\z", ""))
+    return joined.join(own, ["bundle_id", "seg"]).where(F.col("page").between(F.col("first"), F.col("last"))).select("bundle_id", "seg", "page", text.alias("text"))
+
+
+def segment_ends(pieces: DataFrame, n: int = HEAD) -> DataFrame:
+    """bundle_id, seg, head, tail: the first and the last ``n`` characters of each segment's text.
+
+    A piece has a character or more, so ``n`` pieces from either end hold them; the others are left out before the shuffle.
+    """
+    own = ["bundle_id", "seg"]
+
+    def end(order: Column, cut: Column, join, name: str) -> DataFrame:
+        near = pieces.withColumn("__n", F.row_number().over(Window.partitionBy(*own).orderBy(order))).where(F.col("__n") <= n)
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("page", cut.alias("text")))), lambda x: x["text"])
+        return near.groupBy(*own).agg(join(F.array_join(texts, "")).alias(name))
+
+    last = lambda c: F.substring(c, F.greatest(F.length(c) - n + 1, F.lit(1)), F.lit(n))
+    head = end(F.col("page").asc(), F.substring("text", 1, n), lambda c: F.substring(c, 1, n), "head")
+    return head.join(end(F.col("page").desc(), last(F.col("text")), last, "tail"), own)
+
+
 def report_ids(segs: DataFrame) -> DataFrame:
     """Real segments numbered ``RPT_001`` on in each bundle; photo segments are left out."""
     real = F.when(F.col("doc_type") != PHOTO, 1)

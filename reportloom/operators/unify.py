@@ -33,48 +33,66 @@ def _labelled(**parts: Column) -> Column:
     return F.concat(*[x for k, (name, c) in enumerate(parts.items()) for x in (F.lit((" | " if k else "") + name + ": "), c)])
 
 
-def _unified(df: DataFrame, order: list[str], prefix: str, source: str, record: str, event: str, confidence: Column, details: Column, location: Column | None = None, time: Column | None = None) -> DataFrame:
-    score = severity_score(confidence)
-    na = F.lit(NA)
-    return assign_ids(df, prefix, order).select(
-        "Incident_ID", F.lit(source).alias("Source"), clean_cell(F.col(record)).alias("Source_Record_ID"), clean_cell(F.col(event)).alias("Event"),
+def _row(source: str, record: str, event: str, confidence: Column, details: Column, location: Column | None = None, time: Column | None = None) -> list[Column]:
+    """The columns of a report row in the unified table but for its id."""
+    score, na = severity_score(confidence), F.lit(NA)
+    return [
+        F.lit(source).alias("Source"), clean_cell(F.col(record)).alias("Source_Record_ID"), clean_cell(F.col(event)).alias("Event"),
         (na if location is None else location).alias("Location"), (na if time is None else time).alias("Time"),
         score.alias("Severity_Score"), severity_level(score).alias("Severity_Level"), details.alias("Details"),
-    )
+    ]
 
 
-def normalize_audio(df: DataFrame, order: list[str]) -> DataFrame:
-    c = lambda n: clean_cell(F.col(n))
-    return _unified(df, order, "AUD", "Audio", "Call_ID", "Extracted_Event", F.col("Urgency_Score").cast("double"), _labelled(Sentiment=c("Sentiment"), Transcript=truncate_details(c("Transcript"))), c("Location"))
+def _cell(name: str) -> Column:
+    return clean_cell(F.col(name))
 
 
-def normalize_pdf(df: DataFrame, order: list[str]) -> DataFrame:
-    c = lambda n: clean_cell(F.col(n))
-    return _unified(df, order, "DOC", "PDF", "Report_ID", "Incident_Type", pdf_confidence(F.col("Incident_Type")), _labelled(Officer=c("Officer"), Summary=truncate_details(c("Summary"))), c("Location"), c("Date"))
+def audio_row() -> list[Column]:
+    return _row("Audio", "Call_ID", "Extracted_Event", F.col("Urgency_Score").cast("double"), _labelled(Sentiment=_cell("Sentiment"), Transcript=truncate_details(_cell("Transcript"))), _cell("Location"))
 
 
-def normalize_image(df: DataFrame, order: list[str]) -> DataFrame:
-    c = lambda n: clean_cell(F.col(n))
-    return _unified(df, order, "IMG", "Image", "Image_ID", "Scene_Type", F.col("Confidence_Score").cast("double"), _labelled(Objects=c("Objects_Detected"), OCR=c("Text_Extracted")))
+def pdf_row() -> list[Column]:
+    return _row("PDF", "Report_ID", "Incident_Type", pdf_confidence(F.col("Incident_Type")), _labelled(Officer=_cell("Officer"), Summary=truncate_details(_cell("Summary"))), _cell("Location"), _cell("Date"))
 
 
-def normalize_video(df: DataFrame, order: list[str]) -> DataFrame:
-    c = lambda n: clean_cell(F.col(n))
-    return _unified(df, order, "VID", "Video", "Frame_ID", "Event_Detected", F.col("Confidence").cast("double"), _labelled(Objects=c("Objects")), time=c("Timestamp"))
+def image_row() -> list[Column]:
+    return _row("Image", "Image_ID", "Scene_Type", F.col("Confidence_Score").cast("double"), _labelled(Objects=_cell("Objects_Detected"), OCR=_cell("Text_Extracted")))
 
 
-def normalize_text(df: DataFrame, order: list[str]) -> DataFrame:
-    c = lambda n: clean_cell(F.col(n))
-    details = _labelled(Handle=c("Source"), Sentiment=c("Sentiment"), Text=truncate_details(c("Raw_Text")))
-    return _unified(df, order, "TXT", "Text", "Text_ID", "Topic", text_confidence(F.col("Sentiment"), F.col("Topic")), details, text_locations(c("Entities")))
+def video_row() -> list[Column]:
+    return _row("Video", "Frame_ID", "Event_Detected", F.col("Confidence").cast("double"), _labelled(Objects=_cell("Objects")), time=_cell("Timestamp"))
 
 
-#: Name to normaliser, in the order of the union. A further source is one more entry.
-NORMALIZERS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
-    "Audio": normalize_audio, "PDF": normalize_pdf, "Image": normalize_image, "Video": normalize_video, "Text": normalize_text,
+def text_row() -> list[Column]:
+    details = _labelled(Handle=_cell("Source"), Sentiment=_cell("Sentiment"), Text=truncate_details(_cell("Raw_Text")))
+    return _row("Text", "Text_ID", "Topic", text_confidence(F.col("Sentiment"), F.col("Topic")), details, text_locations(_cell("Entities")))
+
+
+#: Name to the prefix of ids and to the columns of a row, in the order of the union. A further source is one more entry.
+MODALITIES: dict[str, tuple[str, Callable[[], list[Column]]]] = {
+    "Audio": ("AUD", audio_row), "PDF": ("DOC", pdf_row), "Image": ("IMG", image_row), "Video": ("VID", video_row), "Text": ("TXT", text_row),
 }
 
 
+def incident_rows(df: DataFrame, source: str) -> DataFrame:
+    """Report rows of a source in the unified columns but the id. Row by row, so ``df`` may be a streaming frame."""
+    return df.select(*MODALITIES[source][1]())
+
+
+def _normalizer(source: str) -> Callable[[DataFrame, list[str]], DataFrame]:
+    def normalize(df: DataFrame, order: list[str]) -> DataFrame:
+        """The report in the unified columns, numbered in the order of the columns ``order``; runs jobs."""
+        prefix, row = MODALITIES[source]
+        return assign_ids(df, prefix, order).select("Incident_ID", *row())
+
+    return normalize
+
+
+#: Name to normaliser.
+NORMALIZERS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {source: _normalizer(source) for source in MODALITIES}
+normalize_audio, normalize_pdf, normalize_image, normalize_video, normalize_text = NORMALIZERS.values()
+
+
 def fill_missing(df: DataFrame) -> DataFrame:
     """Empty and missing strings of all string columns as ``N/A``."""
     strings = [n for n, t in df.dtypes if t == "string"]

@@ -9,6 +9,7 @@ from reportloom.functions.shared import shared_folder
 from reportloom.operators import fields as X
 from reportloom.operators import pages as P
 from reportloom.operators import segments as S
+from reportloom.operators.unify import UNIFIED_COLUMNS
 from reportloom.plans.fixtures import fixture, oracle
 from reportloom.sources import io
 
@@ -64,34 +65,45 @@ def _filtered(s, d):
     return s.read.csv(path, header=True, multiLine=True, quote='"', escape='"').select("Incident_ID", "Source", "Severity_Level", F.col("Severity_Score").cast("double").alias("Severity_Score"))
 
 
-def _post_lines(s, d):
-    return fixture(s, d, "posts").withColumn("value", F.when(F.col("doc_id") % 13 == 0, F.lit("{broken")).when(F.col("doc_id") % 17 == 0, F.lit("  ")).otherwise(
-        F.to_json(F.struct(F.when(F.col("doc_id") % 5 > 0, F.col("tweet_id")).alias("id"), F.col("raw_text").alias("text"), F.struct(F.when(F.col("doc_id") % 3 > 0, F.col("screen_name")).alias("screen_name")).alias("user")))))
+def _posts_file(s, d):
+    """Post lines in files of a thousand documents: some without an id, an empty object now and then, blank and broken lines."""
+    path = shared_folder(s, "posts")
+    post = F.struct(F.when(F.col("doc_id") % 5 > 0, F.col("tweet_id")).alias("id"), F.col("raw_text").alias("text"), F.struct(F.when(F.col("doc_id") % 3 > 0, F.col("screen_name")).alias("screen_name")).alias("user"))
+    line = F.when(F.col("doc_id") % 13 == 0, "{broken").when(F.col("doc_id") % 17 == 0, "  ").when(F.col("doc_id") % 19 == 0, "{}").otherwise(F.to_json(post))
+    rows = fixture(s, d, "posts").select(F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", line.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
+    return path
 
 
-def _jsonl(s, d):
-    posts, _ = io.parse_posts(_post_lines(s, d).select("value", F.col("doc_id").alias("line")))
-    return posts
+def _cache(s, d):
+    """Cache files of 500 pages of a bundle, those of every third bundle of an old version, read by version."""
+    path = shared_folder(s, "cache")
+    rows = _pages(s, d).select("page", "method", "conf", F.lit(0).alias("rotation"), "non_text", "text", F.col("bundle_id").alias("bundle"), F.floor(F.col("page") / 500).alias("part"))
+    io.write_page_cache(rows, path, ["bundle", "part"], F.when(F.length("bundle") % 3 == 0, 1).otherwise(2))
+    return io.read_page_cache(s, path, 2).select("page", "method", "conf", "non_text", F.length("text").alias("chars"))
 
 
-def _post_counts(s, d):
-    """Post lines written to files and read again: good and malformed lines."""
-    path = shared_folder(s, "posts")
-    _post_lines(s, d).select("value").write.text(path)
-    return io.read_posts(s, path)[1]
+def _master_csv(s, d):
+    """The unified table written as CSV, without its further columns, and read as strings."""
+    path = shared_folder(s, "incidents-csv")
+    io.write_csv(fixture(s, d, "incidents").fillna("N/A"), path, UNIFIED_COLUMNS)
+    return s.read.csv(path, header=True, multiLine=True, quote='"', escape='"').withColumn("Severity_Score", F.col("Severity_Score").cast("double"))
 
 
-def _cache(s, d):
-    """One cache file for each bundle, every third of an old version, read by version."""
-    path = shared_folder(s, "cache")
-    rows = _pages(s, d).select("page", "method", "conf", F.lit(0).alias("rotation"), "non_text", "text", "bundle_id")
-    caches = rows.groupBy("bundle_id").agg(F.when(F.length("bundle_id") % 3 == 0, 1).otherwise(2).alias("version"), F.collect_list(F.struct("page", "method", "conf", "rotation", "non_text", "text")).alias("pages"))
-    caches.withColumnRenamed("bundle_id", "part").repartition("part").write.partitionBy("part").json(path)
-    return io.read_page_cache(s, path, 2).select("page", "method", "conf", "non_text")
+def _parquet(s, d):
+    """The unified table by source; then one source is written anew, and two are read."""
+    path = shared_folder(s, "incidents")
+    rows = fixture(s, d, "incidents").select(*UNIFIED_COLUMNS)
+    io.write_incidents(rows, path)
+    io.write_incidents(rows.where("Source = 'Video' and Severity_Level = 'High'"), path)
+    return io.read_incidents(s, path, ["Video", "Text"])
 
 
-def _listing(s, d):
-    return io.list_files(s, d, [".PARQUET"]).select("stem")
+def _cover_letters(s, d):
+    head = F.when(F.col("doc_id") % 8 == 0, "To Whom It May Concern:\n").when(F.col("doc_id") % 8 == 1, "Attn 1033 Program\n").otherwise("")
+    rows = fixture(s, d, "letters").select("doc_id", F.concat(head, F.col("text")).alias("text"))
+    rated = rows.withColumn("r", zone_ratios([(F.substring("text", 1, 500), ["to whom it may concern"]), (F.substring("text", 1, 250), S.ADDRESSEES)]))
+    return rated.select("doc_id", S.cover_letter_score(F.col("text"), F.col("r")[0][0], F.array_max(F.col("r")[1])).alias("score"))
 
 
 def _master(s, d):
@@ -125,9 +137,10 @@ def _dictionary(s, d):
     return _tokens(s, d).groupBy(F.col("token").alias("word")).agg(F.count("*").alias("freq")).where("freq >= 12")
 
 
+PHRASE = "aircraft request"
 QUERIES = {
-    "src_csv_modality": _csv, "src_jsonl_posts": _jsonl, "src_jsonl_counts": _post_counts, "pdf_report": _report, "src_page_cache": _cache, "src_binary_listing": _listing, "src_master_csv": _master,
-    "sink_csv": _csv, "sink_filtered_csv": _filtered, "sink_segments_json": _segments_json,
+    "src_csv_modality": _csv, "src_jsonl_posts": lambda s, d: io.read_posts(s, _posts_file(s, d))[0], "src_jsonl_counts": lambda s, d: io.read_posts(s, _posts_file(s, d))[1], "pdf_report": _report, "src_page_cache": _cache, "src_master_csv": _master,
+    "sink_csv": _master_csv, "sink_parquet": _parquet, "sink_filtered_csv": _filtered, "sink_segments_json": _segments_json,
     "ocr_lines": lambda s, d: P.ocr_lines(fixture(s, d, "ocr_words")),
     "ocr_mean_conf": lambda s, d: P.ocr_mean_conf(fixture(s, d, "ocr_words")).withColumn("conf", F.round("conf", 9)),
     "ocr_best_variant": lambda s, d: P.ocr_best_variant(fixture(s, d, "ocr_words")).withColumn("conf", F.round("conf", 9)),
@@ -135,14 +148,15 @@ QUERIES = {
     "table_text": lambda s, d: fixture(s, d, "letters").select("doc_id", P.table_text(F.array(F.array(F.array(F.lit(" x "), F.lit(""), F.regexp_replace("text", r"\s+", " ")), F.array(F.lit(" "))))).alias("text")),
     "page_text": _page_text,
     "non_text_flag": lambda s, d: _pages(s, d).select("bundle_id", "page", "non_text"),
-    "fuzzy_partial_ratio": lambda s, d: fixture(s, d, "bundle_pages").select("bundle_id", "page", (F.get(F.get(zone_ratios([(F.col("text"), ["aircraft request"])]), F.lit(0)), F.lit(0)) >= 85).alias("found")),
+    "fuzzy_partial_ratio": lambda s, d: fixture(s, d, "bundle_pages").select("bundle_id", "page", F.round(zone_ratios([(F.col("text"), [PHRASE])], least=0)[0][0], 6).alias("ratio")),
     "signature_scores": lambda s, d: _scored(s, d).select("bundle_id", "page", "best_score"),
-    "cover_letter_score": lambda s, d: _letters(s, d).select("doc_id", S.cover_letter_score(F.col("text"), F.lit(0.0), F.lit(0.0)).alias("score")),
+    "cover_letter_score": _cover_letters,
     "certificate_score": lambda s, d: S.page_scores(_letters(s, d).select(F.col("doc_id").alias("page"), F.concat(F.when(F.col("doc_id") % 2 == 0, "Joint Program Office for successful completion ").otherwise(""), F.col("text")).alias("text"))).select("page", F.col("best_type").eqNullSafe(F.lit("Training Certificate")).alias("certificate")),
     "page_doc_type": lambda s, d: _scored(s, d).select("bundle_id", "page", "best_type", "best_score"),
     "bottom_opener": lambda s, d: _scored(s, d).select("bundle_id", "page", "bottom_type", "bottom_score"),
     "segment_pages": _placed,
-    "segment_text": lambda s, d: _segments(s, d).select("bundle_id", "seg", "page_start", "page_end", "text"),
+    "segment_text": lambda s, d: S.segment_pieces(_pages(s, d), _placed(s, d)),
+    "segment_ends": lambda s, d: S.segment_ends(S.segment_pieces(_pages(s, d), _placed(s, d))),
     "segment_confidence": lambda s, d: _segments(s, d).select("bundle_id", "seg", F.round("conf", 9).alias("conf")),
     "report_ids": lambda s, d: S.report_ids(_segments(s, d)).select("bundle_id", "seg", "report_id"),
     "doc_type_inventory": lambda s, d: S.doc_type_inventory(_placed(s, d)),
@@ -162,9 +176,9 @@ QUERIES = {
     "extract_outcome": _field("outcome", lambda: X.extract_outcome(F.col("text"))),
     "ocr_fix_map": _field("text", lambda: X.ocr_fix(F.concat(F.lit("Frorn ofthe | bovd 1s "), F.col("text")))),
     "spell_correct": lambda s, d: X.spell_correct(_tokens(s, d), _dictionary(s, d)),
-    "needs_review": lambda s, d: _fields(s, d).select("doc_id", "Needs_Review"),
-    "inherit_locations": lambda s, d: X.inherit_locations(_fields(s, d)),
-    "review_report": lambda s, d: X.review_report(_fields(s, d)),
+    "needs_review": lambda s, d: fixture(s, d, "report_rows").select("doc_id", X.needs_review(F.col("conf")).alias("Needs_Review")),
+    "inherit_locations": lambda s, d: X.inherit_locations(fixture(s, d, "agencies")),
+    "review_report": lambda s, d: X.review_report(fixture(s, d, "report_rows").withColumn("Needs_Review", X.needs_review(F.col("conf")))),
 }
 
 NON_TEXT = "(method = 'ocr' AND conf < 50 AND length(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) < 400)"
@@ -207,6 +221,7 @@ FOLD = f"""pg AS MATERIALIZED ({PAGES}), fold AS (
     UNION ALL SELECT p.bundle_id, p.page, {KIND}, CASE WHEN NOT p.non_text AND p.ls >= 5 AND p.lt <> {KIND} THEN p.lt END, f.seg + CASE WHEN {STARTS} THEN 1 ELSE 0 END, {VALUE}
     FROM fold f JOIN pg p ON p.bundle_id = f.bundle_id AND p.page = f.page + 1),
     placed AS (SELECT bundle_id, page, CAST(seg AS INTEGER) AS seg, cur AS doc_type, CAST(score AS INTEGER) AS score FROM fold WHERE page > 0)"""
+BLANK = "' ' || chr(9) || chr(10) || chr(13)"
 SEGS = "SELECT q.bundle_id, seg, doc_type, min(q.page) AS page_start, max(q.page) AS page_end, avg(coalesce(conf, 100)) AS conf, trim(string_agg(text, chr(10) || chr(10) ORDER BY q.page), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM placed q JOIN pg USING (bundle_id, page) GROUP BY 1, 2, 3"
 VARIANTS = "SELECT bundle_id, page, rotation, psm, coalesce(avg(CASE WHEN conf >= 0 THEN CAST(conf AS DOUBLE) END), 0) AS conf FROM ocr_words GROUP BY 1, 2, 3, 4"
 LOCATION = "CASE WHEN doc_id % 4 = 0 THEN 'Fort Smith Police Department' WHEN doc_id % 4 = 1 THEN 'Benton County Unit' WHEN doc_id % 11 = 0 THEN 'Little Falls' ELSE 'N/A' END"
@@ -217,14 +232,53 @@ def _folded(sql):
     return oracle(f"WITH {FOLD} {sql}")
 
 
+QUOTED = [f'"{c}"' if c in ("Source", "Time") else c for c in UNIFIED_COLUMNS]
+
+
+def _ratio_sql(phrase):
+    """The best ratio over all windows, a row of bits for each that takes a letter a step; texts shorter than the phrase slide in it."""
+    n, full = len(phrase), (1 << len(phrase)) - 1
+    mask = " ".join(f"WHEN '{c}' THEN {sum(1 << i for i, x in enumerate(phrase) if x == c)}" for c in dict.fromkeys(phrase))
+    steps = f"(SELECT bundle_id, page, s, size, CAST({full} AS BIGINT) AS r, {', '.join(f'lead(m, {j}, 0) OVER (PARTITION BY bundle_id, page ORDER BY s) AS m{j}' for j in range(n))} FROM places) z"
+    for j in range(n):
+        steps = f"(SELECT * REPLACE (((r + (r & m{j})) | (r - (r & m{j}))) & {full} AS r) FROM {steps}) z"
+    return f"""WITH t AS (SELECT bundle_id, page, lower(coalesce(text, '')) AS t FROM bundle_pages),
+        places AS (SELECT bundle_id, page, s, size, CAST(CASE c {mask} ELSE 0 END AS BIGINT) AS m FROM (
+            SELECT bundle_id, page, length(t) AS size, unnest(range({1 - n}, length(t))) AS s, unnest(list_concat(list_transform(range({n - 1}), lambda i: ''), string_split(t, ''))) AS c FROM t WHERE length(t) >= {n}) q),
+        w AS (SELECT bundle_id, page, least(s + {n}, size) - greatest(s, 0) AS k, {n} - bit_count(r) AS common FROM {steps}),
+        short AS (SELECT bundle_id, page, length(t) AS size, t, unnest(range(1 - length(t), {n})) AS s FROM t WHERE length(t) BETWEEN 1 AND {n - 1}),
+        v AS (SELECT bundle_id, page, size, p, t FROM (SELECT *, substr('{phrase}', greatest(s, 0) + 1, least(s + size, {n}) - greatest(s, 0)) AS p FROM short) q),
+        x AS (SELECT bundle_id, page, size, length(p) AS k, size - bit_count(list_reduce(list_concat([CAST((1 << size) - 1 AS BIGINT)], list_transform(string_split(p, ''),
+            lambda c: CAST(list_sum(list_transform(range(size), lambda i: CASE WHEN t[i + 1] = c THEN 1 << i ELSE 0 END)) AS BIGINT))), lambda r, m: ((r + (r & m)) | (r - (r & m))) & ((1 << size) - 1))) AS common FROM v),
+        r AS (SELECT bundle_id, page, max(200.0 * common / ({n} + k)) AS ratio FROM w GROUP BY 1, 2 UNION ALL SELECT bundle_id, page, max(200.0 * common / (size + k)) FROM x GROUP BY 1, 2)
+        SELECT bundle_id, page, round(CAST(coalesce(ratio, 0) AS DOUBLE), 6) AS ratio FROM t LEFT JOIN r USING (bundle_id, page)"""
+
+
+LETTER = "Incident_Type IN ('Letter', 'Memorandum', 'Cover Letter')"
+REASONS = f"""array_to_string(list_filter([CASE WHEN conf < 70 THEN 'low_OCR' END, CASE WHEN {LETTER} AND Officer = 'N/A' THEN 'no_officer' END, CASE WHEN Location = 'N/A' THEN 'no_location' END,
+    CASE WHEN {LETTER} AND "Date" = 'N/A' THEN 'no_date' END, CASE WHEN contains(Summary, ' from ') AND regexp_matches(Summary, '\\.\\s*$') THEN 'templated_summary' END], lambda x: x IS NOT NULL), ';')"""
+TAKES = f"(a.Incident_Type IN ({', '.join(f'{chr(39)}{k}{chr(39)}' for k in X.INHERIT)}) AND f.cur IS NOT NULL AND (a.Location = 'N/A' OR a.Location <> f.cur AND contains(f.cur, a.Location)))"
+PLACE = f"(CASE WHEN {TAKES} THEN f.cur ELSE a.Location END)"
+INHERITED = f"""WITH a AS MATERIALIZED (SELECT * FROM agencies), fold AS (
+    SELECT DISTINCT bundle_id, 0 AS seg, CAST(NULL AS VARCHAR) AS cur, '' AS Incident_Type, '' AS Location, '' AS Needs_Review FROM a
+    UNION ALL SELECT a.bundle_id, a.seg, CASE WHEN {PLACE} <> 'N/A' AND a.Incident_Type NOT IN ('Training Certificate', 'Invoice') THEN {PLACE} ELSE f.cur END, a.Incident_Type, {PLACE},
+        CASE WHEN {TAKES} THEN array_to_string(list_filter(string_split(a.Needs_Review, ';'), lambda x: x <> 'no_location'), ';') ELSE a.Needs_Review END
+    FROM fold f JOIN a ON a.bundle_id = f.bundle_id AND a.seg = f.seg + 1)
+    SELECT bundle_id, seg, Incident_Type, Location, Needs_Review FROM fold WHERE seg > 0"""
+
 ORACLES = {k: oracle(v) for k, v in {
+    "needs_review": f"SELECT doc_id, {REASONS} AS Needs_Review FROM report_rows",
+    "review_report": f"SELECT reason, count(*) AS rows FROM (SELECT unnest(string_split({REASONS}, ';')) AS reason FROM report_rows) q WHERE reason <> '' GROUP BY 1",
+    "inherit_locations": INHERITED,
     "src_csv_modality": 'SELECT Text_ID, "Source", Raw_Text, Sentiment, Entities, Topic FROM text_reports',
-    "sink_csv": 'SELECT Text_ID, "Source", Raw_Text, Sentiment, Entities, Topic FROM text_reports',
+    "sink_csv": f"SELECT {', '.join(f'coalesce({c}, {chr(39)}N/A{chr(39)}) AS {c}' if c != 'Severity_Score' else c for c in QUOTED)} FROM incidents",
+    "sink_parquet": f"SELECT {', '.join(QUOTED)} FROM incidents WHERE \"Source\" = 'Text' OR \"Source\" = 'Video' AND Severity_Level = 'High'",
     "sink_filtered_csv": "SELECT Incident_ID, \"Source\", Severity_Level, Severity_Score FROM incidents WHERE Severity_Level = 'High'",
-    "src_jsonl_posts": """SELECT CASE WHEN doc_id % 5 > 0 THEN tweet_id ELSE 'line_' || CAST(doc_id AS VARCHAR) END AS tweet_id, CASE WHEN doc_id % 3 > 0 THEN screen_name ELSE 'Unknown' END AS screen_name,
-        CASE WHEN doc_id % 3 > 0 THEN screen_name ELSE 'Unknown' END AS display_name, raw_text, '' AS created_at FROM posts WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0""",
+    "src_jsonl_posts": """SELECT CASE WHEN doc_id % 5 > 0 AND doc_id % 19 > 0 THEN tweet_id ELSE 'line_' || n END AS tweet_id, CASE WHEN doc_id % 3 > 0 AND doc_id % 19 > 0 THEN screen_name ELSE 'Unknown' END AS screen_name,
+        CASE WHEN doc_id % 3 > 0 AND doc_id % 19 > 0 THEN screen_name ELSE 'Unknown' END AS display_name, CASE WHEN doc_id % 19 > 0 THEN raw_text ELSE '' END AS raw_text, '' AS created_at
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS n FROM posts) q WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0""",
     "src_jsonl_counts": "SELECT count(*) FILTER (WHERE doc_id % 13 <> 0) AS read, count(*) FILTER (WHERE doc_id % 13 = 0) AS malformed FROM posts WHERE doc_id % 13 = 0 OR doc_id % 17 <> 0",
-    "src_page_cache": f"SELECT page, method, conf, {NON_TEXT} AS non_text FROM bundle_pages WHERE length(bundle_id) % 3 <> 0",
+    "src_page_cache": f"SELECT page, method, conf, {NON_TEXT} AS non_text, CAST(length(text) AS INTEGER) AS chars FROM bundle_pages WHERE length(bundle_id) % 3 <> 0",
     "src_master_csv": "SELECT Incident_ID, CASE WHEN Event <> 'N/A' THEN Event END AS Event, CASE WHEN ordinal % 7 = 0 THEN 0.0 ELSE Severity_Score END AS Severity_Score, CASE WHEN ordinal % 5 = 0 THEN NULL ELSE Severity_Level END AS Severity_Level FROM incidents",
     "ocr_lines": """SELECT bundle_id, page, rotation, psm, string_agg(line, chr(10) ORDER BY block_num, par_num, line_num) AS text FROM
         (SELECT bundle_id, page, rotation, psm, block_num, par_num, line_num, string_agg(text, ' ' ORDER BY word_num) AS line FROM ocr_words WHERE conf >= 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY 1, 2, 3, 4, 5, 6, 7) q GROUP BY 1, 2, 3, 4""",
@@ -237,12 +291,13 @@ ORACLES = {k: oracle(v) for k, v in {
         FROM (SELECT bundle_id, page, method, t AS text, length(trim(t, ' ' || chr(10) || chr(13) || chr(9))) >= 50 AS own FROM (SELECT *, CASE WHEN page % 2 = 0 THEN text ELSE substr(text, 1, 20) END AS t FROM bundle_pages) z) n
         LEFT JOIN (SELECT * FROM bundle_pages WHERE page % 5 <> 0) o ON n.bundle_id = o.bundle_id AND n.page = o.page""",
     "non_text_flag": f"SELECT bundle_id, page, {NON_TEXT} AS non_text FROM bundle_pages",
-    "fuzzy_partial_ratio": "SELECT bundle_id, page, contains(lower(text), 'aircraft request') AS found FROM bundle_pages",
+    "fuzzy_partial_ratio": _ratio_sql(PHRASE),
     "signature_scores": f"SELECT bundle_id, page, bs AS best_score FROM ({PAGES}) p",
     "page_doc_type": f"SELECT bundle_id, page, bt AS best_type, bs AS best_score FROM ({PAGES}) p",
     "bottom_opener": f"SELECT bundle_id, page, lt AS bottom_type, ls AS bottom_score FROM ({PAGES}) p",
-    "cover_letter_score": """SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 1 OR doc_id % 4 = 0 OR doc_id % 5 = 0 THEN CASE WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 THEN 2 ELSE 0 END
-        + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS score FROM letters""",
+    "cover_letter_score": """SELECT doc_id, CAST(CASE WHEN strong OR sender OR heading THEN CASE WHEN strong THEN 4 ELSE 0 END + CASE WHEN heading THEN 2 ELSE 0 END + CASE WHEN doc_id % 8 = 1 THEN 2 ELSE 0 END
+        + CASE WHEN sender THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS score
+        FROM (SELECT doc_id, doc_id % 8 = 0 AS strong, doc_id % 4 = 1 AS sender, doc_id % 4 = 0 OR doc_id % 5 = 0 AS heading FROM letters) q""",
     "certificate_score": "SELECT doc_id AS page, doc_id % 2 = 0 AS certificate FROM letters",
     "iso_date": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '2014-07-04' WHEN doc_id % 3 = 1 THEN '2011-03-12' WHEN 1985 + length(text) % 50 BETWEEN 1990 AND 2026
         THEN (1985 + length(text) % 50) || '-03-' || lpad(CAST(1 + length(text) % 31 AS VARCHAR), 2, '0') END AS date FROM letters""",
@@ -262,7 +317,10 @@ ORACLES = {k: oracle(v) for k, v in {
 }.items()}
 ORACLES |= {k: _folded(v) for k, v in {
     "segment_pages": "SELECT bundle_id, page, seg, doc_type, score FROM placed",
-    "segment_text": f"SELECT bundle_id, seg, page_start, page_end, text FROM ({SEGS}) s",
+    "segment_text": f"""SELECT bundle_id, seg, page, CASE WHEN page = last THEN rtrim(x, {BLANK}) ELSE x END AS text FROM (SELECT *, CASE WHEN page > first THEN chr(10) || chr(10) || text ELSE ltrim(text, {BLANK}) END AS x FROM
+        (SELECT *, min(CASE WHEN full_ THEN page END) OVER w AS first, max(CASE WHEN full_ THEN page END) OVER w AS last FROM (SELECT q.bundle_id, seg, page, coalesce(text, '') AS text, trim(coalesce(text, ''), {BLANK}) <> '' AS full_ FROM placed q JOIN pg USING (bundle_id, page)) z
+        WINDOW w AS (PARTITION BY bundle_id, seg)) y WHERE page BETWEEN first AND last) x""",
+    "segment_ends": f"SELECT bundle_id, seg, substr(text, 1, 900) AS head, right(text, 900) AS tail FROM ({SEGS}) s WHERE text <> ''",
     "segment_confidence": f"SELECT bundle_id, seg, round(conf, 9) AS conf FROM ({SEGS}) s",
     "sink_segments_json": f"SELECT bundle_id, doc_type, seg, page_start, page_end FROM ({SEGS}) s",
     "report_ids": f"SELECT bundle_id, seg, 'RPT_' || lpad(CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY seg) AS VARCHAR), 3, '0') AS report_id FROM ({SEGS}) s WHERE doc_type <> {PHOTO}",

@@ -82,6 +82,9 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
     "pixels": """
         select l_orderkey % 500 as image_id, cast(l_partkey % 180 as int) as h, cast(l_suppkey * 7 % 256 as int) as s, cast(cast(l_quantity as int) * 5 as int) as v
         from lineitem""",
+    "image_pixels": """
+        select cast(floor(l_orderkey / 50) as bigint) as image_id, cast(l_partkey % 180 as int) as h, case when l_linenumber = 5 then null else cast(l_suppkey * 7 % 256 as int) end as s, case when l_orderkey % 97 = 0 then null else cast(cast(l_quantity as int) * 5 as int) end as v
+        from lineitem""",
     "image_detections": """
         select o_orderkey % 500 as image_id, case o_orderkey % 6 when 0 then 'person' when 1 then 'car' when 2 then 'cat' when 3 then 'knife' when 4 then 'bus' else 'tree' end as label,
                cast(o_custkey % 100 as double) / 100 as conf from orders""",
@@ -107,6 +110,17 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
            from (select doc_id, source, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) - 1 as pos from documents) z
            cross join (select 3 as psm union all select 6) a cross join (select 0 as rot union all select 180 union all select 90 union all select 270) b""",
     ),
+    "agencies": """
+        select bundle_id, seg, Incident_Type, Location, case when Location = 'N/A' then case seg % 2 when 0 then 'low_OCR;no_location' else 'no_location;no_date' end else case seg % 3 when 0 then 'low_OCR' else '' end end as Needs_Review
+        from (select source as bundle_id, cast(row_number() over (partition by source order by doc_id) as int) as seg,
+                     case doc_id % 7 when 0 then 'Cover Letter' when 1 then 'Training Lesson Plan' when 2 then 'Course Outline' when 3 then 'Invoice' when 4 then 'Letter' when 5 then 'Department Policy' else 'Course Outline' end as Incident_Type,
+                     case doc_id % 11 when 0 then 'Fort Smith Police Department' when 1 then 'Smith Police Department' when 2 then 'Police Department' when 3 then concat(lang, ' County Office') when 4 then 'County Office' else 'N/A' end as Location
+              from documents) q""",
+    "report_rows": """
+        select doc_id, case doc_id % 4 when 0 then 'Letter' when 1 then 'Memorandum' when 2 then 'Cover Letter' else 'Invoice' end as Incident_Type, case doc_id % 3 when 0 then 'N/A' else 'Ann Lee' end as Officer,
+               case doc_id % 5 when 0 then 'N/A' else source end as Location, case doc_id % 7 when 0 then 'N/A' else '2014-07-04' end as Date,
+               case doc_id % 6 when 0 then concat('Letter from ', source, '. ') when 1 then concat('Notes from ', lang) else concat(text, '.') end as Summary, cast(doc_id % 150 as double) as conf
+        from documents""",
     "letters": """
         select doc_id, source as bundle_id, cast(doc_id as int) as seg,
                case doc_id % 6 when 0 then 'Cover Letter' when 1 then 'Training Lesson Plan' when 2 then 'Letter' when 3 then 'Course Outline' when 4 then 'Invoice' else 'Memorandum' end as doc_type,

@@ -7,9 +7,12 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from reportloom.functions import cells as C
+from reportloom.functions.shared import shared_folder
 from reportloom.operators import analytics as A
 from reportloom.operators import unify as U
 from reportloom.plans.fixtures import fixture, oracle
+from reportloom.sources import io
+from reportloom.streaming import reports as stream
 
 REPORTS = {"Audio": ("audio_reports", ["conv_id"]), "PDF": ("pdf_reports", ["page_id"]), "Image": ("image_reports", ["o_orderkey"]), "Video": ("video_reports", ["event_id"]), "Text": ("text_reports", ["doc_id"])}
 SEARCH = "purchase 1.|place 2"
@@ -33,6 +36,16 @@ def _cells(spark, sf_dir):
     return rows.select("doc_id", C.clean_cell(F.col("Sentiment")).alias("sentiment"), C.clean_cell(F.col("Raw_Text")).alias("raw_text"))
 
 
+def _streamed(spark, sf_dir):
+    """Text and video reports that arrive as files, as unified rows in files."""
+    out = shared_folder(spark, "stream-incidents")
+    for source in ("Text", "Video"):
+        path = shared_folder(spark, "stream-reports")
+        io.write_csv(fixture(spark, sf_dir, REPORTS[source][0]).withColumn("Confidence", F.col("Confidence").cast("string")) if source == "Video" else fixture(spark, sf_dir, REPORTS[source][0]), path, io.REPORT_COLUMNS[source])
+        stream.write_stream(stream.incident_stream(stream.report_stream(spark, path, source), source), f"{out}/{source}", shared_folder(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(f"{out}/Text", f"{out}/Video")
+
+
 FILTERS = {"sources": ["Audio", "Text", "Video"], "levels": ["Medium", "High"], "score_min": 2.5, "score_max": 9.0, "query": SEARCH}
 QUERIES = {
     "clean_cell": _cells,
@@ -44,6 +57,7 @@ QUERIES = {
     "text_confidence": lambda s, d: fixture(s, d, "text_reports").select("doc_id", F.round(U.text_confidence(F.col("Sentiment"), F.col("Topic")), 4).alias("confidence")),
     **{f"normalize_{k.lower()}": partial(_normal, k) for k in REPORTS},
     "union_incidents": _unified,
+    "stream_incidents": _streamed,
     "fill_missing": lambda s, d: U.fill_missing(fixture(s, d, "pdf_reports").select("page_id", "Incident_Type", "Officer")),
     "summary_counts": lambda s, d: U.summary_counts(_unified(s, d)),
     "modality_registry": lambda s, d: _unified(s, d).groupBy("Source", "Severity_Level").agg(F.count("*").alias("rows"), F.round(F.sum("Severity_Score"), 3).alias("score")),
@@ -119,6 +133,7 @@ ORACLES = {
     "pdf_confidence": f"SELECT page_id, CAST({PDF_CONF} AS DOUBLE) AS confidence FROM pdf_reports",
     "text_confidence": f"SELECT doc_id, CAST({TEXT_CONF} AS DOUBLE) AS confidence FROM text_reports",
     **{f"normalize_{k.lower()}": q for k, q in NORMAL.items()},
+    "stream_incidents": " UNION ALL ".join(f"(SELECT * EXCLUDE (Incident_ID) FROM ({NORMAL[k]}) n)" for k in ("Text", "Video")),
     "union_incidents": ALL,
     "fill_missing": "SELECT page_id, coalesce(nullif(Incident_Type, ''), 'N/A') AS Incident_Type, coalesce(nullif(Officer, ''), 'N/A') AS Officer FROM pdf_reports",
     "summary_counts": f"SELECT 'Source' AS kind, \"Source\" AS name, count(*) AS rows FROM ({ALL}) u GROUP BY 2 UNION ALL SELECT 'Severity_Level', Severity_Level, count(*) FROM ({ALL}) u GROUP BY 2",

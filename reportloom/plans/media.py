@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reportloom.functions.shared import shared_folder
 from reportloom.operators import audio as AU
 from reportloom.operators import images as IM
 from reportloom.operators import text as TX
 from reportloom.operators import video as VI
 from reportloom.plans.fixtures import fixture, oracle
+from reportloom.streaming import reports as stream
 
 
 def _posts(s, d):
@@ -54,8 +56,25 @@ def _tokens(s, d):
     return fixture(s, d, "posts").withColumn("tokens", TX.tokenize(F.col("raw_text")))
 
 
+def _array_ratios(s, d):
+    """Images of some two hundred pixels in three array columns; some values are null."""
+    pixels = fixture(s, d, "image_pixels").groupBy("image_id").agg(F.collect_list(F.struct("h", "s", "v")).alias("p"))
+    ratios = IM.hsv_ratios_of_arrays(pixels.select("image_id", *[F.col(f"p.{c}").alias(c) for c in "hsv"]))
+    return ratios.select("image_id", *[F.round(c, 9).alias(c) for c in ("fire_ratio", "smoke_ratio", "brightness")])
+
+
+def _streamed_posts(s, d):
+    """Post lines that arrive as files, cleaned on the way."""
+    lines = fixture(s, d, "posts").select(F.to_json(F.struct(F.col("tweet_id").alias("id"), F.col("raw_text").alias("text"))).alias("value"))
+    source, out = shared_folder(s, "stream-posts"), shared_folder(s, "stream-cleaned")
+    lines.write.text(source)
+    stream.write_stream(stream.post_stream(s, source).select("tweet_id", "cleaned_text"), out, shared_folder(s, "stream-state")).awaitTermination()
+    return s.read.parquet(out)
+
+
 QUERIES = {
     "html_unescape": lambda s, d: fixture(s, d, "posts").select("doc_id", TX.html_unescape(F.col("raw_text")).alias("text")),
+    "stream_posts": _streamed_posts,
     "clean_text": lambda s, d: fixture(s, d, "posts").select("doc_id", TX.clean_text(F.col("raw_text")).alias("cleaned_text")),
     "tokenize": lambda s, d: _tokens(s, d).select("doc_id", F.array_join("tokens", " ").alias("tokens")),
     "stem_tokens": lambda s, d: TX.stem_tokens(_tokens(s, d).select("doc_id", "tokens"), "tokens").select("doc_id", F.array_join("stems", " ").alias("stems")),
@@ -77,6 +96,7 @@ QUERIES = {
     "clip_summary": lambda s, d: VI.clip_summary(fixture(s, d, "frames")),
     "image_object_filter": lambda s, d: IM.image_objects(fixture(s, d, "image_detections")),
     "fire_filter": lambda s, d: IM.fire_filter(fixture(s, d, "fire_detections")),
+    "hsv_ratios_arrays": _array_ratios,
     "hsv_ratios": lambda s, d: IM.hsv_ratios(fixture(s, d, "pixels")).select("image_id", *[F.round(c, 9).alias(c) for c in ("fire_ratio", "smoke_ratio", "brightness")]),
     "scene_heuristic": _heuristic, "classify_scene": _scenes,
     "ocr_text_clean": lambda s, d: fixture(s, d, "ocr_raw").select("image_id", IM.ocr_text_clean(F.col("raw_text")).alias("text")),
@@ -133,6 +153,7 @@ _TEXT_OUT = f"""SELECT 'TXT_' || lpad(CAST(row_number() OVER (ORDER BY p.doc_id)
     FROM posts p LEFT JOIN sentiments s ON p.tweet_id = s.tweet_id LEFT JOIN (SELECT tweet_id, {TOPIC} AS topic FROM topic_scores GROUP BY 1) t ON p.tweet_id = t.tweet_id"""
 ORACLES = {
     "html_unescape": f"SELECT doc_id, {UNESCAPED} AS text FROM posts",
+    "stream_posts": f"SELECT tweet_id, {CLEANED} AS cleaned_text FROM posts",
     "clean_text": f"SELECT doc_id, {CLEANED} AS cleaned_text FROM posts",
     "tokenize": f"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(raw_text), '[\\pL\\pM\\pN_]+(?:''[\\pL\\pM\\pN_]+)?'), lambda w: length(w) > 1 AND w NOT IN ({STOP})), ' ') AS tokens FROM posts",
     "format_entities": f"SELECT p.doc_id, {ENTITIES} AS entities FROM posts p",
@@ -156,6 +177,7 @@ ORACLES = {
     "clip_summary": f"SELECT clip, coalesce(m.n, 0) AS motion_events, t.n AS total_frames FROM (SELECT clip, count(*) AS n FROM frames GROUP BY 1) t LEFT JOIN (SELECT clip, count(*) AS n FROM ({MOTION}) x GROUP BY 1) m USING (clip)",
     "image_object_filter": OBJECTS,
     "fire_filter": FIRES,
+    "hsv_ratios_arrays": f"SELECT image_id, round(fire_ratio, 9) AS fire_ratio, round(smoke_ratio, 9) AS smoke_ratio, round(brightness, 9) AS brightness FROM ({RATIOS.replace('pixels', 'image_pixels')}) r",
     "hsv_ratios": f"SELECT image_id, round(fire_ratio, 9) AS fire_ratio, round(smoke_ratio, 9) AS smoke_ratio, round(brightness, 9) AS brightness FROM ({RATIOS}) r",
     "scene_heuristic": f"SELECT image_id, {SCENE} AS scene, {SCENE_CONF} AS confidence FROM ({RATIOS}) r",
     "classify_scene": SCENES,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportloom.functions.cells import LEVELS
+from reportloom.functions.cells import LEVELS, strip
 from reportloom.operators.analytics import DISPLAY_COLUMNS
+from reportloom.operators.pages import non_text_flag
+from reportloom.operators.unify import UNIFIED_COLUMNS
 
 #: Columns of each report file.
 REPORT_COLUMNS = {
@@ -19,6 +21,10 @@ REPORT_COLUMNS = {
 }
 #: Cells that the analytics read as missing.
 NA_TOKENS = ["", "#N/A", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+PAGE_COLUMNS = ["page", "method", "conf", "rotation", "non_text", "text"]
+PAGE = "struct<page:int,method:string,conf:double,rotation:int,non_text:boolean,text:string>"
+PAGE_START = '{"page":'
+INCIDENT = ", ".join(f"{c} {'double' if c == 'Severity_Score' else 'string'}" for c in UNIFIED_COLUMNS)
 POST = "struct<id:string,text:string,created_at:string,user:struct<screen_name:string,name:string>>"
 
 
@@ -29,27 +35,79 @@ def read_report(spark: SparkSession, path: str, source: str) -> DataFrame:
     return df.fillna("")
 
 
-def read_posts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(posts, counts): the good lines of a JSON-lines file with defaults for missing fields; one row of line counts."""
-    return parse_posts(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()))
+def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(file, block, at, value) of each line, and (file, block, first, before) of each split of a file.
+
+    A line's number, from 1 in its file, is at - first + before + 1: its place among the lines of its split, after those of the
+    splits before it, however the file was split. Runs no job; the second table has a row for each split.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    return lines, splits.select("file", "block", "first", before.alias("before"))
+
 
+def parse_posts(lines: DataFrame) -> DataFrame:
+    """``lines`` (with a column ``value``) with ``post``, its fields, and ``malformed``; blank lines are left out.
 
-def parse_posts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same from a column ``value`` and a line number ``line``. Blank and malformed lines are counted, not read."""
-    kept = lines.where(F.trim("value") != "").withColumn("p", F.from_json("value", POST))
-    good = F.col("p").isNotNull() & F.coalesce(F.col("p.id"), F.col("p.text"), F.col("p.created_at"), F.col("p.user.screen_name")).isNotNull()
-    name = F.coalesce("p.user.screen_name", F.lit("Unknown"))
-    posts = kept.where(good).select(
-        F.coalesce("p.id", F.concat(F.lit("line_"), F.col("line").cast("string"))).alias("tweet_id"), name.alias("screen_name"), F.coalesce("p.user.name", name).alias("display_name"),
-        F.coalesce("p.text", F.lit("")).alias("raw_text"), F.coalesce("p.created_at", F.lit("")).alias("created_at"))
-    return posts, kept.agg(F.count_if(good).alias("read"), F.count_if(~good).alias("malformed"))
+    A line is a post if it is one JSON object, whatever its fields (``{}`` is one). Anything else is malformed.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+    read = lines.where(strip(F.col("value")) != "").withColumn("post", F.from_json("value", f"{POST[:-1]},corrupt:string>", options))
+    object_ = F.col("value").rlike(r"(?s)^\s*\{")
+    return read.withColumn("malformed", ~object_ | F.col("post").isNull() | F.col("post.corrupt").isNotNull())
+
+
+def post_rows(parsed: DataFrame, number: Column) -> DataFrame:
+    """The five columns of posts with defaults for missing fields; ``number`` is the line number for those without an id."""
+    name = F.coalesce("post.user.screen_name", F.lit("Unknown"))
+    return parsed.select(
+        F.coalesce("post.id", F.concat(F.lit("line_"), number.cast("string"))).alias("tweet_id"), name.alias("screen_name"), F.coalesce("post.user.name", name).alias("display_name"),
+        F.coalesce("post.text", F.lit("")).alias("raw_text"), F.coalesce("post.created_at", F.lit("")).alias("created_at"))
+
+
+def read_posts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(posts, counts): the good lines of JSON-lines files with defaults for missing fields; one row of line counts.
+
+    Only posts without an id need their line number, so only they are joined with the splits.
+    """
+    lines, splits = numbered_lines(spark, path)
+    parsed = parse_posts(lines)
+    good = parsed.where(~F.col("malformed"))
+    named = post_rows(good.where(F.col("post.id").isNotNull()), F.lit(0))
+    unnamed = post_rows(good.where(F.col("post.id").isNull()).join(splits, ["file", "block"]), F.col("at") - F.col("first") + F.col("before") + 1)
+    return named.union(unnamed), parsed.agg(F.count_if(~F.col("malformed")).alias("read"), F.count_if("malformed").alias("malformed"))
+
+
+def write_page_cache(pages: DataFrame, path: str, parts: list[str], version: Column) -> None:
+    """One cache file for each value of ``parts``: {"version": ..., "pages": [...]}, a line a page, never a whole file in memory."""
+    keys = [F.col(c) for c in parts]
+    body = pages.select(*keys, F.col("page").alias("line_no"), F.to_json(F.struct(*PAGE_COLUMNS)).alias("line"))
+    # A comma goes before every page but the first of its file.
+    first = body.groupBy(*keys).agg(F.min("line_no").alias("first"), version.alias("version"))
+    marked = body.join(first, parts).select(*keys, "line_no", F.concat(F.when(F.col("line_no") > F.col("first"), ",").otherwise(""), F.col("line")).alias("line"))
+    heads = first.select(*keys, F.lit(None).cast("int").alias("line_no"), F.concat(F.lit('{"version": '), F.col("version"), F.lit(', "pages": [')).alias("line"))
+    feet = first.select(*keys, F.lit((1 << 31) - 1).alias("line_no"), F.lit("]}").alias("line"))
+    rows = heads.union(marked).union(feet).repartition(*parts).sortWithinPartitions(*parts, F.col("line_no").asc_nulls_first())
+    rows.drop("line_no").write.partitionBy(*parts).text(path)
 
 
 def read_page_cache(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """Pages of a cache file of the right version; none of any other."""
-    pages = "array<struct<page:int,method:string,conf:double,rotation:int,non_text:boolean,text:string>>"
-    df = spark.read.schema(f"version int, pages {pages}").json(path, multiLine=True)
-    return df.where(F.col("version") == version).select(F.explode("pages").alias("__row")).select("__row.*")
+    """Pages of the cache files of the right version, a row each; none of any other. non_text of scanned pages is worked out anew.
+
+    Files are read page by page, cut where a page begins: ``{"page":`` has bare quotes, which no JSON string has inside. What
+    stands before the first page tells the version; pages of other versions are left out before they are parsed. A file
+    whose pages begin with another field is one piece, and read as a whole.
+    """
+    pieces = spark.read.option("lineSep", PAGE_START).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    head = r'^\s*\{\s*"version"\s*:\s*(-?\d+)\s*,\s*"pages"\s*:\s*\['
+    is_head = F.col("value").rlike(head)
+    right = pieces.where(is_head & (F.expr(f"try_cast(regexp_extract(value, '{head.replace(chr(92), chr(92) * 2)}', 1) as bigint)") == version))
+    page = F.concat(F.lit(PAGE_START), F.regexp_replace("value", r"\}\s*(?:,|\]\s*\}?)\s*\z", "}"))
+    rows = pieces.where(~is_head).join(right.select("file"), "file", "left_semi").select(F.from_json(page, PAGE).alias("row"))
+    whole = right.where(~F.col("value").rlike(r"\[\s*\z")).select(F.explode(F.from_json("value", f"struct<version:bigint,pages:array<{PAGE}>>")["pages"]).alias("row"))
+    return rows.union(whole).select("row.*").withColumn("non_text", F.when(F.col("method") == "ocr", non_text_flag(F.col("method"), F.col("conf"), F.col("text"))).otherwise(F.col("non_text")))
 
 
 def list_files(spark: SparkSession, path: str, extensions: list[str]) -> DataFrame:
@@ -77,8 +135,18 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def write_incidents(df: DataFrame, path: str) -> None:
-    """Parquet by source, so that filters on it read its folders alone."""
-    df.write.mode("overwrite").partitionBy("Source").parquet(path)
+    """Parquet by source, so that filters on it read its folders alone.
+
+    Only the folders of sources in ``df`` are written anew; those of other sources stay. Rows of a source are spread over as
+    many files as tasks have them.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Source").parquet(path)
+
+
+def read_incidents(spark: SparkSession, path: str, sources: list[str] | None = None) -> DataFrame:
+    """The table that ``write_incidents`` wrote; with ``sources`` only their folders are listed and read."""
+    df = spark.read.schema(INCIDENT).parquet(path)
+    return (df if sources is None else df.where(F.col("Source").isin(sources))).select(*UNIFIED_COLUMNS)
 
 
 def write_segments(df: DataFrame, path: str) -> None:
