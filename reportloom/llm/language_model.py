@@ -13,25 +13,27 @@ p(w) = (c(w) + 1) / (N + V + 1), with codes of a byte that are rounded down for
 a start mark, which is no token, and ends with the end token.
 
 Null and empty texts have the end token alone. Rows that repeat an id are scored (and counted) each; null ids count as not
-held out. Without training texts N and V are 0 and every probability is 1. No rows give no rows. Words are known by 128-bit
-digests, inside a shard by 32 bits of them.
+held out. Without training texts N and V are 0 and every probability is 1. No rows give no rows. Words are known by 64-bit
+digests (odds of 3 % that any two of a billion distinct words share one), in the tries of a shard by 32 bits of them.
 """
 
 from __future__ import annotations
 
 import mmap
+import uuid
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_digest
 
-from reportloom.llm.common import shuffle_partitions, written
+from reportloom.llm.common import shared_folder, shuffle_partitions, written
 from reportloom.llm.elias_fano import Trie, narrow, pack, unpack, values
 
 #: Tokens of a piece (below 2 ** 21), windows of a shard, and weights of the shorter contexts.
@@ -50,9 +52,20 @@ _BITS = np.uint64(21)
 _LOW = np.uint64((1 << 21) - 1)
 
 
-def _print(hi):
+def _print(digest):
     """The 32 bits by which a shard knows a word of this digest; no mark has them."""
-    return np.maximum(hi >> np.uint64(32), np.uint64(MARKS)) if isinstance(hi, np.ndarray) else max(hi >> 32, MARKS)
+    return np.maximum(digest >> np.uint64(32), np.uint64(MARKS)) if isinstance(digest, np.ndarray) else max(digest >> 32, MARKS)
+
+
+def _squeezed(numbers: np.ndarray) -> np.ndarray:
+    """Numbers below 2 ** 24 as compressed bytes: all low bytes, all middle ones, all high ones."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T)
+    return np.frombuffer(zstandard.compress(planes.tobytes(), 3), np.uint8)
+
+
+def _unsqueezed(data: np.ndarray) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data.tobytes()), np.uint8).reshape(3, -1).astype(np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -99,7 +112,7 @@ def _encoded(size: int):
         for ids, texts in (part for b in batches for part in _slices(b)):
             counts, words, distinct = _words(texts)
             tokens, starts = _stream(counts, words)
-            digests = np.frombuffer(b"".join(xxh3_128_digest(w) for w in distinct), ">u8").astype(np.uint64).reshape(-1, 2)
+            digests = np.frombuffer(b"".join(xxh3_64_digest(w) for w in distinct), ">u8").astype(np.uint64)
             held = np.array([held_out(i) for i in ids], bool)
             for lo in range(0, len(tokens), size):
                 hi = min(lo + size, len(tokens))
@@ -107,7 +120,7 @@ def _encoded(size: int):
                 part = tokens[lo - before : hi + 2]
                 numbers, local = np.unique(part, return_inverse=True)
                 own = numbers[numbers >= MARKS] - MARKS
-                order = np.lexsort(digests[own].T[::-1])
+                order = np.argsort(digests[own])
                 number = np.full(int(numbers.max()) + 1, -1)
                 number[:MARKS] = np.arange(MARKS)
                 number[own[order] + MARKS] = np.arange(MARKS, MARKS + len(own))
@@ -117,7 +130,7 @@ def _encoded(size: int):
                 at = np.maximum(starts[docs], lo) - (lo - before)
                 null = np.array([ids[d] is None for d in docs], np.uint8)
                 meta = [np.array([before, hi - lo], np.int64), (task << 33) + row + docs, np.array([ids[d] or 0 for d in docs], np.int64), null, held[docs].astype(np.uint8), at]
-                yield _batch([((task << 33) + piece, TEXT, 0, pack([*meta, digests[own[order], 0], digests[own[order], 1], narrow(number[part])]))])
+                yield _batch([((task << 33) + piece, TEXT, 0, pack([*meta, digests[own[order]], _squeezed(number[part])]))])
                 piece += 1
             row += len(ids)
 
@@ -128,8 +141,8 @@ class Piece:
     """A piece and its distinct n-grams, worked out the same way whenever it is read."""
 
     def __init__(self, data: bytes):
-        (self.before, self.length), self.rows, self.ids, self.null, self.held, self.at, self.hi, self.lo, tokens = unpack(data)
-        self.tokens = tokens.astype(np.int64)
+        (self.before, self.length), self.rows, self.ids, self.null, self.held, self.at, self.digests, tokens = unpack(data)
+        self.tokens = _unsqueezed(tokens)
         end = self.before + self.length
         self.places = np.arange(end)[self.tokens[:end] != END]  # windows, by the place of their first token
         self.doc = np.searchsorted(self.at, np.maximum(self.places, self.before), side="right") - 1
@@ -137,7 +150,7 @@ class Piece:
 
     def word_counts(self) -> np.ndarray:
         """How often each word (not the marks) is predicted in training texts."""
-        return np.bincount(self.tokens[self.places[self.counted] + 1], minlength=MARKS + len(self.hi))[MARKS:]
+        return np.bincount(self.tokens[self.places[self.counted] + 1], minlength=MARKS + len(self.digests))[MARKS:]
 
     def grams(self) -> tuple[np.ndarray, ...]:
         """(u, v, w, counts, number of each window's triple): distinct triples in the order of their words."""
@@ -151,7 +164,7 @@ class Piece:
 
     def shards(self, u: np.ndarray, v: np.ndarray, shards: int, heavy: dict[int, int]) -> np.ndarray:
         """The shard of each pair (u, v); a heavy first word has several."""
-        digest = np.concatenate([np.arange(1, MARKS + 1, dtype=np.uint64), self.lo])
+        digest = np.concatenate([np.arange(1, MARKS + 1, dtype=np.uint64), self.digests])
         share = np.ones(len(digest), np.uint64)
         for number in np.nonzero(np.isin(digest, np.array(list(heavy), np.uint64)))[0] if heavy else ():
             share[number] = heavy[int(digest[number])]
@@ -159,7 +172,7 @@ class Piece:
 
     def prints(self) -> np.ndarray:
         """32 bits of each mark and word."""
-        return np.concatenate([np.arange(MARKS, dtype=np.uint64), _print(self.hi)]).astype(np.uint32)
+        return np.concatenate([np.arange(MARKS, dtype=np.uint64), _print(self.digests)]).astype(np.uint32)
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -176,8 +189,8 @@ def _ask_words(shards: int):
             for number, data in zip(b.column(0).to_pylist(), b.column(3), strict=True):
                 piece = Piece(data.as_buffer())
                 counts = piece.word_counts()
-                for shard, own in _by_shard((piece.lo % np.uint64(shards)).astype(np.int64)):
-                    yield _batch([(number, WORDS, shard, pack([piece.hi[own], piece.lo[own], narrow(counts[own])]))])
+                for shard, own in _by_shard((piece.digests % np.uint64(shards)).astype(np.int64)):
+                    yield _batch([(number, WORDS, shard, pack([piece.digests[own], narrow(counts[own])]))])
 
     return ask
 
@@ -215,14 +228,11 @@ def _answer_words(least: float):
         def rows():
             for shard, asked in _runs(batches):
                 parts = [unpack(data) for _, data in asked]
-                hi, lo, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                order = np.lexsort((lo, hi))
-                new = np.concatenate([[True], (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])])
-                of = np.empty(len(order), np.int64)
-                of[order] = np.cumsum(new) - 1
+                digests, n = (np.concatenate([p[k] for p in parts]) for k in range(2))
+                words, of = np.unique(digests, return_inverse=True)
                 total = np.bincount(of, weights=n).astype(np.int64)
                 top = total > least
-                yield (-1, SUMMARY, shard, pack([np.array([(total > 0).sum()], np.int64), hi[order][new][top], lo[order][new][top], total[top]]))
+                yield (-1, SUMMARY, shard, pack([np.array([(total > 0).sum()], np.int64), words[top], total[top]]))
                 at = 0
                 for (number, _), p in zip(asked, parts, strict=True):
                     yield (number, WORDS, shard, pack([narrow(total[of[at : at + len(p[0])]])]))
@@ -318,12 +328,12 @@ def _score(piece: Piece, words: np.ndarray, grams: tuple[np.ndarray, ...], total
 
 
 def _answered(shards: int, heavy: dict[int, int], total: int, distinct: int, texts: int):
-    """Rows sorted by piece and kind (a piece, its answers by shard) as sums of each text in the piece."""
+    """Rows (a piece, its answers) as sums of each text in the piece."""
 
     def finish(piece: Piece, answers: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        words = np.zeros(MARKS + len(piece.hi), np.int64)
+        words = np.zeros(MARKS + len(piece.digests), np.int64)
         given = {(kind, shard): unpack(data) for kind, shard, data in answers}
-        for shard, own in _by_shard((piece.lo % np.uint64(shards)).astype(np.int64)):
+        for shard, own in _by_shard((piece.digests % np.uint64(shards)).astype(np.int64)):
             words[own + MARKS] = given[WORDS, shard][0]
         u, v, *_ = piece.grams()
         grams = [np.zeros(len(u), np.uint8) for _ in range(3)]
@@ -340,17 +350,9 @@ def _answered(shards: int, heavy: dict[int, int], total: int, distinct: int, tex
         return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in SCORES.split(", ")])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, answers = None, []
         for b in batches:
-            for kind, shard, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if kind == TEXT:
-                    if piece is not None:
-                        yield finish(piece, answers)
-                    piece, answers = Piece(data), []
-                else:
-                    answers.append((kind, shard, data))
-        if piece is not None:
-            yield finish(piece, answers)
+            for k in range(b.num_rows):
+                yield finish(Piece(b.column(0)[k].as_buffer()), [(r["kind"], r["shard"], r["data"]) for r in b.column(1)[k].as_py()])
 
     return score
 
@@ -372,7 +374,7 @@ class Corpus:
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, shard: int = SHARD):
         self.parts = shuffle_partitions(df.sparkSession)
         slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.pieces = written(slim.mapInArrow(_encoded(piece), ROWS), "pieces")
+        self.pieces = self._bucketed(slim.mapInArrow(_encoded(piece), ROWS))
         sizes = self.pieces.mapInArrow(_sizes, "windows long, tokens long, texts long").agg(*[F.sum(c).alias(c) for c in ("windows", "tokens", "texts")]).first()
         self.tokens, self.texts = sizes.tokens or 0, sizes.texts or 0
         self.shards = max(self.parts, (sizes.windows or 0) // shard)
@@ -381,12 +383,18 @@ class Corpus:
         # A row for each shard; together they name at most shards / HEAVY words.
         summary = [unpack(r.data) for r in self.words.where(F.col("kind") == SUMMARY).select("data").collect()]
         self.distinct = sum(int(s[0][0]) for s in summary) + (self.texts > 0)
-        many = [(int(hi), int(lo), int(n)) for s in summary for hi, lo, n in zip(*s[1:], strict=True)]
-        self.heavy = {lo: 1 + int(n / share) for _, lo, n in many}
-        self.totals = {_print(hi): n for hi, _, n in many}
+        many = [(int(w), int(n)) for s in summary for w, n in zip(*s[1:], strict=True)]
+        self.heavy = {w: 1 + int(n / share) for w, n in many}
+        self.totals = {_print(w): n for w, n in many}
         if self.texts > HEAVY * share:
             self.heavy[START + 1], self.totals[START] = 1 + int(self.texts / share), self.texts
 
+    def _bucketed(self, pieces: DataFrame) -> DataFrame:
+        """Pieces as a table in buckets by piece, so that they are not shuffled to meet their answers."""
+        spark, name = pieces.sparkSession, f"pieces_{uuid.uuid4().hex}"
+        pieces.write.bucketBy(self.parts, "batch").option("path", shared_folder(spark, "pieces")).option("compression", "none").saveAsTable(name)
+        return spark.table(name)
+
     def _dealt(self, ask) -> DataFrame:
         return self.pieces.mapInArrow(ask, ROWS).repartition(self.parts, "shard").sortWithinPartitions("shard", "batch")
 
@@ -399,8 +407,10 @@ class Corpus:
 
     def scores(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-        met = self.pieces.unionByName(self.words.where(F.col("kind") == WORDS)).unionByName(self._grams(keep=False))
-        met = met.repartition(self.parts, "batch").sortWithinPartitions("batch", "kind", "shard")
+        answers = self.words.where(F.col("kind") == WORDS).unionByName(self._grams(keep=False))
+        # The answers to a piece are bounded as the piece is.
+        answers = answers.groupBy("batch").agg(F.collect_list(F.struct("kind", "shard", "data")).alias("answers"))
+        met = self.pieces.select("batch", "data").hint("merge").join(answers, "batch").select("data", "answers")
         found = met.mapInArrow(_answered(self.shards, self.heavy, self.tokens, self.distinct, self.texts), SCORES)
         sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
         whole = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *sums)
