@@ -7,7 +7,8 @@ forms, scripts, styles and reader comments taken out by element, role or class.
 ``main`` elements bound the lines if they hold at least as much as the stretches outside them. A page without a surge
 gives all of its lines.
 
-Null and empty pages, and pages without text, give an empty string; very long pages are handled whole. Every row is
+Null and empty pages, and pages without text, give an empty string; very long and broken pages are handled whole,
+in time that grows with their length. Every row is
 handled alone: repeated rows stay, extra columns are ignored, no rows give no rows.
 """
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,11 +27,12 @@ WINDOW, SURGE, DIVE = 3, 86, 0
 #: Characters of linked text that count as one.
 LINK_DISCOUNT = 4
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|noscript|template|textarea|svg|iframe|object|math|title|head(?=[\s>]))\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_PLAIN = re.compile(r"[^<>\"']*")
+_STRICT = re.compile(r"[^<>]*")
+#: Elements whose content is no markup; they end at their end tag or where the body begins.
+_RAW = frozenset("script style noscript template textarea svg iframe object math title head".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>|(?=<body\b)", re.I) for tag in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIP = frozenset("nav footer aside form button select option dialog menu menuitem fieldset legend optgroup datalist audio video canvas".split())
@@ -40,9 +44,63 @@ _NOISE = re.compile(
     r"|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|commentlist|disqus|repl(?:y|ies)|respond|reactions|discussion|related|recommended|recommendations|teasers?|widgets?|pagination|pager|search|form|tags|tagcloud|copyright|legal|disclaimer|skip|toc)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Names that take out what lies around an article, not blocks of its own.
+_AROUND = re.compile(r"(?:^|[\s_-])(?:tags|legal|share|side|toc)(?=$|[\s_-]|\d)", re.I)
 _MAIN = frozenset(("article", "main"))
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of the tags in order; comments, declarations and raw elements have no name.
+
+    One scan forward. Quoted values may hold < and >. A tag that meets a bare < or the end of the page before its > is text
+    up to there; so that a lost quote does not hide the tags behind it, that part is read once more, with quotes as plain
+    characters. No character is read more often than that, whatever the page.
+    """
+    at, strict, size = 0, 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            mark = "-->" if page.startswith("<!--", at) else "]]>"
+            found = page.find(mark, at + 4)
+            end = size if found < 0 else found + 3
+            yield at, end, False, "", ""
+            at = end
+            continue
+        m = _OPEN.match(page, at)
+        if page.startswith(("<!", "<?"), at):
+            end = _STRICT.match(page, at + 1).end()
+            if end < size and page[end] == ">":
+                yield at, end + 1, False, "", ""
+                end += 1
+            at = max(end, at + 1)
+            continue
+        if m is None:
+            at += 1
+            continue
+        end = m.end()
+        if at < strict:
+            end = _STRICT.match(page, end).end()
+        else:
+            while (end := _PLAIN.match(page, end).end()) < size and page[end] in "\"'":
+                found = page.find(page[end], end + 1)
+                end = size if found < 0 else found + 1
+        if end >= size or page[end] == "<":
+            if at < strict:
+                at = end
+            else:
+                strict = end
+            continue
+        name, attributes = m[2].lower(), page[m.end() : end]
+        end += 1
+        if name in _RAW and not m[1]:
+            found = _RAW_END[name].search(page, end)
+            end = found.end() if found else size
+            name = ""
+        yield at, end, bool(m[1]), name, attributes
+        at = end
+
+
+
+
 def _noise(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is none of the page's main text. ``inside``: it lies in an article or main element."""
     if tag in _SKIP or tag == "header" and not inside:
@@ -51,13 +109,17 @@ def _noise(tag: str, attributes: str, inside: bool) -> bool:
         return bool(attributes and tag == "article" and any(re.search(r"(?:^|[\s_-])(?:comment|reply|teaser|ad)s?(?:$|[\s_-])", a or b or c, re.I) for a, b, c in _NAMED.findall(attributes)))
     if _ROLE.search(attributes) or _HIDDEN.search(attributes):
         return True
-    return any(_NOISE.search(a or b or c) for a, b, c in _NAMED.findall(attributes))
+    names = [a or b or c for a, b, c in _NAMED.findall(attributes)]
+    return any(_NOISE.search(_AROUND.sub(" ", n) if inside else n) for n in names)
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, weight, main): lines in page order; ``main`` numbers the outermost main element, 0 outside."""
     out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, int]] = []
+    # Of each open element its name, whether it is noise, the main element that it opens, and the open paragraph (its place in
+    # the stack) with nothing but inline elements above, -1 if there is none.
+    stack: list[tuple[str, bool, int, int]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     skip = main = mains = links = linked = 0
 
@@ -72,41 +134,43 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 
     def close(at: int):
         nonlocal skip, main, links
-        for tag, noisy, number in reversed(stack[at:]):
+        while len(stack) > at:
+            tag, noisy, number, _ = stack.pop()
+            opened[tag] -= 1
             skip -= noisy
             links -= tag == "a"
             if number:
                 main = 0
-        del stack[at:]
 
     at = 0
-    for m in _TAG.finditer(page):
-        if not skip and m.start() > at:
-            parts.append(text := page[at : m.start()])
+    for start, end, closing, tag, attributes in tags(page):
+        if not skip and start > at:
+            parts.append(text := page[at:start])
             if links > 0:
                 linked += len(text)
-        at = m.end()
-        tag = m[3] and m[3].lower()
+        at = end
         if not tag:
             continue
-        if tag not in _INLINE and (not skip or m[2]):
+        if tag not in _INLINE and (not skip or closing):
             flush()
-        if m[2]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
+        if closing:
+            if opened[tag] > 0:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
                 close(k)
-        elif tag not in _VOID and not m[4].endswith("/"):
-            if tag not in _INLINE:  # a block ends an open paragraph
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if k is not None and all(s[0] in _INLINE for s in stack[k + 1 :]):
-                    close(k)
-            noisy, number = _noise(tag, m[4], main > 0), 0
+        elif tag not in _VOID and not attributes.endswith("/"):
+            if tag not in _INLINE and stack and stack[-1][3] >= 0:  # a block ends an open paragraph
+                close(stack[-1][3])
+            noisy, number = _noise(tag, attributes, main > 0), 0
             if tag in _MAIN and not main and not skip and not noisy:
                 mains += 1
                 main = number = mains
             skip += noisy
             links += tag == "a"
-            stack.append((tag, noisy, number))
+            paragraph = len(stack) if tag == "p" else stack[-1][3] if tag in _INLINE and stack else -1
+            stack.append((tag, noisy, number, paragraph))
+            opened[tag] += 1
     if not skip and at < len(page):
         parts.append(page[at:])
     flush()
