@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import fresh, own_columns, table
+from reportloom.llm.common import fresh, own_columns, table, written
 from reportloom.llm.decontamination import without_leaks
 from reportloom.llm.packing import pack, word_vocabulary
 from reportloom.llm.quality import scored, train
@@ -77,8 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
+    """All stages over the documents; runs jobs.
+
+    What a stage keeps is written once, in the shared folder, and read by the next: stages read their documents several times,
+    and would work out all stages before them each time. The last stage is left to the action on the result.
+    """
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
