@@ -68,7 +68,8 @@ def dense_index(df: DataFrame, order: list[str], out: str) -> DataFrame:
 
     Runs jobs. Rows of ``order`` alone are range-partitioned, sorted and numbered: a row's number is its place in its
     partition plus the sizes of the partitions before, of which there are few enough to broadcast. The numbers are joined
-    back by ``order``; rows equal in it are numbered in any order.
+    back by ``order``; rows equal in it are numbered in any order. Where no two rows are equal in it (one count of the slim keys
+    tells), wide rows are shuffled once, for this join.
     """
     return _numbered(df, order, out)[0]
 
@@ -84,14 +85,17 @@ def _numbered(df: DataFrame, order: list[str], out: str) -> tuple[DataFrame, int
         before += n
     offsets = df.sparkSession.createDataFrame(offsets, "part long, before long")
     placed = ranged.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("number", F.col("before") + place + 1)
-    # Equal keys are told apart by their place among themselves.
-    again = lambda c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(1)))
     number, twin = fresh(df, "number_"), fresh(df, "twin_")
-    numbers = placed.select(*keys, F.col("number").alias(number)).withColumn(twin, again(keys))
-    own = df.withColumn(twin, again([F.col(c) for c in order]))
-    same = [own[c].eqNullSafe(numbers[k]) for c, k in zip(order, keys, strict=True)]
-    joined = own.join(numbers.withColumnRenamed(twin, twin + "_"), [*same, F.col(twin) == F.col(twin + "_")]).drop(*keys, twin, twin + "_")
-    return joined.withColumnRenamed(number, out), before
+    numbers = placed.select(*keys, F.col("number").alias(number))
+    same = lambda left: [left[c].eqNullSafe(numbers[k]) for c, k in zip(order, keys, strict=True)]
+    if ranged.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        joined = df.join(numbers, same(df))
+    else:  # equal keys are told apart by their place among themselves
+        again = lambda c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(1)))
+        numbers = numbers.withColumn(twin + "_", again(keys))
+        own = df.withColumn(twin, again([F.col(c) for c in order]))
+        joined = own.join(numbers, [*same(own), F.col(twin) == F.col(twin + "_")]).drop(twin, twin + "_")
+    return joined.drop(*keys).withColumnRenamed(number, out), before
 
 
 def assign_ids(df: DataFrame, prefix: str, order: list[str], out: str = "Incident_ID", sep: str = "-", least: int = 3) -> DataFrame:

@@ -27,6 +27,8 @@ SIGNATURES = [
 ]
 PHOTO, NONE, SAME_INSTANCE = "Photo/Non-text", "Unclassified", "Aircraft Request Form"
 HEAD, TAIL, OPENER, BOTTOM, FUZZY, STRICT = 900, 400, 3, 5, 85, 88
+#: Whom such letters go to, as patterns.
+CONTACT, PROGRAM = r"james\s+ray", "leso"
 ADDRESSEES = ["1033 program", "law enforcement support office", "arkansas leso", "program manager"]
 DATE = r"(?i)(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+\d{4}|\d{1,2}/\d{1,2}/\d{2,4}"
 
@@ -50,12 +52,12 @@ def _letterhead(text: Column) -> Column:
     return F.exists(lines, heading)
 
 
-def cover_letter_score(text: Column, head_ratio: Column, addressee_ratio: Column) -> Column:
+def cover_letter_score(text: Column, head_ratio: Column, addressee_ratio: Column, contact: str = CONTACT) -> Column:
     """Salutation 4, letterhead 2, addressee 2, date 1, From 1, Ref 1; 0 without salutation, From, Ref and letterhead."""
     head, top = F.substring(text, 1, 500), F.lower(F.substring(text, 1, 250))
     strong, letterhead = head_ratio >= STRICT, _letterhead(text)
     sender, ref = head.rlike(r"(?iU)\bfrom\s*:"), head.rlike(r"(?iU)\bref\s*:")
-    addressee = (addressee_ratio >= STRICT) | top.rlike(r"(?U)\bjames\s+ray\b|\bleso\b")
+    addressee = (addressee_ratio >= STRICT) | top.rlike(rf"(?U)\b{contact}\b|\b{PROGRAM}\b")
     add = lambda c, w: F.when(c, w).otherwise(0)
     score = add(strong, 4) + add(letterhead, 2) + add(addressee, 2) + add(top.rlike(DATE), 1) + add(sender, 1) + add(ref, 1)
     return F.when(strong | sender | ref | letterhead, score).otherwise(0)

@@ -44,6 +44,12 @@ def _field(name, build):
     return lambda s, d: _letters(s, d).select("doc_id", build().alias(name))
 
 
+def _rivals(s, d):
+    """Fields of letters that hold several candidates, those of lower rank before those of higher rank."""
+    none, text = F.array().cast("array<string>"), F.col("text")
+    return fixture(s, d, "rival_letters").select("doc_id", X.extract_date(text).alias("date"), X.extract_officer(text, none).alias("officer"), X.extract_location(text, none, none).alias("location"), X.extract_outcome(text).alias("outcome"))
+
+
 def _page_text(s, d):
     pages = fixture(s, d, "bundle_pages")
     cells = F.when(F.col("page") % 3 == 0, F.array(F.array(F.array(F.lit(" a "), F.lit("")), F.array(F.lit("b"), F.col("method"))))).otherwise(F.array().cast("array<array<array<string>>>"))
@@ -172,6 +178,7 @@ QUERIES = {
     "normalize_name": _field("name", lambda: X.normalize_name(F.when(F.col("doc_id") % 2 == 0, F.upper(F.regexp_replace("text", "[^A-Za-z]+", " "))).otherwise(F.concat(F.lit("a "), F.col("text"))))),
     "extract_summary": lambda s, d: _fields(s, d).select("doc_id", "Summary"),
     "finalize_summary": _field("summary", lambda: X.finalize_summary(F.concat(F.lit("Dear Sir, frorn the office =~ ofthe "), F.regexp_replace("text", "[^a-z]+", " "), F.lit(" unit 1.")))),
+    "field_order": _rivals,
     "extract_suspect": _field("suspect", lambda: X.extract_suspect(F.col("text"))),
     "extract_outcome": _field("outcome", lambda: X.extract_outcome(F.col("text"))),
     "ocr_fix_map": _field("text", lambda: X.ocr_fix(F.concat(F.lit("Frorn ofthe | bovd 1s "), F.col("text")))),
@@ -311,6 +318,19 @@ ORACLES = {k: oracle(v) for k, v in {
     "normalize_name": """SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN array_to_string(list_transform(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE 'a ' || text END AS name FROM letters""",
     "finalize_summary": f"""SELECT doc_id, CASE WHEN length(x) > 297 THEN regexp_replace(substr(x, 1, 297), ' [^ ]*$', '') ELSE x END || '.' AS summary
         FROM (SELECT doc_id, trim(regexp_replace('From the office of the ' || regexp_replace(text, '[^a-z]+', ' ', 'g') || ' unit', '\\s+', ' ', 'g')) AS x FROM letters) q""",
+    "field_order": """SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN '2012-03-03' WHEN doc_id % 3 = 1 THEN '2011-03-12' WHEN doc_id % 5 = 1 THEN '2014-07-04' WHEN doc_id % 9 = 0 THEN '2009-05-09' ELSE 'N/A' END AS date,
+        CASE WHEN doc_id % 13 = 0 THEN 'Mark Kizer' WHEN doc_id % 11 = 0 THEN 'Anna Belmont' WHEN doc_id % 7 = 0 THEN 'Paul Carter' WHEN doc_id % 2 = 0 THEN 'Ruth Sanders' ELSE 'N/A' END AS officer,
+        CASE WHEN doc_id % 5 = 0 AND regexp_matches(array_to_string(string_split(text, chr(10))[1:12], ' '), '(?i)sheriff') THEN 'Saline County Sheriff''s Department' WHEN doc_id % 4 = 0 THEN 'Fort Smith Police Department'
+            WHEN doc_id % 3 = 0 THEN 'Benton Unit' ELSE 'N/A' END AS location,
+        CASE WHEN doc_id % 6 = 0 THEN 'nobody was hurt on that day' ELSE 'N/A' END AS outcome FROM rival_letters""",
+    "clean_ocr_lines": """SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(string_split(x, chr(10)), lambda v: trim(v, BLANK) = '' OR 2 * length(regexp_replace(trim(v, BLANK), '[^\\pL\\pN\\s]', '', 'g')) >= length(trim(v, BLANK))), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), BLANK) AS text
+        FROM (SELECT doc_id, text || chr(10) || '=~ |_ # 1' || repeat(chr(10), 4) || 'end of page' AS x FROM letters) q""".replace("BLANK", BLANK),
+    "plausible_name": """SELECT doc_id, len(w) BETWEEN 2 AND 3 AND len(list_filter(w, lambda x: length(x) >= 3)) > 0 AND len(list_filter(w, lambda x: NOT (regexp_matches(x, '^\\p{Lu}\\pL+$') AND NOT regexp_matches(x, '^\\p{Lu}{2}$')
+            AND regexp_matches(x, '(?i)[aeiou]') AND len(list_filter(range(1, length(x) - 1), lambda i: x[i] = x[i + 1] AND x[i] = x[i + 2])) = 0))) = 0 AS plausible
+        FROM (SELECT doc_id, list_transform(list_filter(string_split_regex(array_to_string(string_split(raw_text, ' ')[4:5], ' '), '\\s+'), lambda x: x <> ''), lambda x: trim(x, '.')) AS w FROM posts) q""",
+    "spell_correct": """WITH k AS (SELECT unnest(string_split_regex(lower(raw_text), '[^a-z]+')) AS token FROM posts),
+        t AS (SELECT token, count(*) AS freq, unnest(list_concat([token], list_transform(range(1, length(token) + 1), lambda i: substr(token, 1, i - 1) || substr(token, i + 1)))) AS key FROM k WHERE length(token) >= 4 GROUP BY token)
+        SELECT u.token, arg_min(d.token, (-d.freq, d.token)) AS fixed FROM t u JOIN t d USING (key) WHERE u.freq < 12 AND d.freq >= 12 AND damerau_levenshtein(u.token, d.token) = 1 GROUP BY 1""",
     "extract_suspect": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'a tall person in a long grey coat' ELSE 'N/A' END AS suspect FROM letters",
     "extract_outcome": "SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'the matter was closed in May' ELSE 'N/A' END AS outcome FROM letters",
     "ocr_fix_map": "SELECT doc_id, regexp_replace('from of the I Boyd is ' || text, '\\s\\|\\s', ' I ', 'g') AS text FROM letters",

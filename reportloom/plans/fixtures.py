@@ -121,6 +121,14 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
                case doc_id % 5 when 0 then 'N/A' else source end as Location, case doc_id % 7 when 0 then 'N/A' else '2014-07-04' end as Date,
                case doc_id % 6 when 0 then concat('Letter from ', source, '. ') when 1 then concat('Notes from ', lang) else concat(text, '.') end as Summary, cast(doc_id % 150 as double) as conf
         from documents""",
+    "rival_letters": """
+        select doc_id, replace(concat(case doc_id % 3 when 0 then 'From: Benton Unit~--~' else '' end, case doc_id % 4 when 0 then 'Fort Smith Police Department~--~' else '' end, case doc_id % 5 when 0 then 'County of Saline~--~' else '' end,
+                              case doc_id % 2 when 0 then 'Prepared by: Ruth Sanders~--~' else '' end, case doc_id % 7 when 0 then 'Sincerely,~Paul Carter~--~' else '' end, case doc_id % 11 when 0 then 'Anna Belmont, Sheriff~--~' else '' end,
+                              case doc_id % 13 when 0 then 'Sheriff Mark Kizer~--~' else '' end,
+                              case when doc_id % 9 = 0 then 'On May 9, 2009 we met.~' else '' end, case when doc_id % 5 = 1 then 'Date: July 4, 2014~' else '' end,
+                              case when doc_id % 3 = 1 then 'Effective: 12 March 2011~' else '' end, case when doc_id % 2 = 1 then 'Date of Origin: 3 March 2012~' else '' end,
+                              case doc_id % 6 when 0 then 'Conclusion: nobody was hurt on that day~Outcome: a later one that is not read~' else '' end, text), '~', chr(10)) as text
+        from documents""",
     "letters": """
         select doc_id, source as bundle_id, cast(doc_id as int) as seg,
                case doc_id % 6 when 0 then 'Cover Letter' when 1 then 'Training Lesson Plan' when 2 then 'Letter' when 3 then 'Course Outline' when 4 then 'Invoice' else 'Memorandum' end as doc_type,
