@@ -31,6 +31,9 @@ SEED, WIDTH, RADIUS = 42, 3, 3
 CHUNK = 8192
 #: Runs up to this length are compared together, by shifting the planes; longer ones row against block.
 SHORT = 48
+#: Words of a block of comparisons.
+WORDS = 64
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -74,20 +77,22 @@ def plane_masks(n: int, blocks: int | None = None, radius: int = RADIUS) -> list
     return [sum(c) for c in combinations(block, blocks - radius)]
 
 
-def within_radius(planes, radius: int, shape) -> np.ndarray:
+def within_radius(planes, radius: int, far: np.ndarray) -> np.ndarray:
     """Packed bits, 1 where the column of bits in ``planes`` (an iterable of word arrays) has at most ``radius`` ones.
 
-    ``ones`` and ``twos`` are the carry-save counters modulo 4; ``over`` remembers those that reached ``radius + 1``.
+    Columns with a bit in ``far`` are none that matter. ``ones`` and ``twos`` are the carry-save counters modulo 4; ``over``
+    remembers those that reached ``radius + 1``. Once all are over, no further plane is read.
     """
     if radius != 3:
         raise ValueError("the counters hold a radius of 3")
-    ones, twos, over = (np.zeros(shape, np.uint64) for _ in range(3))
+    over = far.copy()
+    ones, twos = np.zeros_like(over), np.zeros_like(over)
     for k, x in enumerate(planes):
         carry = ones & x
         ones ^= x
         over |= twos & carry
         twos ^= carry
-        if k >= 11 and k % 4 == 3 and not (~over).any():
+        if k % 4 == 3 and (over == FULL).all():
             break
     return ~over
 
@@ -104,32 +109,60 @@ def _positions(packed: np.ndarray) -> np.ndarray:
     return np.nonzero(np.unpackbits(np.ascontiguousarray(packed).view(np.uint8), bitorder="little"))[0]
 
 
+def _packed_bits(flags: np.ndarray, words: int) -> np.ndarray:
+    """Flags as the bits of so many words; bits beyond them are 1."""
+    bits = np.ones(64 * words, np.uint8)
+    bits[: len(flags)] = flags
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _varying(planes: np.ndarray, n: int) -> list[int]:
+    """The planes whose first ``n`` bits are not all equal; the others make no difference."""
+    whole = ~_packed_bits(np.zeros(n, np.uint8), planes.shape[1])
+    return [b for b in range(64) if (planes[b] & whole).any() and ((planes[b] & whole) != whole).any()]
+
+
 def _links_by_shift(fps: np.ndarray, keys: np.ndarray, longest: int):
-    """Links inside runs of equal keys no longer than ``longest``; row i is compared with row i + d for each shift d."""
-    planes = _planes(fps)
-    for d in range(1, min(longest, 64)):
-        later = (planes >> np.uint64(d)) | (np.pad(planes[:, 1:], ((0, 0), (0, 1))) << np.uint64(64 - d))
-        i = _positions(within_radius((planes[b] ^ later[b] for b in range(64)), RADIUS, planes.shape[1]))
-        i = i[i + d < len(fps)]
-        i = i[keys[i] == keys[i + d]]
-        yield fps[i], fps[i + d]
+    """Links inside runs of equal keys no longer than ``longest``; row i is compared with row i + d for each shift d.
+
+    A block of ``WORDS`` words is given up once all of its pairs are too far apart; pairs of different keys count as that.
+    """
+    planes, n = _planes(fps), len(fps)
+    for d in range(1, min(longest, 64, n)):
+        far = _packed_bits(keys[:-d] != keys[d:], planes.shape[1])
+        for w in np.nonzero(np.logical_or.reduceat(far != FULL, np.arange(0, len(far), WORDS)))[0] * WORDS:
+            at = slice(w, w + WORDS)
+            here, next_ = planes[:, at], planes[:, w + 1 : w + WORDS + 1]
+            behind = np.zeros_like(here)
+            behind[:, : next_.shape[1]] = next_
+            i = 64 * w + _positions(within_radius((here[b] ^ (here[b] >> np.uint64(d) | behind[b] << np.uint64(64 - d)) for b in range(64)), RADIUS, far[at]))
+            yield fps[i], fps[i + d]
 
 
 def _links_of_run(fps: np.ndarray, rows: int = 128):
-    """Links of one long run: each row against blocks of 64 rows a word. Only a spanning forest of them is given."""
+    """Links of one long run: each row against the rows behind it, in blocks of ``WORDS`` words of 64 rows.
+
+    A block is given up once all of its pairs are too far apart. Only a spanning forest of the links is given.
+    """
     planes, n = _planes(fps), len(fps)
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    order, words = _varying(planes, n), planes.shape[1]
+    ends = _packed_bits(np.zeros(n, np.uint8), words)  # what is behind the last row is far
     root = np.arange(n)
     for at in range(0, n, rows):
         own = fps[at : at + rows]
-        flips = [np.where((own >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))[:, None] for b in range(64)]
-        near = within_radius((planes[b][None, :] ^ flips[b] for b in range(64)), RADIUS, (len(own), planes.shape[1]))
-        for k in range(len(own)):
-            j = _positions(near[k])
-            heads = np.unique(root[j[j < n]])
-            if len(heads) > 1:
-                root[np.isin(root, heads)] = heads[0]
-                yield fps[heads[1:]], np.repeat(fps[heads[:1]], len(heads) - 1)
+        flips = {b: np.where((own >> np.uint64(b)) & np.uint64(1), FULL, np.uint64(0))[:, None] for b in order}
+        for w in range(at // 64, words, WORDS):
+            end = min(w + WORDS, words)
+            # Bits of rows up to the row itself are far.
+            done = np.clip(np.arange(at, at + len(own))[:, None] + 1 - 64 * np.arange(w, end)[None], 0, 64).astype(np.uint64)
+            far = np.where(done == 64, FULL, (np.uint64(1) << (done & np.uint64(63))) - np.uint64(1)) | ends[None, w:end]
+            near = within_radius((planes[b][None, w:end] ^ flips[b] for b in order), RADIUS, far)
+            for k in np.nonzero(near.any(1))[0]:
+                i = at + int(k)
+                heads = np.unique(root[np.append(64 * w + _positions(near[k]), i)])
+                if len(heads) > 1:
+                    root[np.isin(root, heads)] = heads[0]
+                    yield fps[heads[1:]], np.repeat(fps[heads[:1]], len(heads) - 1)
 
 
 def _compare(batches):
