@@ -4,10 +4,11 @@ Equal vectors are one node with a count. Nodes are dealt to shards by hash; each
 own. Queries come in blocks of ``BLOCK_ROWS``; a task is one (shard, block): the graph is read once and its queries are
 streamed past it in batches, so a graph travels once for a million queries and no task holds more than a shard and a batch.
 
-Each batch is audited before it is searched: some of its queries are compared with the whole shard, drawing more until
-``LINKS`` links are known or ``DRAWN`` queries were drawn, and the beam is doubled until the audited queries find
-``RECALL`` of those links. A query's link to itself does not count; a batch without links says nothing and keeps the
-beam. Only then the batch is searched, once, at that width; a beam that is full of links is widened for its query alone.
+Batches are audited before they are searched: some queries are compared with the whole shard, no more than one in ``SHARE``
+of those seen, until ``LINKS`` links are known, and the beam is doubled until the audited queries find ``RECALL`` of
+those links; then the next audit waits until twice as many queries have come. A query's link to itself does not count;
+queries without links say nothing and keep the beam. Only then a batch is searched, once, at that width; a beam that is full
+of links is widened for its query alone.
 
 Links are verified in double precision. A task gives, for each query, its links if they are few (``FEW``) and else their
 number, and a spanning forest, never all pairs of a cluster. A link that one end alone has found counts for both; only
@@ -38,7 +39,7 @@ LEAST, RECALL = 0.9, 0.99
 SHARD_ROWS, SHARD_BYTES, SHARDS, SHARD_LEAST = 1 << 18, 1 << 27, 6, 256
 #: Queries of a task on average, at most, and of a batch.
 BLOCK_ROWS, BATCH_ROWS = 1_000_000, 8_192
-BEAM, LINKS, DRAWN, AUDIT = 16, 64, 1_024, 128
+BEAM, LINKS, AUDIT, SHARE = 16, 64, 128, 128
 #: A query's links in a shard are given one by one up to so many.
 FEW = 32
 
@@ -103,6 +104,8 @@ class Shard:
         self.nodes, self.counts, self.vectors, self.graph, self.number = nodes, counts, vectors, graph, number
         self.least, self.low, self.recall = least, np.float32(least - 1e-4), recall
         self.width, self.root = BEAM, np.arange(len(nodes))
+        self.seen = self.drawn = self.wait = 0
+        self.asked, self.true = self.graph.vectors[:0], []
         by = np.argsort(nodes, kind="stable")
         self.sorted, self.by = nodes[by], by
 
@@ -112,26 +115,38 @@ class Shard:
         return np.where(self.sorted[at] == own, self.by[at], -1)
 
     def audit(self, own: np.ndarray, q32: np.ndarray) -> None:
-        """Doubles the beam until queries drawn from the batch find ``recall`` of their links."""
-        drawn = np.random.default_rng(len(own)).permutation(len(own))[:DRAWN]
-        itself, asked, true = self._own_rows(own), [], []
-        links = 0
+        """Doubles the beam until queries drawn from the batches so far find ``recall`` of their links.
+
+        Drawn queries are compared with the whole shard: ``AUDIT`` of them at once, and in all no more than one in ``SHARE``
+        of those seen. What they link with is kept, so that where links are rare the audits of many batches count together.
+        Once ``LINKS`` links are known, the next audit waits until twice as many queries have been seen.
+        """
+        self.seen += len(own)
+        room = max(AUDIT, self.seen // SHARE) - self.drawn
+        if room <= 0 or self.seen < self.wait:
+            return
+        drawn = np.random.default_rng(self.seen).permutation(len(own))[:room]
+        itself, links = self._own_rows(own), 0
         for lo in range(0, len(drawn), AUDIT):
             some = drawn[lo : lo + AUDIT]
+            self.drawn += len(some)
             who, row = np.nonzero(q32[some] @ self.graph.vectors.T >= np.float32(self.least + 1e-6))
             other = itself[some[who]] != row
             who, row = some[who[other]], row[other]
-            asked.append(np.unique(who))
-            true.append(who * len(self.nodes) + row)
+            asked, at = np.unique(who, return_inverse=True)
+            self.true.append((at + len(self.asked)) * len(self.nodes) + row)
+            self.asked = np.concatenate([self.asked, q32[asked]])
             links += len(who)
             if links >= LINKS:
                 break
-        asked, true = np.concatenate(asked), np.concatenate(true)
+        true = np.concatenate(self.true)
         while links and self.width < self.graph.dearest():
-            found = [asked[who] * len(self.nodes) + row for who, row in self.graph.near_rows(q32[asked], self.low, self.width)]
+            found = [who * len(self.nodes) + row for who, row in self.graph.near_rows(self.asked, self.low, self.width)]
             if np.isin(true, np.concatenate(found)).mean() >= self.recall:
                 break
             self.width *= 2
+        if len(true) >= LINKS:  # the next audit draws anew
+            self.wait, self.asked, self.true = 2 * self.seen, self.asked[:0], []
 
     def search(self, own: np.ndarray, shards: np.ndarray, copies: np.ndarray, q: np.ndarray):
         """Rows of ``LINK`` (as columns) for a batch of queries, given by node, own shard, copies and unit vector."""
