@@ -61,6 +61,10 @@ class _Numbers(dict):
         return number
 
 
+class OtherSplit(ValueError):
+    """Words whose tokens cannot be told apart in one call."""
+
+
 class WordTokens:
     """Token ids of whole texts and the places where sentences and words end.
 
@@ -98,7 +102,7 @@ class WordTokens:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
         ends = self.closes[ids]  # the last id of a split part tells so
         if int(ends.sum()) != int(parts.sum()):
-            raise ValueError("the tokenizer splits texts by another rule than word_tokens does")
+            raise OtherSplit("the tokenizer splits a word by another rule than word_tokens does")
         size = np.diff(np.concatenate([[-1], np.nonzero(ends)[0]])[np.concatenate([[0], np.cumsum(parts)])])
         self.flat = _room(self.flat, self.used + len(ids))
         self.start, self.size, self.stop, self.mark, self.off = (_room(x, n) for x in (self.start, self.size, self.stop, self.mark, self.off))
@@ -167,12 +171,20 @@ class WordTokens:
                     continue
                 text = None
             if held:
-                yield from self._plain(held)
+                yield from self._together(held)
                 held, size = [], 0
             if text is not None:
                 yield self._whole(text)
         if held:
-            yield from self._plain(held)
+            yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Many texts at once by their words; one by one if the tokenizer splits one of their words by another rule."""
+        try:
+            return self._plain(texts)
+        except OtherSplit:
+            self._forget()
+            return [self._whole(t) for t in texts]
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:

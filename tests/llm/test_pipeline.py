@@ -45,7 +45,13 @@ def test_stages(spark, tmp_path):
     for r in current.collect():
         ids = [*tokenizer.encode(texts[r.doc_id].text or "", add_special_tokens=False).ids, 1]
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
-    assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == packed
+    out = corpus_pipeline.run(spark, d)
+    assert {r.doc_id for r in out.collect()} == packed
+    # Every stage is worked out once: the last reads what the one before it has written, and nothing else.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    scored = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{d}/documents.parquet"), d)._jdf.queryExecution().optimizedPlan().toString()
+    assert scored.count("ArrowEvalPython") == 1 and scored.count("Relation [") == 1
 
 
 def test_clashing_columns(spark, tmp_path):

@@ -233,3 +233,13 @@ def test_html_sums_marked_pages_too():
     assert html_text.extract(f"<p>Site</p><article>{body}</article><p>Mail us</p>") == text
     assert html_text.extract(f"<article>{body}{menu}</article>") == text
     assert html_text.extract(f"<article><p>{words}</p></article>{menu}<div>{body}</div>").endswith(text)
+
+
+def test_words_split_by_another_rule_are_read_one_by_one(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    texts = ["plain words, and more.", "it's 12 o'clock", "one two"]
+    path = packing.word_vocabulary()
+    want = [packing.WordTokens(path)._whole(t) for t in texts]
+    monkeypatch.setattr(packing, "_SPLIT", __import__("re").compile("."))
+    got = list(packing.WordTokens(path).encode(texts))
+    assert [[x.tolist() for x in g] for g in got] == [[x.tolist() for x in w] for w in want]
