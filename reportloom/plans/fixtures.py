@@ -98,7 +98,7 @@ FIXTURES: dict[str, str | tuple[str, str]] = {
                                              when 7 then 'AIRCRAFT REQUEST~' when 9 then 'COURSE OUTLINE~' else '' end, '~', chr(10)),
                       text,
                       replace(case when page % 13 = 10 then '~Lesson plan~Lesson title: x' else '' end, '~', chr(10))) as text
-        from (select source as bundle_id, cast(row_number() over (partition by source order by doc_id) as int) as page, text, doc_id from documents) p
+        from (select d.source as bundle_id, n.page, d.text, d.doc_id from documents d join (select doc_id, cast(row_number() over (partition by source order by doc_id) as int) as page from documents) n on d.doc_id = n.doc_id) p
         cross join lateral (select case when doc_id % 5 = 0 then 'text' else 'ocr' end as method, case when doc_id % 5 = 0 then cast(100 as double) else cast((doc_id * 37) % 1000 as double) / 10 end as conf) m""",
     "ocr_words": (
         """select source as bundle_id, doc_id as page, psm, rot as rotation, pos as word_num, pos div 40 as block_num, 0 as par_num, pos div 8 as line_num, w as text,

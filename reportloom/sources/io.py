@@ -81,16 +81,19 @@ def read_posts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_page_cache(pages: DataFrame, path: str, parts: list[str], version: Column) -> None:
-    """One cache file for each value of ``parts``: {"version": ..., "pages": [...]}, a line a page, never a whole file in memory."""
-    keys = [F.col(c) for c in parts]
-    body = pages.select(*keys, F.col("page").alias("line_no"), F.to_json(F.struct(*PAGE_COLUMNS)).alias("line"))
+    """One cache file for each value of ``parts``: {"version": ..., "pages": [...]}, a line a page, never a whole file in memory.
+
+    Files lie in folders by a hash of ``parts``: a number, since the writer would sort rows anew by text columns and lose
+    the order of lines.
+    """
+    body = pages.select(*parts, F.col("page").alias("line_no"), F.to_json(F.struct(*PAGE_COLUMNS)).alias("line"))
     # A comma goes before every page but the first of its file.
-    first = body.groupBy(*keys).agg(F.min("line_no").alias("first"), version.alias("version"))
-    marked = body.join(first, parts).select(*keys, "line_no", F.concat(F.when(F.col("line_no") > F.col("first"), ",").otherwise(""), F.col("line")).alias("line"))
-    heads = first.select(*keys, F.lit(None).cast("int").alias("line_no"), F.concat(F.lit('{"version": '), F.col("version"), F.lit(', "pages": [')).alias("line"))
-    feet = first.select(*keys, F.lit((1 << 31) - 1).alias("line_no"), F.lit("]}").alias("line"))
-    rows = heads.union(marked).union(feet).repartition(*parts).sortWithinPartitions(*parts, F.col("line_no").asc_nulls_first())
-    rows.drop("line_no").write.partitionBy(*parts).text(path)
+    first = body.groupBy(*parts).agg(F.min("line_no").alias("first"), version.alias("version"))
+    marked = body.join(first, parts).select(*parts, "line_no", F.concat(F.when(F.col("line_no") > F.col("first"), ",").otherwise(""), F.col("line")).alias("line"))
+    heads = first.select(*parts, F.lit(None).cast("int").alias("line_no"), F.concat(F.lit('{"version": '), F.col("version"), F.lit(', "pages": [')).alias("line"))
+    feet = first.select(*parts, F.lit((1 << 31) - 1).alias("line_no"), F.lit("]}").alias("line"))
+    rows = heads.union(marked).union(feet).select(F.xxhash64(*parts).alias("cache"), "line_no", "line")
+    rows.repartition("cache").sortWithinPartitions("cache", F.col("line_no").asc_nulls_first()).drop("line_no").write.partitionBy("cache").text(path)
 
 
 def read_page_cache(spark: SparkSession, path: str, version: int) -> DataFrame:

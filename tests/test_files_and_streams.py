@@ -58,7 +58,14 @@ def test_page_cache_is_read_page_by_page(spark, tmp_path):
     pages = spark.createDataFrame([("k", 1, 2, odd), ("k", 1, 3, "b"), ("m", 0, 1, None)], "bundle string, part int, page int, text string").selectExpr("*", "'text' as method", "1D as conf", "0 as rotation", "false as non_text")
     io.write_page_cache(pages, str(tmp_path / "new"), ["bundle", "part"], F.lit(7))
     assert sorted((r.page, r.text) for r in io.read_page_cache(spark, str(tmp_path / "new"), 7).collect()) == [(1, None), (2, odd), (3, "b")]
-    assert json.loads(next((tmp_path / "new").glob("bundle=k/part=1/*.txt")).read_text())["version"] == 7
+    files = [json.loads(f.read_text()) for f in (tmp_path / "new").glob("*/*.txt")]
+    assert sorted((f["version"], [p["page"] for p in f["pages"]]) for f in files) == [(7, [1]), (7, [2, 3])]
+    many = spark.range(1, 3001).selectExpr("concat('b', id % 3) as bundle", "id div 400 as part", "cast(id as int) as page", "'ocr' as method", "1D as conf", "0 as rotation", "true as non_text", "concat('t', id) as text").repartition(7)
+    io.write_page_cache(many, str(tmp_path / "many"), ["bundle", "part"], F.lit(1))
+    for f in (tmp_path / "many").glob("*/*.txt"):
+        numbers = [p["page"] for p in json.loads(f.read_text())["pages"]]
+        assert numbers == sorted(numbers) and len(numbers) > 40
+    assert io.read_page_cache(spark, str(tmp_path / "many"), 1).count() == 3000
 
 
 def test_incidents_by_source_are_pruned_and_replaced(spark, tmp_path):
