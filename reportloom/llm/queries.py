@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from reportloom.llm.common import shared_folder, table
 from reportloom.llm.decontamination import find_leaks
-from reportloom.llm.embedding_dedup import near_vectors
+from reportloom.llm.embedding_dedup import LEAST, near_vectors
 from reportloom.llm.html_text import main_text
 from reportloom.llm.language_model import language_model_scores
 from reportloom.llm.packing import pack, word_vocabulary
 from reportloom.llm.prefix_trie import prefix_trie
 from reportloom.llm.quality import quality_scores
-from reportloom.llm.secrets import secrets_digest
+from reportloom.llm.secrets import ALLOWED, BASE, CLASSES, MIXED, WINDOW, secrets_digest
 from reportloom.llm.sharding import shard_documents
 from reportloom.llm.simhash import near_duplicates
 from reportloom.llm.substring_dedup import repeated_passages
@@ -125,8 +126,70 @@ def _lloyd_sql(parts: int = 4, width: int = 16, entries: int = 256, rounds: int
     return f"WITH {', '.join(tables)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (r) CROSS JOIN h"
 
 
+def _secrets_sql() -> str:
+    """The same findings: gaps and matches of each pattern give the places, every window's characters are counted anew."""
+    caseless = lambda m: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in m[1])
+    patterns = [re.sub(r"\(\?i:([^)]*)\)", caseless, p).replace("'", "''") for p, _ in BASE.values()]
+    patterns.append("[A-Za-z0-9+/_=-]{20,}")  # a greedy run is the whole run
+    found = lambda p: f"SELECT n, text, '{p}' AS p, regexp_split_to_array(text, '{p}') AS g, regexp_extract_all(text, '{p}') AS v FROM d WHERE regexp_matches(text, '{p}')"
+    located = "\nUNION ALL ".join(f"SELECT {k} AS k, n, v, g FROM ({found(p)}) q" for k, p in enumerate(patterns))
+    size = f"CASE k WHEN 0 THEN length(regexp_extract(v, '{patterns[0]}', 2)) ELSE length(v) END"
+    least = "CASE k " + " ".join(f"WHEN {k} THEN {n}" for k, (_, n) in enumerate(BASE.values())) + " END"
+    kinds = "CASE rank " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate([*BASE, *(c[0] for c in CLASSES)])) + " END"
+    classed = "CASE " + " ".join(f"WHEN regexp_matches(v, '{p}') THEN {len(BASE) + k}" for k, (_, p, _) in enumerate(CLASSES)) + " END"
+    bound = "CASE rank " + " ".join(f"WHEN {len(BASE) + k} THEN {b}" for k, (_, _, b) in enumerate(CLASSES)) + " END"
+    # A value with a digit and a letter is no run of one character: the first rule, a back reference, is not needed.
+    free = " AND ".join([f"regexp_matches(v, '{p}')" for p in MIXED] + [f"NOT regexp_matches(v, '{p}')" for p in ALLOWED[1:]])
+    counts = ", ".join(f"count(*) FILTER (WHERE rank = {k}) AS n_{n}" for k, n in enumerate(BASE))
+    span = "name || ':' || a || ':' || b"
+    return f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+        m AS (SELECT k, n, v, CAST(sum(length(g) + length(v)) OVER (PARTITION BY k, n ORDER BY i) AS BIGINT) AS b
+            FROM (SELECT k, n, unnest(g[1:len(v)]) AS g, unnest(v) AS v, unnest(range(len(v))) AS i FROM ({located}) q) q),
+        l AS MATERIALIZED (SELECT k, n, v, b - length(v) AS a, b FROM m),
+        base AS MATERIALIZED (SELECT n, k AS rank, a, b FROM l WHERE k < {len(BASE)} AND {size} >= {least}),
+        c AS MATERIALIZED (SELECT n, {classed} AS rank, a, b, v FROM l WHERE k = {len(BASE)} AND {free} AND NOT EXISTS (FROM base WHERE base.n = l.n AND base.a < l.b AND l.a < base.b)),
+        w AS (SELECT n, rank, a, b, unnest(range(1, length(v) - {WINDOW - 2})) AS i, v FROM c),
+        x AS (SELECT n, rank, a, b, i, y, count(*) AS q FROM (SELECT n, rank, a, b, i, unnest(string_split(substring(v, i, {WINDOW}), '')) AS y FROM w) t GROUP BY ALL),
+        h AS (SELECT n, rank, a, b, i, log2({WINDOW}) - sum(q * log2(q)) / {WINDOW} AS bits FROM x GROUP BY ALL),
+        s AS (SELECT n, rank, a, b, {kinds} AS name FROM (FROM base UNION ALL SELECT n, rank, a, b FROM h GROUP BY ALL HAVING max(bits) >= {bound}) q)
+        SELECT any_value(doc_id) AS doc_id, {counts},
+            sha256(coalesce(string_agg({span}, ',' ORDER BY a, rank, b) FILTER (WHERE rank < {len(BASE)}), '')) AS base_sha256,
+            coalesce(string_agg({span}, ',' ORDER BY a, rank, b), '') AS spans
+        FROM d LEFT JOIN s USING (n) GROUP BY n
+    """
+
+
+def _cosine_sql() -> str:
+    """The same links by comparing all pairs; components by all that can be reached."""
+    return f"""
+        WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+        v AS MATERIALIZED (SELECT n, vec_id, x, sqrt(list_dot_product(x, x)) AS r FROM e WHERE len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+        l AS MATERIALIZED (SELECT a.n AS a, b.n AS b, b.vec_id FROM v a JOIN v b ON a.n <> b.n AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) / (a.r * b.r) >= {LEAST}),
+        c AS (SELECT n, n AS m, vec_id FROM e UNION SELECT c.n, l.b, l.vec_id FROM c JOIN l ON l.a = c.m),
+        s AS (SELECT n, min(vec_id) AS component_id FROM c GROUP BY n), k AS (SELECT a AS n, count(*) AS n_links FROM l GROUP BY a)
+        SELECT e.vec_id, coalesce(k.n_links, 0) AS n_links, s.component_id, e.vec_id IS NOT DISTINCT FROM s.component_id AS kept FROM e JOIN s USING (n) LEFT JOIN k USING (n)
+    """
+
+
+def _shards_sql(shards: int = 24, seed: int = 42) -> str:
+    """The same places by sorting each source, and then all rows, whole; CRC-32 bit by bit."""
+    step = "list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))"
+    return f"""
+        WITH b AS (SELECT doc_id, source, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda z: CAST('0x' || z AS BIGINT)) AS z FROM documents),
+        d AS (SELECT doc_id, source, len(z) + 8 AS size, xor(list_reduce(list_concat([4294967295], z), lambda x, y: {step}), 4294967295) AS crc, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS s FROM b),
+        h AS MATERIALIZED (SELECT *, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || size || ':' || crc)) AS h FROM d),
+        p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id NULLS FIRST, size, crc) AS k, count(*) OVER (PARTITION BY s) AS m FROM h),
+        q AS (SELECT *, row_number() OVER (ORDER BY (CAST(k AS DOUBLE) - 0.5) / m, s, k) - 1 AS i, count(*) OVER () AS n FROM p)
+        SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(i * {shards} // n AS INT) AS shard, i - (i * {shards} // n * n + {shards - 1}) // {shards} AS slot, CAST(NULL AS INT) AS grown_shard, source FROM q
+    """
+
+
 #: DuckDB SQL of those queries that SQL can express at a bearable cost.
 ORACLES: dict[str, str] = {
+    "op1_secret_scans": _secrets_sql(),
+    "op3_embedding_dedup": _cosine_sql(),
+    "op5_sharding": _shards_sql(),
     "op4_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first_id, count(*) AS n FROM p WHERE payload_bytes >= 100 GROUP BY 1)
