@@ -195,7 +195,7 @@ ORACLES: dict[str, str] = {
         f AS (SELECT payload_digest, min(page_id) AS first_id, count(*) AS n FROM p WHERE payload_bytes >= 100 GROUP BY 1)
         SELECT p.page_id, p.payload_bytes, p.payload_digest,
                CASE WHEN f.n > 1 AND p.page_id <> f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN f.n > 1 AND p.page_id <> f.first_id THEN f.first_id END AS refers_to
+               CASE WHEN f.n > 1 AND p.page_id <> f.first_id THEN f.first_id END AS refers_to, TRUE AS intact
         FROM p LEFT JOIN f USING (payload_digest)
     """,
     "op12_vector_codes": _lloyd_sql(),

@@ -51,7 +51,7 @@ def test_warc_round_trip(spark, tmp_path):
         for i, _, t in rows:
             raw = (t or "").encode()
             refers = first.get(t) if first.get(t) != i else None
-            want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if refers else "response", refers))
+            want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if refers else "response", refers, True))
         assert got == sorted(map(str, want))
         chunks = warc.read_chunks(spark, path).where("record_type = 'response'").collect()
         texts = collections.defaultdict(bytes)
