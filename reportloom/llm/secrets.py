@@ -27,7 +27,7 @@ BASE = {
 #: What must be in a text for the kind's pattern to give a finding; scanned first as it is cheap.
 NEEDS = {"assign": BASE["assign"][0], "access": r"AKIA[A-Z0-9]{16}", "hex": r"(?<![0-9a-f])[0-9a-f]{24}"}
 WINDOW = 20
-#: Characters by which the blocks of a candidate go on.
+#: Characters by which the blocks of a candidate go on, and matches that are listed together.
 BLOCK = 256
 #: Character classes of candidate strings in order: kind, pattern of the whole string, bits a character.
 CLASSES = [
@@ -56,7 +56,7 @@ def _located(text: Column, pattern: str, keep) -> Column:
     """
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
@@ -64,7 +64,12 @@ def _located(text: Column, pattern: str, keep) -> Column:
         here = F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))
         return F.struct(end.alias("at"), F.when(x["value"].isNotNull() & keep(x["value"]), F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("value")), start, step, lambda acc: acc["out"])
+    # A list is copied for each match that is added, so matches are added in blocks, and blocks to a list of blocks.
+    block = lambda acc, part: F.aggregate(part, F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("out")), step)
+    parts = lambda z: F.transform(F.sequence(F.lit(0), F.size(z) - 1, F.lit(BLOCK)), lambda i: F.slice(z, i + 1, BLOCK))
+    zipped = F.array(F.arrays_zip(gaps.alias("gap"), found.alias("value")))  # in a list of one, so that it is worked out once
+    blocks = F.aggregate(F.transform(zipped, parts)[0], F.array(F.struct(F.lit(0).alias("at"), none.alias("out"))), lambda acc, part: F.concat(acc, F.array(block(acc, part))))
+    return F.flatten(F.transform(blocks, lambda b: b["out"]))
 
 
 def _base(text: Column, kind: str) -> Column:
