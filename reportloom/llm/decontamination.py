@@ -128,9 +128,9 @@ def document_frequencies(docs: DataFrame, query: Query) -> tuple[np.ndarray, int
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["word", "n"])
 
     out = np.zeros(len(query.vocabulary) + 1, np.int64)
-    # As many rows as the items have words: bounded by the query set.
-    for r in docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.word] = r.n
+    # As many rows as the items have words: bounded by the query set. In one job, not one for each partition.
+    found = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out[found["word"].to_numpy()] = found["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
