@@ -9,12 +9,15 @@ context alone, whose range the pointers give.
 from __future__ import annotations
 
 import struct
+from functools import cached_property
 
 import numpy as np
 
 #: Codes to the factor of two, from 1 on; code 0 is a probability of 0.
 STEP = 10
 ONE = np.uint64(1)
+#: Look-ups that are worked through together, so that what they need stays in a processor's cache.
+BLOCK = 1 << 14
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -76,9 +79,10 @@ class EliasFano:
             part = x & ((ONE << np.uint64(width)) - ONE)
             at = np.arange(n, dtype=np.uint64) * np.uint64(width)
             word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            np.bitwise_or.at(low, word, part << shift)
-            over = shift + np.uint64(width) > 64
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
+            first = np.nonzero(np.diff(word, prepend=-1))[0]
+            low[word[first]] = np.bitwise_or.reduceat(part << shift, first) if n else 0
+            over = shift + np.uint64(width) > 64  # at most one number goes on in each next word
+            low[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
         bits = np.zeros(-(-(n + (bound >> width) + 2) // 64) * 64, np.uint8)
         bits[(x >> np.uint64(width)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
@@ -110,10 +114,13 @@ class EliasFano:
         k = np.searchsorted(self.ones, i, side="right") - 1
         return 64 * k + self._inside(self.high[k], i - self.ones[k])
 
+    @cached_property
+    def _zeros(self) -> np.ndarray:
+        return 64 * np.arange(len(self.ones)) - self.ones
+
     def _zero(self, i: np.ndarray) -> np.ndarray:
-        zeros = 64 * np.arange(len(self.ones)) - self.ones
-        k = np.searchsorted(zeros, i, side="right") - 1
-        return 64 * k + self._inside(~self.high[k], i - zeros[k])
+        k = np.searchsorted(self._zeros, i, side="right") - 1
+        return 64 * k + self._inside(~self.high[k], i - self._zeros[k])
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The i-th numbers."""
@@ -161,12 +168,14 @@ class Trie:
         ``heavy``: counts of first words whose triples are spread over several tries. Probabilities are Dirichlet-smoothed:
         count / (count of the context + mass); the rest of the mass goes to the shorter context.
         """
-        words = np.unique(np.concatenate([u, v, w]))
-        size = max(1, len(words))
-        rank = lambda x: np.searchsorted(words, x).astype(np.uint64)
         new_u = np.concatenate([[True], u[1:] != u[:-1]]) if len(u) else np.zeros(0, bool)
         new_v = new_u | np.concatenate([[True], v[1:] != v[:-1]]) if len(u) else new_u
         at_u, at_v, follows = np.nonzero(new_u)[0], np.nonzero(new_v)[0], w != none
+        # Words are sought once each: what repeats them gets their ranks by place.
+        (own_first, of_first), (own_second, of_second), (own_third, of_third) = (np.unique(x, return_inverse=True) for x in (u[at_u], v[at_v], w))
+        words = np.unique(np.concatenate([own_first, own_second, own_third]))
+        size = max(1, len(words))
+        first, second, third = (np.searchsorted(words, own).astype(np.uint64)[of] for own, of in ((own_first, of_first), (own_second, of_second), (own_third, of_third)))
         sums = lambda at: np.add.reduceat(n, at) if len(at) else np.zeros(0, np.int64)
         n_u, n_v = sums(at_u), sums(at_v)
         if heavy:
@@ -174,31 +183,39 @@ class Trie:
         own_u, own_v = np.cumsum(new_u)[at_v] - 1, np.cumsum(new_v) - 1
         starts = np.concatenate([[0], np.cumsum(np.bincount(own_v[follows], minlength=len(at_v)))])
         levels = [
-            EliasFano.of(words, 1 << 32), EliasFano.of(rank(u[at_u]), size),
+            EliasFano.of(words, 1 << 32), EliasFano.of(first, size),
             EliasFano.of(np.concatenate([np.searchsorted(at_v, at_u), [len(at_v)]]), len(at_v) + 1),
-            EliasFano.of(own_u.astype(np.uint64) * np.uint64(size) + rank(v[at_v]), max(1, len(at_u)) * size),
+            EliasFano.of(own_u.astype(np.uint64) * np.uint64(size) + second, max(1, len(at_u)) * size),
             EliasFano.of(starts, int(follows.sum()) + 1),
-            EliasFano.of(own_v[follows].astype(np.uint64) * np.uint64(size) + rank(w[follows]), max(1, len(at_v)) * size),
+            EliasFano.of(own_v[follows].astype(np.uint64) * np.uint64(size) + third[follows], max(1, len(at_v)) * size),
         ]
         codes_ = [codes(n_v / (n_u[own_u] + pair_mass)), codes(triple_mass / (n_v + triple_mass)), codes(n[follows] / (n_v[own_v[follows]] + triple_mass))]
         return pack([a for level in levels for a in level.arrays()] + codes_)
 
     def _child(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, rank: np.ndarray) -> np.ndarray:
         out = np.full(len(parent), -1, np.int64)
-        k = np.nonzero((parent >= 0) & (rank >= 0))[0]
-        if len(k):
+        seen = np.nonzero((parent >= 0) & (rank >= 0))[0]
+        for at in range(0, len(seen), BLOCK):
+            k = seen[at : at + BLOCK]
             own = parent[k]
             out[k] = level.find(own.astype(np.uint64) * np.uint64(max(1, self.words.n)) + rank[k].astype(np.uint64), pointers.get(own).astype(np.int64), pointers.get(own + 1).astype(np.int64))
         return out
 
+    def _rank(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of words, -1 for those that were never seen; each is sought once."""
+        own, of = np.unique(words, return_inverse=True)
+        return np.concatenate([np.zeros(0, np.int64), *(self.words.find(own[at : at + BLOCK]) for at in range(0, len(own), BLOCK))])[of]
+
     def pair(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Numbers of the pairs (u, v), -1 for those that were never seen."""
-        ranks = self.words.find(np.concatenate([u, v]))
-        return self._child(self.pairs, self.to_pairs, self.first.find(np.maximum(ranks[: len(u)], 0)) * (ranks[: len(u)] >= 0) - (ranks[: len(u)] < 0), ranks[len(u) :])
+        own, of = np.unique(u, return_inverse=True)
+        rank = self._rank(own)
+        first = np.where(rank >= 0, self.first.find(np.maximum(rank, 0)), -1)
+        return self._child(self.pairs, self.to_pairs, first[of], self._rank(v))
 
     def triple(self, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Numbers of the triples made of numbered pairs and next words, -1 for those that were never seen."""
-        return self._child(self.triples, self.to_triples, pair, self.words.find(w))
+        return self._child(self.triples, self.to_triples, pair, self._rank(w))
 
     def lookup(self, pair: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of the pairs, of the weight that they leave to shorter contexts (1 where never seen), and of the triples."""

@@ -50,6 +50,7 @@ SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 TEXT, WORDS, GRAMS, SUMMARY = 0, 1, 2, 3
 _BITS = np.uint64(21)
 _LOW = np.uint64((1 << 21) - 1)
+_HALF = np.uint64(32)
 
 
 def _print(digest):
@@ -264,21 +265,21 @@ def _question(prints: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, n
     return pack([prints[u[at_u]], narrow(pairs), prints[v[at_v]], narrow(np.diff(np.append(at_v, len(u)))), prints[w], narrow(n)])
 
 
-def _trie(questions: list[list[np.ndarray]], heavy: dict[int, int]) -> bytes:
-    """The trie of all counted triples of a shard's questions."""
-    parts = []
-    for first, pairs, second, triples, third, n in questions:
-        size = triples.astype(np.int64)
-        u, v = np.repeat(np.repeat(first, pairs), size), np.repeat(second, size)
-        on = n > 0
-        parts.append((u[on], v[on], third[on], n[on].astype(np.int64)))
-    u, v, w, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    order = np.lexsort((w, v, u))
-    u, v, w, n = u[order], v[order], w[order], n[order]
-    new = np.ones(len(u), bool)
-    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-    at = np.nonzero(new)[0]
-    return Trie.build(u[at], v[at], w[at], np.add.reduceat(n, at) if len(at) else n, heavy, A2, A3, NONE)
+def _distinct(questions: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """(pairs, number of the pair of each question's pair, triples, number of each question's triple, counts of the triples).
+
+    Distinct pairs of words, and distinct triples as a pair's number and a word, each in 64 bits and sorted.
+    """
+    pair = np.concatenate([np.repeat(first, pairs).astype(np.uint64) << _HALF | second for first, pairs, second, *_ in questions])
+    pairs, of_pair = np.unique(pair, return_inverse=True)
+    triple = np.repeat(of_pair, np.concatenate([q[3] for q in questions])).astype(np.uint64) << _HALF
+    triple |= np.concatenate([q[4] for q in questions])
+    triples, of = np.unique(triple, return_inverse=True)
+    return pairs, of_pair, triples, of, np.bincount(of, np.concatenate([q[5] for q in questions]), len(triples)).astype(np.int64)
+
+
+def _halves(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (numbers >> _HALF).astype(np.uint32), numbers.astype(np.uint32)
 
 
 def mapped(data: bytes) -> Trie:
@@ -293,23 +294,30 @@ def _answer_grams(heavy: dict[int, int], keep: bool):
         def rows():
             for shard, asked in _runs(batches):
                 questions = [unpack(data) for _, data in asked]
-                data = _trie(questions, heavy)
+                pairs, of_pair, triples, of, n = _distinct(questions)
+                (u, v), (own, w) = _halves(pairs), _halves(triples)
+                on = n > 0
+                data = Trie.build(u[own[on]], v[own[on]], w[on], n[on], heavy, A2, A3, NONE)
                 if keep:
                     yield (-1, GRAMS, shard, data)
                     continue
+                # What several pieces ask is looked up once.
                 trie = mapped(data)
-                for (number, _), (first, pairs, second, triples, third, _) in zip(asked, questions, strict=True):
-                    pair = trie.pair(np.repeat(first, pairs), second)
-                    yield (number, GRAMS, shard, pack(list(trie.lookup(pair, trie.triple(np.repeat(pair, triples), third)))))
+                pair = trie.pair(u, v)
+                pair_code, rest_code, triple_code = trie.lookup(pair, trie.triple(pair[own], w))
+                at_pair = at = 0
+                for (number, _), q in zip(asked, questions, strict=True):
+                    end_pair, end = at_pair + len(q[2]), at + len(q[4])
+                    yield (number, GRAMS, shard, pack([pair_code[of_pair[at_pair:end_pair]], rest_code[of_pair[at_pair:end_pair]], triple_code[of[at:end]]]))
+                    at_pair, at = end_pair, end
 
         yield from _sent(rows())
 
     return answer
 
 
-def _score(piece: Piece, words: np.ndarray, grams: tuple[np.ndarray, ...], total: int, distinct: int, texts: int) -> list[np.ndarray]:
-    """Sums over the tokens of each text in the piece. ``words``: counts by number, marks included."""
-    u, v, _, _, of = piece.grams()
+def _score(piece: Piece, of: np.ndarray, words: np.ndarray, grams: tuple[np.ndarray, ...], total: int, distinct: int, texts: int) -> list[np.ndarray]:
+    """Sums over the tokens of each text in the piece. ``of``: numbers of its triples; ``words``: counts by number, marks included."""
     pair_code, rest_code, triple_code = (values(g)[of] for g in grams)
     counts = words.copy()
     counts[END] = texts
@@ -335,15 +343,15 @@ def _answered(shards: int, heavy: dict[int, int], total: int, distinct: int, tex
         given = {(kind, shard): unpack(data) for kind, shard, data in answers}
         for shard, own in _by_shard((piece.digests % np.uint64(shards)).astype(np.int64)):
             words[own + MARKS] = given[WORDS, shard][0]
-        u, v, *_ = piece.grams()
+        u, v, _, _, of = piece.grams()
         grams = [np.zeros(len(u), np.uint8) for _ in range(3)]
         for shard, own in _by_shard(piece.shards(u, v, shards, heavy)):
             pair_code, rest_code, triple_code = given[GRAMS, shard]
             new = np.ones(len(own), bool)
             new[1:] = (u[own][1:] != u[own][:-1]) | (v[own][1:] != v[own][:-1])
-            of = np.cumsum(new) - 1
-            grams[0][own], grams[1][own], grams[2][own] = pair_code[of], rest_code[of], triple_code
-        sums = _score(piece, words, grams, total, distinct, texts)
+            pair = np.cumsum(new) - 1
+            grams[0][own], grams[1][own], grams[2][own] = pair_code[pair], rest_code[pair], triple_code
+        sums = _score(piece, of, words, grams, total, distinct, texts)
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         columns = [piece.rows, piece.ids, piece.held.astype(bool), sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]]
         arrays = [pa.array(c, t, mask=piece.null.astype(bool) if k == 1 else None) for k, (c, t) in enumerate(zip(columns, kinds, strict=True))]
