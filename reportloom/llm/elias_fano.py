@@ -45,6 +45,19 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
 
 
+def ranked(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(distinct numbers, ascending; the place of each x among them, in 32 bits; sums of n for each of them)."""
+    order = np.argsort(x)
+    own = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = own[1:] != own[:-1]
+    own, of = own[new], np.empty(len(x), np.uint32)
+    of[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    if n is None:
+        return own, of, None
+    return own, of, np.add.reduceat(n[order], np.nonzero(new)[0], dtype=np.int64) if len(x) else np.zeros(0, np.int64)
+
+
 def codes(p: np.ndarray) -> np.ndarray:
     """Probabilities as bytes, rounded down; below 2 ** -25.4 they count as 0."""
     with np.errstate(divide="ignore"):
@@ -172,7 +185,7 @@ class Trie:
         new_v = new_u | np.concatenate([[True], v[1:] != v[:-1]]) if len(u) else new_u
         at_u, at_v, follows = np.nonzero(new_u)[0], np.nonzero(new_v)[0], w != none
         # Words are sought once each: what repeats them gets their ranks by place.
-        (own_first, of_first), (own_second, of_second), (own_third, of_third) = (np.unique(x, return_inverse=True) for x in (u[at_u], v[at_v], w))
+        (own_first, of_first, _), (own_second, of_second, _), (own_third, of_third, _) = (ranked(x) for x in (u[at_u], v[at_v], w))
         words = np.unique(np.concatenate([own_first, own_second, own_third]))
         size = max(1, len(words))
         first, second, third = (np.searchsorted(words, own).astype(np.uint64)[of] for own, of in ((own_first, of_first), (own_second, of_second), (own_third, of_third)))
@@ -203,12 +216,12 @@ class Trie:
 
     def _rank(self, words: np.ndarray) -> np.ndarray:
         """Numbers of words, -1 for those that were never seen; each is sought once."""
-        own, of = np.unique(words, return_inverse=True)
+        own, of, _ = ranked(words)
         return np.concatenate([np.zeros(0, np.int64), *(self.words.find(own[at : at + BLOCK]) for at in range(0, len(own), BLOCK))])[of]
 
     def pair(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Numbers of the pairs (u, v), -1 for those that were never seen."""
-        own, of = np.unique(u, return_inverse=True)
+        own, of, _ = ranked(u)
         rank = self._rank(own)
         first = np.where(rank >= 0, self.first.find(np.maximum(rank, 0)), -1)
         return self._child(self.pairs, self.to_pairs, first[of], self._rank(v))

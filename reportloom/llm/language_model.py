@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
 
 from reportloom.llm.common import shared_folder, shuffle_partitions, written
-from reportloom.llm.elias_fano import Trie, narrow, pack, unpack, values
+from reportloom.llm.elias_fano import Trie, narrow, pack, ranked, unpack, values
 
 #: Tokens of a piece (below 2 ** 21), windows of a shard, and weights of the shorter contexts.
 PIECE, SHARD, A2, A3 = 1_000_000, 2_000_000, 200.0, 10.0
@@ -200,12 +200,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[i
     """Rows sorted by shard as (shard, its rows)."""
     shard, rows = None, []
     for b in batches:
-        for number, own, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for number, own, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
             if own != shard:
                 if rows:
                     yield shard, rows
                 shard, rows = own, []
-            rows.append((number, data))
+            rows.append((number, data.as_buffer()))  # not copied
     if rows:
         yield shard, rows
 
@@ -271,11 +271,15 @@ def _distinct(questions: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     Distinct pairs of words, and distinct triples as a pair's number and a word, each in 64 bits and sorted.
     """
     pair = np.concatenate([np.repeat(first, pairs).astype(np.uint64) << _HALF | second for first, pairs, second, *_ in questions])
-    pairs, of_pair = np.unique(pair, return_inverse=True)
-    triple = np.repeat(of_pair, np.concatenate([q[3] for q in questions])).astype(np.uint64) << _HALF
-    triple |= np.concatenate([q[4] for q in questions])
-    triples, of = np.unique(triple, return_inverse=True)
-    return pairs, of_pair, triples, of, np.bincount(of, np.concatenate([q[5] for q in questions]), len(triples)).astype(np.int64)
+    pairs, of_pair, _ = ranked(pair)
+    triple = np.repeat(of_pair, np.concatenate([q[3] for q in questions])).astype(np.uint64)
+    triple <<= _HALF
+    at = 0
+    for q in questions:
+        triple[at : at + len(q[4])] |= q[4]
+        at += len(q[4])
+    triples, of, n = ranked(triple, np.concatenate([q[5] for q in questions]))
+    return pairs, of_pair, triples, of, n
 
 
 def _halves(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,6 +300,7 @@ def _answer_grams(heavy: dict[int, int], keep: bool):
                 questions = [unpack(data) for _, data in asked]
                 pairs, of_pair, triples, of, n = _distinct(questions)
                 (u, v), (own, w) = _halves(pairs), _halves(triples)
+                del pairs, triples
                 on = n > 0
                 data = Trie.build(u[own[on]], v[own[on]], w[on], n[on], heavy, A2, A3, NONE)
                 if keep:
