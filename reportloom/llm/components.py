@@ -16,12 +16,13 @@ def _with_minimum(edges: DataFrame, parts: int) -> DataFrame:
     """Each edge (u, v) with m, the least neighbour of u, in at most ``parts`` partitions.
 
     The join is salted by v, so a node with very many neighbours is dealt to ``SALTS`` tasks; the minimum is
-    combined before the shuffle.
+    combined before the shuffle. The join is a merge: a broadcast, which looks cheaper once few edges are left, gathers
+    its side in one more job, with a task for each shuffle partition, in every round.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
     least = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, ["u", "salt"]).select("u", "v", "m").coalesce(parts)
+    return salted.join(least.hint("merge"), ["u", "salt"]).select("u", "v", "m").coalesce(parts)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -42,6 +43,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         state = tuple(seen)
         parts = min(most, -(-seen[0] // EDGES))
+        now = now.coalesce(parts)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both, parts).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct().coalesce(parts)
         small = _with_minimum(large, parts)

@@ -27,6 +27,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from reportloom.llm.common import checkpointed
 #: With more directions than a block has items, the index tells all of them apart.
 RANK, OVERSAMPLE, ROUNDS = 256, 16, 2
 FIT_ROWS, FIT_TASKS = 2_000, 8
+#: Words whose sums travel as one cell in the fit.
+SLICE = 512
 #: An item counts as so many passages in the fit; the index is there to tell items apart.
 ITEM_WEIGHT = 1_000
 COVER, SURE, STRETCH = 0.6, 0.8, 1.5
@@ -130,6 +133,7 @@ def document_frequencies(docs: DataFrame, query: Query) -> tuple[np.ndarray, int
     out = np.zeros(len(query.vocabulary) + 1, np.int64)
     # As many rows as the items have words: bounded by the query set. In one job, not one for each partition.
     found = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     out[found["word"].to_numpy()] = found["n"].to_numpy()
     return out[:-1], int(out[-1])
 
@@ -148,7 +152,8 @@ def fit_sample(docs: DataFrame) -> DataFrame:
 def fit_index(sample: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
     """(words, rank): leading right singular vectors of the passages' TF-IDF matrix A, by randomised subspace iteration.
 
-    Each round multiplies by A'A, summed over tasks; only matrices of the fixed size words x rank travel.
+    Each round multiplies by A'A. Tasks give their sums in slices of ``SLICE`` words, which are added on the executors, in
+    the order of the tasks: the driver gets one matrix of the fixed size words x rank, not one from each task.
     """
     spark, n = sample.sparkSession, len(idf)
     rank = min(RANK + OVERSAMPLE, n)
@@ -166,8 +171,13 @@ def fit_index(sample: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
                 out[at] += x[:, None] * (x @ q[at])[None, :]
         return out
 
+    def add(slices):
+        each = [np.frombuffer(x.as_py(), np.float64) for x in slices.sort_by("task").column("sum")]
+        return pa.table({"at": slices.column("at").slice(0, 1), "sum": pa.array([sum(each[1:], each[0]).tobytes()], pa.binary())})
+
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((items, np.linalg.qr(basis)[0]))
+        q = np.linalg.qr(basis)[0]
+        shared = spark.sparkContext.broadcast((items, q))
 
         def part(batches):
             held, q = shared.value  # noqa: B023
@@ -176,12 +186,15 @@ def fit_index(sample: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
             for b in batches:
                 for text in b.column(0).to_pylist():
                     out += gram(_passages(numbers(text), size), q)
-            yield pa.RecordBatch.from_pydict({"sum": [out.astype(np.float64).tobytes()]})
+            task = TaskContext.get().partitionId()
+            for at in range(0, n, SLICE):
+                yield pa.RecordBatch.from_pydict({"at": [at], "task": [task], "sum": [out[at : at + SLICE].astype(np.float64).tobytes()]})
 
-        q = shared.value[1]
+        sums = sample.mapInArrow(part, "at long, task long, sum binary").groupBy("at").applyInArrow(add, "at long, sum binary").coalesce(FIT_TASKS).toArrow()
+        shared.destroy()
         basis = gram(own, q) * ITEM_WEIGHT
-        for r in sample.mapInArrow(part, "sum binary").toLocalIterator():
-            basis += np.frombuffer(r["sum"], np.float64).reshape(n, rank)
+        for at, found in zip(sums["at"].to_pylist(), sums["sum"], strict=True):
+            basis[at : at + SLICE] += np.frombuffer(found.as_buffer(), np.float64).reshape(-1, rank)
     u, s, _ = np.linalg.svd(basis, full_matrices=False)
     return u[:, : min(RANK, int((s > s[0] * 1e-9).sum()))]
 
